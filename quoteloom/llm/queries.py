@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.llm.common import table
+from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
 
 
@@ -14,8 +15,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op10_simhash_golay": op10_simhash_golay,
 }
 
 ORACLES: dict[str, str] = {}
