@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoteloom.llm import line_dedup, mixing
 from quoteloom.llm.common import table
 from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -15,6 +16,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = mixing.virtual_times(table(spark, sf_dir, "documents"))
+    return times.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,7 +33,12 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_weighted_mix": op2_weighted_mix,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_weighted_mix": mixing.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+}
