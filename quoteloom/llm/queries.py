@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import line_dedup, mixing
+from quoteloom.llm import line_dedup, mixing, toxicity
 from quoteloom.llm.common import table
 from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -21,6 +21,13 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, machine).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
@@ -34,6 +41,7 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_weighted_mix": op2_weighted_mix,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash_golay": op10_simhash_golay,
 }
