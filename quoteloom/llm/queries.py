@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import line_dedup, mixing, toxicity
+from quoteloom.llm import line_dedup, mixing, toxicity, vector_search
 from quoteloom.llm.common import table
 from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -33,6 +33,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_weighted_mix": op2_weighted_mix,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_vector_search": op8_vector_search,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
