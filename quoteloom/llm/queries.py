@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import decontaminate, licenses, line_dedup, mixing, toxicity, vector_search
+from quoteloom.llm import decontaminate, licenses, line_dedup, mixing, pii, secrets, toxicity, vector_search
 from quoteloom.llm.common import table
 from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -21,10 +21,19 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "token", "place", F.length("secret").cast("long").alias("length"), F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +62,9 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_weighted_mix": op2_weighted_mix,
+    "op3_personal_data": op3_personal_data,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_vector_search": op8_vector_search,
