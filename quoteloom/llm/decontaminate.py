@@ -19,6 +19,7 @@ reported under null. An empty table gives no pairs.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,44 +138,58 @@ def align(docs: list[np.ndarray], item: np.ndarray) -> np.ndarray:
     return best
 
 
+def _pairs(items: Items, texts: list[str | None], least: float) -> list[tuple[int, int, int, float]]:
+    """(text, item, seeds, score) of each leak among ``texts``."""
+    by_item: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for row, t in enumerate(texts):
+        ids = items.numbers(t)
+        hits = []
+        for length, (keys, owners, places) in items.found.items():
+            g = grams(ids, length)
+            a, b = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
+            at = np.flatnonzero((b > a) & (g > 0))
+            size = (b - a)[at]
+            entry = np.repeat(a[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            hits.append(np.column_stack([owners[entry], np.repeat(at, size), places[entry]]))
+        hits = np.concatenate(hits) if hits else np.zeros((0, 3), int)
+        for k in np.unique(hits[:, 0]):
+            mine = hits[hits[:, 0] == k]
+            m = len(items.texts[k])
+            start = np.maximum(0, mine[:, 1] - mine[:, 2] - m // 2 - 2)
+            for a, b, n in _joined(start, start + 2 * m + 4):
+                by_item.setdefault(int(k), []).append((row, n, ids[a:b]))
+    best: dict[tuple[int, int], tuple[int, float]] = {}
+    for k, places in by_item.items():
+        places.sort(key=lambda p: len(p[2]))
+        for at in range(0, len(places), AT_ONCE):
+            some = places[at : at + AT_ONCE]
+            for (row, n, _), got in zip(some, align([p[2] for p in some], items.texts[k]) / len(items.texts[k]), strict=True):
+                seeds, high = best.get((row, k), (0, 0.0))
+                best[row, k] = seeds + n, max(high, float(got))
+    return [(row, k, n, s) for (row, k), (n, s) in sorted(best.items()) if s >= least]
+
+
 def _leaks(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            by_item: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-            for row, t in enumerate(batch.column("text")):
-                ids = items.numbers(t.as_py())
-                hits = []
-                for length, (keys, owners, places) in items.found.items():
-                    g = grams(ids, length)
-                    a, b = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
-                    at = np.flatnonzero((b > a) & (g > 0))
-                    size = (b - a)[at]
-                    entry = np.repeat(a[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    hits.append(np.column_stack([owners[entry], np.repeat(at, size), places[entry]]))
-                hits = np.concatenate(hits) if hits else np.zeros((0, 3), int)
-                for k in np.unique(hits[:, 0]):
-                    mine = hits[hits[:, 0] == k]
-                    m = len(items.texts[k])
-                    start = np.maximum(0, mine[:, 1] - mine[:, 2] - m // 2 - 2)
-                    for a, b, n in _joined(start, start + 2 * m + 4):
-                        by_item.setdefault(int(k), []).append((row, n, ids[a:b]))
-            best: dict[tuple[int, int], tuple[int, float]] = {}
-            for k, places in by_item.items():
-                places.sort(key=lambda p: len(p[2]))
-                for at in range(0, len(places), AT_ONCE):
-                    some = places[at : at + AT_ONCE]
-                    for (row, n, _), got in zip(some, align([p[2] for p in some], items.texts[k]) / len(items.texts[k]), strict=True):
-                        seeds, high = best.get((row, k), (0, 0.0))
-                        best[row, k] = seeds + n, max(high, float(got))
-            good = [(row, k, n, s) for (row, k), (n, s) in sorted(best.items()) if s >= least]
-            if good:
+            if good := _pairs(items, batch.column("text").to_pylist(), least):
                 row, k, n, s = zip(*good, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([items.names[x] for x in k], pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.float64())], ["doc_id", "item_id", "seeds", "score"])
 
     return run
 
 
+def _without(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[row for row, *_ in _pairs(shared.value, batch.column("text").to_pylist(), least)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _joined(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Overlapping ranges joined: start, end, how many."""
     order = np.argsort(starts, kind="stable")
@@ -183,31 +199,37 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, in
         yield int(starts[a]), int(ends[a:b].max()), int(b - a)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, seeds (shared seed places) and score (0 to 1) of each leak."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterator[Broadcast]:
+    """The items in blocks, each with its seeds chosen by the counts in ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-benchmark.count() // block))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = spark.createDataFrame([], PAIR)
     for b in range(blocks):
         # about ``block`` items, whatever the benchmark's size
         items = Items.of([(r["item_id"], r["text"]) for r in benchmark.where(part == b).orderBy("item_id", "text").collect()], n)
         if not items.texts:
             continue
         shared = spark.sparkContext.broadcast(items)
-        counted = docs.mapInArrow(_counts(shared), "length int, gram long, docs long").groupBy("length", "gram").agg(F.sum("docs").alias("docs")).collect()
+        counted = docs.select("text").mapInArrow(_counts(shared), "length int, gram long, docs long").groupBy("length", "gram").agg(F.sum("docs").alias("docs")).collect()
         counts = {(r["length"], r["gram"] & 0xFFFFFFFFFFFFFFFF): r["docs"] for r in counted}
         for length, (keys, owners, _) in list(items.found.items()):
             seen = np.array([counts.get((length, int(k)), 0) for k in keys])
             median = np.array([np.median(seen[owners == k]) if (owners == k).any() else 0 for k in range(len(items.texts))])
             items.keep(length, seen <= COMMON * np.maximum(median[owners], FLOOR / COMMON))
-        out = out.unionByName(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(items), score), PAIR))
-    return out
+        yield spark.sparkContext.broadcast(items)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, seeds (shared seed places) and score (0 to 1) of each leak."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [docs.mapInArrow(_leaks(shared, score), PAIR) for shared in _blocks(docs, benchmark, n, block)]
+    return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], PAIR)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that leak; rows whose doc_id is null stay."""
-    found = leaks(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE, block: int = BLOCK) -> DataFrame:
+    """``docs`` without the documents that leak."""
+    kept = docs
+    for shared in _blocks(docs, benchmark, n, block):
+        kept = kept.mapInArrow(_without(shared, score), docs.schema)
+    return kept

@@ -76,14 +76,27 @@ def virtual_times(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """The mix in order of virtual finish time: doc_id, source, copy (from 0), taken (words of
-    that copy), finish. Texts follow by a join on doc_id."""
-    times = virtual_times(docs, weights, share, repeats)
-    copies = times.withColumn("copy", F.explode(F.array(*(F.lit(k) for k in range(repeats)))))
+    """The mix in order of virtual finish time: the columns of ``docs``, copy (from 0), taken (words
+    of that copy), target (of its source) and finish. A copy that the end of the mix cuts has only
+    its first ``taken`` words, as n_chars then tells. Rows that share a doc_id are one document
+    here, the smallest by size, then text.
+    """
+    one = Window.partitionBy("doc_id").orderBy("size", "served")
+    times = virtual_times(docs, weights, share, repeats).withColumn("row", F.row_number().over(one)).where("row = 1")
     served = F.col("served") + F.col("copy") * F.col("source_size")
-    taken = F.greatest(F.lit(0), F.least(F.floor("target").cast("long") - served, F.col("size")))
-    copies = copies.withColumn("taken", taken.cast("long")).where("taken > 0")
-    return copies.withColumn("finish", (served + F.col("size")) / F.col("target")).select("doc_id", "source", "copy", "taken", "finish").orderBy("finish", "source", "doc_id", "copy")
+    copies = times.withColumn("copy", F.explode(F.array(*(F.lit(k) for k in range(repeats)))))
+    taken = F.greatest(F.lit(0), F.least(F.floor("target").cast("long") - served, F.col("size"))).cast("long")
+    copies = copies.withColumn("taken", taken).where("taken > 0").withColumn("finish", (served + F.col("size")) / F.col("target"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.groupBy("doc_id").agg(F.min(F.struct(word_count(F.col("text")).alias("size"), "text", *rest)).alias("row"))
+    rows = rows.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    rows = rows.join(copies.drop("source", "row"), "doc_id")
+    pieces = F.slice(F.regexp_extract_all("text", F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1)), F.lit(1), F.col("taken").cast("int"))
+    text = F.when(F.col("taken") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns, "copy", "taken", "target", "finish").orderBy("finish", "doc_id", "copy")
 
 
 SQL = """
