@@ -1 +1,5 @@
 """The registered queries and their SQL."""
+
+from quoteloom.plans import evidence, market
+
+PLANS = (market, evidence)
