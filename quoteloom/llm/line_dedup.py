@@ -51,7 +51,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         joined = pages.join(F.broadcast(found), F.col(host).eqNullSafe(F.col("_host")), "left")
     else:
         salt = F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS))
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = pages.withColumn("_with", salt).join(salted, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_with") == F.col("_salt")), "left").drop("_with", "_salt")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", line_hash(x))))
