@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. The test items' n-grams (five words; a shorter
+Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The test items' n-grams (five words; a shorter
 item is one n-gram) are counted over the whole corpus. An item's seeds are its n-grams that are
 not stock phrases: found on at most COMMON times as many documents as the item's median n-gram
 (and at least on FLOOR). Measuring an item's n-grams against each other keeps the seeds of an item
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,14 @@ COMMON, FLOOR = 20, 20
 BLOCK = 5000
 AT_ONCE = 256  # alignments of one item side by side
 
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 U64 = np.uint64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], U64)
 PAIR = "doc_id long, item_id long, seeds int, score double"
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").lower().encode("utf-8", "surrogatepass"))
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -65,14 +66,14 @@ class Items:
     """A block of test items: word numbers, and the n-grams of each length in sorted order."""
 
     names: list
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     texts: list[np.ndarray]
     lengths: list[int] = field(default_factory=list)
     found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list, n: int) -> Items:
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         names, texts = [], []
         for name, text in rows:
             if numbers := [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]:
@@ -93,8 +94,8 @@ class Items:
         return out
 
     def numbers(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words(text)], np.int64)
+        found = words(text)
+        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
 
     def keep(self, length: int, chosen: np.ndarray) -> None:
         self.found[length] = tuple(x[chosen] for x in self.found[length])
@@ -110,8 +111,10 @@ def _counts(shared):
             for t in batch.column("text"):
                 ids = items.numbers(t.as_py())
                 for length, (keys, _, _) in items.found.items():
-                    g = np.unique(grams(ids, length))
-                    total.update((length, x) for x in g[np.isin(g, keys)].tolist())
+                    g = grams(ids, length)
+                    g = g[g > 0]
+                    g = g[keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g] if len(g) else g
+                    total.update((length, x) for x in set(g.tolist()))
             if total:
                 length, key = zip(*total, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(np.array(key, U64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["length", "gram", "docs"])
@@ -146,12 +149,16 @@ def _pairs(items: Items, texts: list[str | None], least: float) -> list[tuple[in
         hits = []
         for length, (keys, owners, places) in items.found.items():
             g = grams(ids, length)
-            a, b = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
-            at = np.flatnonzero((b > a) & (g > 0))
-            size = (b - a)[at]
-            entry = np.repeat(a[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(g)
+            a, b = np.searchsorted(keys, g[at]), np.searchsorted(keys, g[at], "right")
+            at, a, size = at[b > a], a[b > a], (b - a)[b > a]
+            if not len(at):
+                continue
+            entry = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             hits.append(np.column_stack([owners[entry], np.repeat(at, size), places[entry]]))
-        hits = np.concatenate(hits) if hits else np.zeros((0, 3), int)
+        if not hits:
+            continue
+        hits = np.concatenate(hits)
         for k in np.unique(hits[:, 0]):
             mine = hits[hits[:, 0] == k]
             m = len(items.texts[k])
