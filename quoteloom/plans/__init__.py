@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import evidence, market
+from quoteloom.plans import authority, evidence, market
 
-PLANS = (market, evidence)
+PLANS = (market, evidence, authority)
