@@ -131,11 +131,10 @@ def attention(tier: Column) -> Column:
 
 
 def tier_summary(rows: DataFrame, *groups: str) -> DataFrame:
-    """Counts of each tier, of those priced and of those to review."""
+    """Counts of market evidence, of what may be priced, and of each tier."""
     return rows.groupBy(*groups).agg(
         F.count_if(F.col("tier").isin("MACHINE_VERIFIED", "AI_ASSISTED_COMPARABLE", "HUMAN_CONFIRMED", "NEEDS_REVIEW")).alias("market_evidence"),
         F.count_if(F.col("tier").isin("MACHINE_VERIFIED", "HUMAN_CONFIRMED")).alias("pricing_eligible"),
-        F.count_if(F.col("tier") == "NEEDS_REVIEW").alias("needs_review"),
         *(F.count_if(F.col("tier") == t).alias(t.lower()) for t in ATTENTION),
     )
 

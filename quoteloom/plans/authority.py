@@ -115,33 +115,33 @@ QUERIES = {
     for f in (identity_states, authority_tiers, tier_summaries, sales_unit_states, search_payloads, search_queries, vendor_offers, vendor_lookup_status, rate_documents, rate_digests, page_extraction, page_extraction_crawled, page_addresses, routable_addresses)
 }
 
-_STATE_SQL = f"""{ASSESS_SQL}, sub AS (
+_STATE_SQL = f"""{ASSESS_SQL}, sub AS MATERIALIZED (
   SELECT *, CASE WHEN decision = 'ACCEPTED' THEN 'V_' || match_type WHEN rejection_reason = 'PARTIAL_MPN_ONLY' THEN 'U3_PARTIAL_BOUNDARY'
       WHEN rejection_reason = 'NO_EXPLICIT_MPN_EVIDENCE' THEN CASE evidence_source WHEN 'TITLE_TEXT' THEN 'U1_TITLE_MPN' WHEN 'SKU_FIELD' THEN 'U2_SKU_ONLY' ELSE 'U4_NO_MPN' END
       WHEN length(one) = length(two) AND hamming(one, two) = 1 THEN 'U5_NEAR_MISS_MPN' WHEN starts_with(one, two) OR starts_with(two, one) THEN 'U5_NEAR_MISS_MPN' ELSE 'C1_INCOMPATIBLE_EXPLICIT_MPN' END AS substate
   FROM assessed
-), state AS (
+), state AS MATERIALIZED (
   SELECT *, CASE substate WHEN 'V_EXACT' THEN 'EXACT' WHEN 'V_NORMALIZED_EXACT' THEN 'NORMALIZED_EXACT' WHEN 'U3_PARTIAL_BOUNDARY' THEN 'PARTIAL_BOUNDARY' WHEN 'U1_TITLE_MPN' THEN 'TITLE_MPN_TOKEN'
       WHEN 'U2_SKU_ONLY' THEN CASE WHEN sku_text = requested_mpn THEN 'SKU_EQUALS_TARGET' ELSE 'SKU_NOT_TARGET' END
       WHEN 'U5_NEAR_MISS_MPN' THEN CASE WHEN length(one) = length(two) THEN 'NEAR_MISS_SUBSTITUTION' ELSE 'NEAR_MISS_TRUNCATION' END ELSE 'NO_RELATION' END AS signal,
     CASE substate[1] WHEN 'V' THEN 'DETERMINISTIC_VERIFIED' WHEN 'U' THEN 'DETERMINISTIC_UNCERTAIN' ELSE 'DETERMINISTIC_CONFLICT' END AS identity_state
   FROM sub
 )"""
-_TIER_SQL = f"""{_STATE_SQL}, judged AS (
+_TIER_SQL = f"""{_STATE_SQL}, judged AS MATERIALIZED (
   SELECT *, {', '.join(f'{v} AS {k}' for k, v in JUDGED.items())}, substate[1] = 'U' AS eligible FROM state
-), based AS (
+), based AS MATERIALIZED (
   SELECT *, eligible AND evaluation_state = 'EVALUATED' AS ev,
     CASE WHEN NOT eligible THEN CASE substate[1] WHEN 'V' THEN 'MACHINE_VERIFIED' ELSE 'HARD_CONFLICT' END WHEN evaluation_state = 'RUNTIME_FAILURE' THEN 'SEMANTIC_UNAVAILABLE' WHEN evaluation_state = 'NOT_EVALUATED' THEN 'NEEDS_REVIEW'
       WHEN decision_v2 = 'NO_MATCH' OR confidence = 'LOW' THEN 'EXCLUDED_LOW_CONFIDENCE' WHEN decision_v2 = 'MATCH' THEN CASE WHEN confidence = 'HIGH' AND quality = 'STRONG' THEN 'AI_ASSISTED_COMPARABLE' ELSE 'NEEDS_REVIEW' END
       WHEN quality = 'WEAK' THEN 'EXCLUDED_LOW_CONFIDENCE' ELSE 'NEEDS_REVIEW' END AS base
   FROM judged
-), flagged AS (
+), flagged AS MATERIALIZED (
   SELECT *, ev AND decision_v2 = 'MATCH' AND coalesce(conflict = 'BRAND', false) AS soft, ev AND decision_v2 = 'MATCH' AND signal = 'NEAR_MISS_SUBSTITUTION' AND NOT related AS swap, ev AND coalesce(conflict = 'CAPACITY', false) AS hard FROM based
-), linked AS (
+), linked AS MATERIALIZED (
   SELECT *, base = 'AI_ASSISTED_COMPARABLE' AND NOT soft AND NOT swap AND NOT related AND signal IN ('SKU_NOT_TARGET', 'PARTIAL_BOUNDARY', 'NEAR_MISS_TRUNCATION', 'NEAR_MISS_SUBSTITUTION') AS unrelated FROM flagged
-), machine AS (
+), machine AS MATERIALIZED (
   SELECT *, CASE WHEN hard THEN 'HARD_CONFLICT' WHEN base = 'AI_ASSISTED_COMPARABLE' AND (soft OR swap OR unrelated) THEN 'NEEDS_REVIEW' ELSE base END AS machine FROM linked
-), tiered AS (
+), tiered AS MATERIALIZED (
   SELECT *, machine = 'HARD_CONFLICT' OR NOT eligible AS blocked,
     CASE WHEN human_review IS NULL OR machine = 'HARD_CONFLICT' OR NOT eligible THEN machine WHEN human_review = 'CONFIRMED' THEN 'HUMAN_CONFIRMED' ELSE 'HUMAN_REJECTED' END AS tier FROM machine
 )"""

@@ -13,16 +13,16 @@ _PART = lambda k: f"nullif(regexp_extract(trim(price_text), '{_GRAMMAR}', {k}),
 _KEY = lambda x: f"CASE WHEN regexp_matches(trim({x}), '^[\\s\\-_/.]*$') THEN '' ELSE upper(regexp_replace(trim({x}), '\\s+', '-', 'g')) END"  # noqa: E731  # the view's text is ASCII
 
 LISTING_SQL = f"WITH listing AS ({LISTINGS})"
-NORM_SQL = f"""{LISTING_SQL}, parts AS (
+NORM_SQL = f"""{LISTING_SQL}, parts AS MATERIALIZED (
   SELECT *, {_PART(1)} AS g1, {_PART(2)} AS g2, {_PART(3)} AS g3, {_PART(4)} AS g4, {_PART(5)} AS g5 FROM listing
-), priced AS (
+), priced AS MATERIALIZED (
   SELECT *, (g1 IS NOT NULL OR g2 IS NOT NULL) AND (g4 IS NOT NULL OR g5 IS NOT NULL) AS wrapped,
     CASE WHEN trim(currency_text) = '€' THEN 'EUR' WHEN trim(currency_text) = '£' THEN 'GBP'
          WHEN regexp_full_match(upper(trim(currency_text)), '{_CODES}') THEN upper(trim(currency_text)) END AS stated,
     lower(regexp_replace(trim(availability_text), '^(https?://)?schema\\.org/', '')) AS av,
     lower(regexp_replace(trim(condition_text), '^(https?://)?schema\\.org/', '')) AS co
   FROM parts
-), read AS (
+), read AS MATERIALIZED (
   SELECT *, CASE WHEN g3 IS NOT NULL AND NOT wrapped THEN CAST(replace(g3, ',', '') AS DECIMAL(38,10)) END AS price_amount,
     CASE WHEN g3 IS NOT NULL AND NOT wrapped THEN coalesce(upper(g2), upper(g5), CASE coalesce(g1, g4) WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' END) END AS embedded,
     CASE WHEN price_text IS NULL OR (g3 IS NOT NULL AND NOT wrapped) THEN NULL
@@ -31,28 +31,28 @@ NORM_SQL = f"""{LISTING_SQL}, parts AS (
     CASE WHEN av = 'instock' THEN 'IN_STOCK' WHEN av = 'out of stock' THEN 'OUT_OF_STOCK' WHEN av = 'preorder' THEN 'PREORDER' WHEN av = 'limitedavailability' THEN 'LIMITED' ELSE 'UNKNOWN' END AS availability,
     CASE WHEN co = 'newcondition' THEN 'NEW' WHEN co = 'used' THEN 'USED' WHEN co = 'refurbished' THEN 'REFURBISHED' ELSE 'UNKNOWN' END AS condition
   FROM priced
-), norm AS (
+), norm AS MATERIALIZED (
   SELECT *, CASE WHEN stated <> embedded THEN NULL ELSE coalesce(stated, embedded) END AS currency_code,
     nullif(trim(regexp_replace(seller_text, '\\s+', ' ', 'g')), '') AS seller_name,
     concat_ws(',', price_issue, CASE WHEN currency_text IS NOT NULL AND stated IS NULL THEN 'UNRECOGNIZED_CURRENCY' END, CASE WHEN stated <> embedded THEN 'CONFLICTING_CURRENCY' END,
       CASE WHEN availability_text IS NOT NULL AND availability = 'UNKNOWN' THEN 'UNRECOGNIZED_AVAILABILITY' END, CASE WHEN condition_text IS NOT NULL AND condition = 'UNKNOWN' THEN 'UNRECOGNIZED_CONDITION' END) AS issues
   FROM read
 )"""
-ASSESS_SQL = f"""{NORM_SQL}, evidence AS (
+ASSESS_SQL = f"""{NORM_SQL}, evidence AS MATERIALIZED (
   SELECT *, CASE WHEN mpn_text IS NOT NULL THEN CASE WHEN extraction_method LIKE '%_WITH_VISIBLE_MPN' THEN 'VISIBLE_LABELED_MPN_FIELD' ELSE 'EXPLICIT_MPN_FIELD' END
       WHEN sku_text IS NOT NULL THEN 'SKU_FIELD' WHEN regexp_matches(product_title, '(^|[^A-Za-z0-9])' || requested_mpn || '($|[^A-Za-z0-9])') THEN 'TITLE_TEXT' ELSE 'NONE' END AS evidence_source,
     trim(regexp_replace(trim(mpn_text), '^(?i:mpn:)', '')) AS cleaned
   FROM norm
-), keyed AS (
+), keyed AS MATERIALIZED (
   SELECT *, {_KEY("requested_mpn")} AS one, coalesce({_KEY("cleaned")}, '') AS two FROM evidence
-), matched AS (
+), matched AS MATERIALIZED (
   SELECT *, CASE WHEN mpn_text IS NULL THEN 'UNKNOWN' WHEN two = '' THEN 'UNKNOWN' WHEN cleaned = requested_mpn THEN 'EXACT' WHEN one = two THEN 'NORMALIZED_EXACT'
       WHEN (starts_with(two, one) AND substr(two, length(one) + 1, 1) IN ('-', '_', '/', '.')) OR (starts_with(one, two) AND substr(one, length(two) + 1, 1) IN ('-', '_', '/', '.')) THEN 'PARTIAL' ELSE 'UNKNOWN' END AS match_type
   FROM keyed
-), reasoned AS (
+), reasoned AS MATERIALIZED (
   SELECT *, CASE WHEN mpn_text IS NULL OR two = '' THEN 'NO_EXPLICIT_MPN_EVIDENCE' WHEN match_type IN ('EXACT', 'NORMALIZED_EXACT') THEN NULL WHEN match_type = 'PARTIAL' THEN 'PARTIAL_MPN_ONLY' ELSE 'MPN_MISMATCH' END AS rejection_reason
   FROM matched
-), assessed AS (
+), assessed AS MATERIALIZED (
   SELECT *, CASE WHEN rejection_reason IS NULL THEN 'ACCEPTED' ELSE 'REJECTED' END AS decision,
     rejection_reason IS NOT NULL AND (rejection_reason = 'PARTIAL_MPN_ONLY' OR (rejection_reason = 'NO_EXPLICIT_MPN_EVIDENCE' AND evidence_source IN ('TITLE_TEXT', 'SKU_FIELD'))) AS reviewable,
     (url_ord % 2 = 0) AS confirmed_vote

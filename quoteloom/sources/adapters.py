@@ -39,7 +39,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     import re
 
     used = {t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)}
-    named = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
+    literal = sql.replace("{", "{{").replace("}", "}}")  # braces of the text are no fields
+    named = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], literal)
     return spark.sql(named, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}) if used else spark.sql(sql)
 
 
