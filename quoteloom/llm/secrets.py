@@ -19,6 +19,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import random
 import string
 
@@ -159,7 +160,10 @@ def _assembled(found: DataFrame) -> DataFrame:
 def train(spark: SparkSession, findings: DataFrame | None = None) -> RandomForestClassificationModel:
     """A forest for ``findings`` (candidate, head, tail, before, after, label 0 or 1)."""
     if findings is None:
-        findings = spark.createDataFrame(labelled(), "candidate string, head string, tail string, before string, after string, label double")
+        # a literal, so that no executor starts a Python worker for it
+        rows = json.dumps([dict(zip(("candidate", "head", "tail", "before", "after", "label"), row, strict=True)) for row in labelled()])
+        kind = "array<struct<candidate:string,head:string,tail:string,before:string,after:string,label:double>>"
+        findings = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, featureSubsetStrategy="sqrt")
     return forest.fit(_assembled(findings.coalesce(1)).select("features", "label"))
 
