@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. The test items' n-grams (five words; a shorter
-item is one n-gram) are counted over the whole corpus. An item's seeds are its n-grams that are
-not stock phrases: found on at most COMMON times as many documents as the item's median n-gram
-(and at least on FLOOR). Measuring an item's n-grams against each other keeps the seeds of an item
-that leaked into very many documents. A document and an item that share a seed are aligned word by
-word: match +1, other word or gap -1, best local score divided by the item's words. Pairs of
-``score`` or more are leaks, so a copy with a fifth of its words replaced is still one.
+Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. A document and an item are aligned word by
+word: match +1, other word or gap -1, best local score divided by the item's words. Pairs of ``score`` or more are leaks.
 
-Items go through in blocks of ``block``; a block's words and n-grams are broadcast, and the corpus
+No such pair is missed. An alignment of M matches and E errors has at most E + 1 runs of matches, so M - E - 1 or more of the
+item's word pairs (neighbouring words) are intact in the document: S - 1 for a score of S words. So any S - 1 pairs hold one
+that is not among the S - 2 most frequent pairs of the item. Those others, the rarest by documents of the whole corpus, are
+its seeds: every item has some, however many documents copy it. The words around a seed are aligned if they hold S - 1 of the
+item's pairs. An item of one or two words is found where all of it stands.
+
+Items go through in blocks of ``block``; a block's words and pairs are broadcast, and the corpus
 is read twice for each block (counts, then seeds and alignment). Nothing of the corpus is shuffled
-but one count for each n-gram of the block and task. A task holds one Arrow batch of texts.
+but one count for each word pair of the block and batch. A task holds one Arrow batch of texts.
 
 Edge cases: null or empty texts and items without words match nothing. Of items with equal ids,
 each is compared. Repeated documents are each reported. Rows with a null doc_id or item_id are
@@ -20,8 +21,8 @@ reported under null. An empty table gives no pairs.
 from __future__ import annotations
 
 import functools
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -32,9 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NGRAM = 5
+NGRAM = 2
 SCORE = 0.5
-COMMON, FLOOR = 20, 20
 BLOCK = 5000
 AT_ONCE = 256  # alignments of one item side by side
 
@@ -63,27 +63,28 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of test items: word numbers, and the n-grams of each length in sorted order."""
+    """A block of test items: word numbers, and the n-grams of each length (pairs, or the word of an
+    item of one word) in sorted order; ``need`` of an item's n-grams must stand in a passage."""
 
     names: list
     vocabulary: dict[bytes, int]
     texts: list[np.ndarray]
-    lengths: list[int] = field(default_factory=list)
+    need: np.ndarray
     found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: list, n: int) -> Items:
+    def of(cls, rows: list, score: float) -> Items:
         vocabulary: dict[bytes, int] = {}
         names, texts = [], []
         for name, text in rows:
             if numbers := [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]:
                 names.append(name)
                 texts.append(np.array(numbers))
-        out = cls(names, vocabulary, texts)
-        for length in sorted({min(n, len(t)) for t in texts}):
+        out = cls(names, vocabulary, texts, np.array([max(1, math.ceil(score * len(t) - 1e-9) - 1) for t in texts], np.int64))
+        for length in sorted({min(NGRAM, len(t)) for t in texts}):
             keys, owners, places = [], [], []
             for k, t in enumerate(texts):
-                if min(n, len(t)) == length:
+                if min(NGRAM, len(t)) == length:
                     g = grams(t, length)
                     keys.append(g)
                     owners.append(np.full(len(g), k))
@@ -106,18 +107,19 @@ def _counts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
+        every = {length: np.unique(keys) for length, (keys, _, _) in items.found.items()}
         for batch in batches:
-            total: Counter = Counter()
+            total = {length: np.zeros(len(keys), np.int64) for length, keys in every.items()}
             for t in batch.column("text"):
                 ids = items.numbers(t.as_py())
-                for length, (keys, _, _) in items.found.items():
+                for length, keys in every.items():
                     g = grams(ids, length)
                     g = g[g > 0]
-                    g = g[keys[np.minimum(np.searchsorted(keys, g), len(keys) - 1)] == g] if len(g) else g
-                    total.update((length, x) for x in set(g.tolist()))
-            if total:
-                length, key = zip(*total, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(np.array(key, U64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["length", "gram", "docs"])
+                    at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+                    total[length][np.unique(at[keys[at] == g])] += 1
+            for length, docs in total.items():
+                if len(some := np.flatnonzero(docs)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), length), pa.int32()), pa.array(every[length][some].view(np.int64)), pa.array(docs[some])], ["length", "gram", "docs"])
 
     return run
 
@@ -162,9 +164,13 @@ def _pairs(items: Items, texts: list[str | None], least: float) -> list[tuple[in
         for k in np.unique(hits[:, 0]):
             mine = hits[hits[:, 0] == k]
             m = len(items.texts[k])
-            start = np.maximum(0, mine[:, 1] - mine[:, 2] - m // 2 - 2)
-            for a, b, n in _joined(start, start + 2 * m + 4):
-                by_item.setdefault(int(k), []).append((row, n, ids[a:b]))
+            own = grams(items.texts[k], min(NGRAM, m))
+            # an alignment through the seed lies within: it has at most m words that the item lacks
+            start = mine[:, 1] - mine[:, 2] - m - 2
+            for a, b, n in _joined(start, start + 3 * m + 4):
+                piece = ids[max(0, a) : b]
+                if np.isin(own, grams(piece, min(NGRAM, m))).sum() >= items.need[k]:
+                    by_item.setdefault(int(k), []).append((row, n, piece))
     best: dict[tuple[int, int], tuple[int, float]] = {}
     for k, places in by_item.items():
         places.sort(key=lambda p: len(p[2]))
@@ -206,7 +212,7 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, in
         yield int(starts[a]), int(ends[a:b].max()), int(b - a)
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterator[Broadcast]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, score: float, block: int) -> Iterator[Broadcast]:
     """The items in blocks, each with its seeds chosen by the counts in ``docs``."""
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -214,29 +220,37 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, block: int) -> Iterat
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         # about ``block`` items, whatever the benchmark's size
-        items = Items.of([(r["item_id"], r["text"]) for r in benchmark.where(part == b).orderBy("item_id", "text").collect()], n)
+        items = Items.of([(r["item_id"], r["text"]) for r in benchmark.where(part == b).orderBy("item_id", "text").collect()], score)
         if not items.texts:
             continue
         shared = spark.sparkContext.broadcast(items)
         counted = docs.select("text").mapInArrow(_counts(shared), "length int, gram long, docs long").groupBy("length", "gram").agg(F.sum("docs").alias("docs")).collect()
         counts = {(r["length"], r["gram"] & 0xFFFFFFFFFFFFFFFF): r["docs"] for r in counted}
-        for length, (keys, owners, _) in list(items.found.items()):
+        for length, (keys, owners, places) in list(items.found.items()):
             seen = np.array([counts.get((length, int(k)), 0) for k in keys])
-            median = np.array([np.median(seen[owners == k]) if (owners == k).any() else 0 for k in range(len(items.texts))])
-            items.keep(length, seen <= COMMON * np.maximum(median[owners], FLOOR / COMMON))
+            order = np.lexsort((places, seen, owners))
+            owner = owners[order]
+            first = np.flatnonzero(np.insert(owner[1:] != owner[:-1], 0, True))
+            size = np.diff(np.append(first, len(owner)))
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys)) - np.repeat(first, size)
+            # all but the need - 1 most frequent n-grams of each item
+            most = np.zeros(len(items.texts), np.int64)
+            most[owner[first]] = size - items.need[owner[first]] + 1
+            items.keep(length, rank < most[owners])
         yield spark.sparkContext.broadcast(items)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, seeds (shared seed places) and score (0 to 1) of each leak."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [docs.mapInArrow(_leaks(shared, score), PAIR) for shared in _blocks(docs, benchmark, n, block)]
+    found = [docs.mapInArrow(_leaks(shared, score), PAIR) for shared in _blocks(docs, benchmark, score, block)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], PAIR)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE, block: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the documents that leak."""
     kept = docs
-    for shared in _blocks(docs, benchmark, n, block):
+    for shared in _blocks(docs, benchmark, score, block):
         kept = kept.mapInArrow(_without(shared, score), docs.schema)
     return kept

@@ -155,6 +155,15 @@ def test_decontamination(spark, odd, empty, block):
     assert decontaminate.clean(odd, benchmark.limit(0)).count() == 9
 
 
+def test_decontamination_of_an_edited_copy_in_many_documents(spark):
+    item = prose(600, 37).split()
+    edited = " ".join(f"other{i}" if i % 6 == 5 else w for i, w in enumerate(item))
+    docs = make(spark, [(k, f"{prose(700 + k, 20)} {edited} {prose(900 + k, 20)}", "s") for k in range(150)] + [(150, prose(1, 80), "s")])
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, benchmark).collect()} == set(range(150))
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [150]
+
+
 def test_secrets_keep_true_findings_only(spark, odd, empty):
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
