@@ -164,6 +164,26 @@ def test_decontamination_of_an_edited_copy_in_many_documents(spark):
     assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [150]
 
 
+def test_decontamination_misses_no_pair_of_the_plain_matrix(spark):
+    rng = random.Random(8)
+    items = {k: prose(800 + k, n).split() for k, n in enumerate([14, 14, 14, 20, 31, 40, 57, 3])}
+    copies = [[f"x{i}" if i in (4, 9) else w for i, w in enumerate(items[0])], [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(items[4])]]
+    copies.append([w for i, x in enumerate(items[3]) for w in ([x, "more"] if i % 2 else [x])])  # a word more after every two
+    for k, words in items.items():
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+            copies.append([w for x in words for w in rng.choices([[x], ["y"], [], [x, "z"]], [1 - share] + [share / 3] * 3)[0]])
+    docs = [(i, f"{prose(i, 30)} {' '.join(c)} {prose(i + 500, 30)}") for i, c in enumerate(copies)]
+    want, numbers = set(), {}
+    for i, text in docs:
+        for k, words in items.items():
+            ids = [np.array([numbers.setdefault(w, len(numbers)) for w in x]) for x in (text.split(), words)]
+            if decontaminate.align(ids[:1], ids[1])[0] >= 0.5 * len(words):
+                want.add((i, k))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, [(i, t, "s") for i, t in docs]), benchmark).collect()}
+    assert {(0, 0), (1, 4), (2, 3)} <= found and found == want
+
+
 def test_secrets_keep_true_findings_only(spark, odd, empty):
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
