@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from quoteloom.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
 from quoteloom.llm.common import table, written
 
 
@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The factorization machine, the fingerprints and the alignment are beyond SQL.
+#: The factorization machine, the minima and the alignment are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -168,15 +168,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) ->
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only.
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component of ``found`` (doc_id, component_id) only.
 
     Rows that share a doc_id are one document, its smallest row by text (null ones too); it goes
     if any of them is linked to a smaller doc_id.
     """
-    found = near_duplicates(docs, shingle, hot)
     gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = kept.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
     return one.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component only (see ``first_rows``)."""
+    return first_rows(docs, near_duplicates(docs, shingle, hot))

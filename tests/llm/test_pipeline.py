@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against a plain check, and the registered SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -36,6 +38,33 @@ def test_stages(spark):
     assert mixed and all(len(r.text.split()) == r.taken for r in mixed)
 
 
+def test_near_copies_are_one_document(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):  # pairs at 0.89 and about 0.8
+        words = prose(88)
+        texts += [words, ["x" if i == 40 else w for i, w in enumerate(words)]]
+        texts += [(words := prose(100)), ["x" if i in (30, 70) else w for i, w in enumerate(words)]]
+    crowd = prose(200)
+    texts += [[f"c{k}" if i == 3 * k else w for i, w in enumerate(crowd)] for k in range(60)]
+    texts += [crowd[:100] + prose(100), crowd[:60], prose(3)]
+
+    def sets(words):
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    known = [sets(w) for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(known[i] & known[j]) >= 0.8 * len(known[i] | known[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert left == set(root) and len(left) == 124
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_sql(spark, name):
     got = entry.queries()[name](spark, SF)
