@@ -9,6 +9,9 @@ from quoteloom.llm import decontaminate, line_dedup, mixing, near_copies, toxici
 from quoteloom.llm.common import table, written
 
 
+LEAST_PAGES = 10  # distinct pages of a source that hold a boilerplate line
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -16,9 +19,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
+    """Documents without the boilerplate lines of their source.
+
+    Copies of a text count once and a handful of pages makes no boilerplate, so that copies keep
+    their lines for the next stage, which folds them.
+    """
     columns = docs.columns
-    kept = line_dedup.drop_boilerplate(docs)
+    kept = line_dedup.drop_boilerplate(docs, least=LEAST_PAGES, copies=False)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
 
 

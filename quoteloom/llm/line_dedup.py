@@ -33,19 +33,22 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(host, lines): the hashes of the boilerplate lines of each host that has some."""
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
+    """(host, lines): the hashes of the boilerplate lines of each host that has some. Without
+    ``copies``, pages of a host with equal texts count as one."""
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), line_hash))
-    pages = pages.select(host.alias("host"), F.coalesce(lines, F.array().cast("array<long>")).alias("lines"))
+    pages = pages.select(host.alias("host"), F.coalesce(lines, F.array().cast("array<long>")).alias("lines"), F.xxhash64(text).alias("page"))
+    if not copies:
+        pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("found"))
     frequent = counts.where(F.col("found") >= least).join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("found") > F.lit(ratio) * F.col("pages"))
     return frequent.groupBy(counts["host"]).agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS, copies: bool = True) -> DataFrame:
     """``pages`` with their boilerplate lines gone from ``text``, and n_lines and n_dropped."""
-    found = written(boilerplate(pages, F.col(host), F.col(text), ratio, least)).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    found = written(boilerplate(pages, F.col(host), F.col(text), ratio, least, copies)).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     size = found.agg(F.count("*"), F.sum(F.size("_lines"))).first()
     if size[0] + (size[1] or 0) <= broadcast_rows:
         joined = pages.join(F.broadcast(found), F.col(host).eqNullSafe(F.col("_host")), "left")

@@ -65,6 +65,14 @@ def test_near_copies_are_one_document(spark):
     assert left == set(root) and len(left) == 124
 
 
+def test_copies_keep_their_lines(spark):
+    prose = lambda k: "\n".join(f"line {k} {j}" for j in range(4))
+    texts = [prose(k) + ("\nfooter" if k < 20 else "") for k in range(40)] + [prose("copied")] * 30 + [prose("few")] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {i: t.removesuffix("\nfooter") for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_sql(spark, name):
     got = entry.queries()[name](spark, SF)
