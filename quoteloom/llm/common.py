@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local one chosen, and it is then
-    set for the whole session.
+    A local one is chosen only where the session names none and runs in one process (tests, a
+    laptop); on a cluster, whose executors would each write to a disk of their own, that is an
+    error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quoteloom-")
         context.setCheckpointDir(named)
     elif not context.getCheckpointDir():
@@ -41,6 +45,42 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(*frames: DataFrame | list[str]) -> str:
+    """A prefix that no column of ``frames`` starts with, for an operator's own columns."""
+    taken = [c.lower() for f in frames for c in (f.columns if isinstance(f, DataFrame) else f)]
+    prefix = "_q_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names, in any case: an operator's results replace them."""
+    drop = {n.lower() for n in names}
+    return df.select(*(named(c) for c in df.columns if c.lower() not in drop))
+
+
+def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each Column of ``sums`` over all rows before it in ``order``.
+
+    The rows are range-sorted over the cluster; each range is summed from its own start and gets the
+    total of the ranges before, so no task holds more than a range. Ties in ``order`` are allowed
+    only between rows whose order does not matter.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select(F.col("_range").alias("_of"), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    inner = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    return placed.select(*(named(c) for c in rows.columns), *((F.col(f"_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(n) for n, c in sums.items()))
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, and the offsets of its rows (a null is empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -98,18 +98,48 @@ def test_mix_targets_and_bounds(spark, odd, empty):
         x = sources.setdefault(r.source, [r.source_size, r.target, 0])
         x[2] += r.taken
     assert abs(sum(x[1] for x in sources.values()) - 1.5 * total) < 1e-6
+    # truncation is by packets: what a source misses or has over is some others' last packets
+    packets = sum(max(1, target // mixing.PACKETS) for _, target, _ in sources.values())
     for size, target, taken in sources.values():
-        assert target <= 2 * size and abs(taken - target) < 1
+        assert target <= 2 * size and abs(taken - target) < packets
+    assert sum(taken for *_, taken in sources.values()) == int(1.5 * total)
     again = mixing.virtual_times(make(spark, rows).repartition(7)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     mixed = mixing.mix(make(spark, rows)).collect()
     assert [r.finish for r in mixed] == sorted(r.finish for r in mixed)
     assert all(len(r.text.split()) == r.taken for r in mixed)
     assert sum(r.taken for r in mixed) == sum(r.taken for r in got)
+    takes = {}
+    for r in mixed:
+        takes[r.doc_id] = takes.get(r.doc_id, 0) + r.taken
+    assert takes == {r.doc_id: r.taken for r in got if r.taken}
     assert len(mixing.virtual_times(odd).collect()) == 9
+    repeated = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "other text", "s"), (None, "no id", "s"), (None, None, "s")]
+    assert sorted((str(r.doc_id), r.text, r.copy) for r in mixing.mix(make(spark, repeated), share=2).collect()) == sorted((str(d), t, k) for d, t, _ in repeated if t for k in (0, 1))
     assert mixing.virtual_times(empty).collect() == [] and mixing.mix(empty).collect() == []
 
 
+def test_mix_serves_packets_in_order_of_finish_times(spark):
+    """The mix against a queue walked packet by packet."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.choice([1, 5, 60, 4000])), rng.choice("abcd")) for k in range(60)]
+    got = {r.doc_id: r for r in mixing.virtual_times(make(spark, rows)).collect()}
+    packets = []
+    for r in got.values():
+        most = max(1, int(r.target // mixing.PACKETS))
+        for copy in range(2):
+            for start in range(0, r.size, most):
+                place, words = r.source_size * copy + r.served + start, min(most, r.size - start)
+                packets.append(((place + words) / r.target, r.source, place, words, r.doc_id))
+    left, taken = int(1.5 * sum(r.size for r in got.values())), dict.fromkeys(got, 0)
+    for *_, words, d in sorted(packets):
+        taken[d] += min(words, left)
+        left -= min(words, left)
+    assert taken == {d: r.taken for d, r in got.items()}
+    plan = mixing.running(make(spark, rows).select("doc_id"), ["doc_id"], {"n": F.lit(1)})
+    assert sorted((r.doc_id, r.n) for r in plan.collect()) == [(k, k) for k in range(60)]
+
+
 def test_personal_data_patterns():
     found = pii.base_spans("a.b@c-d.ee f@g, 1.2.3.4.5 300.1.1.1, 4111 1111 1111 1111, +1 (619) 555-0053 x")
     assert found == [("email", 0, 10), ("ip", 16, 23), ("card", 37, 56), ("phone", 58, 75)]
