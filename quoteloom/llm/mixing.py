@@ -23,6 +23,8 @@ an empty result. Of further columns, ``mix`` keeps those whose names are not its
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,13 +52,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, repeats:
     # the least stops for their weight are reached first, as all targets rise together
     sources = sources.withColumn("level", F.col("stop") / F.col("weight"))
     sources = written(running(sources, ["level", "key"], {"stopped": F.col("stop"), "risen": F.col("weight")}))
-    sums = sources.agg((F.sum("total") * F.lit(float(share))).alias("budget"), F.sum("weight").alias("weights"))
-    sources = sources.crossJoin(F.broadcast(sums))  # one row of sums
-    full = F.col("stop") * (F.col("weights") - F.col("risen")) <= (F.col("budget") - F.col("stopped")) * F.col("weight")
+    words, weighed = sources.agg(F.sum("total"), F.sum("weight")).first()
+    budget = F.lit(float(words or 0) * share)
+    full = F.col("stop") * (F.lit(weighed) - F.col("risen")) <= (budget - F.col("stopped")) * F.col("weight")
     sources = written(sources.withColumn("full", full))
-    rest = sources.agg(F.sum(F.when(F.col("full"), F.col("stop")).otherwise(0.0)).alias("given"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).alias("open"))
-    sources = sources.crossJoin(F.broadcast(rest))  # one row of sums
-    return sources.select("key", "total", F.when(F.col("full"), F.col("stop")).otherwise((F.col("budget") - F.col("given")) * F.col("weight") / F.col("open")).alias("target"))
+    given, rising = sources.agg(F.sum(F.when(F.col("full"), F.col("stop")).otherwise(0.0)), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight")))).first()
+    return sources.select("key", "total", F.when(F.col("full"), F.col("stop")).otherwise((budget - F.lit(given)) * F.col("weight") / F.lit(rising)).alias("target"))
 
 
 def _queued(slim: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
@@ -68,12 +69,12 @@ def _queued(slim: DataFrame, weights: tuple[int, ...], share: float, repeats: in
     key = F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("2"))
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text_mark")))
     slim = written(slim.select("row", "doc_id", "text_mark", "source", key.alias("key"), F.substring(mark, 1, SLICES).alias("slice"), F.substring(mark, SLICES + 1, 13).alias("mark"), "size"))
-    slices = slim.groupBy("key", "slice").agg(F.sum("size").alias("words"))
+    slices = written(slim.groupBy("key", "slice").agg(F.sum("size").alias("words")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     aims = targets(slices.groupBy("key").agg(F.sum("words").alias("total")), weights, share, repeats)
-    slices = slices.select("key", "slice", before.alias("before")).join(aims, "key")
+    begun = slices.select("key", "slice", before.alias("before")).join(aims, "key")
     inner = Window.partitionBy("key", "slice").orderBy("mark", "doc_id", "size", "text_mark").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.join(slices, ["key", "slice"]).withColumn("served", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = slim.join(begun, ["key", "slice"]).withColumn("served", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = written(placed.select("row", "doc_id", "source", "key", "size", F.col("total").alias("source_size"), "target", "served"))
 
     packet = F.greatest(F.lit(1).cast("long"), F.floor(F.col("target") / PACKETS).cast("long"))
@@ -83,9 +84,8 @@ def _queued(slim: DataFrame, weights: tuple[int, ...], share: float, repeats: in
     place = F.col("source_size") * F.col("copy") + F.col("served") + F.col("start")
     packets = packets.select("key", "served", "size", "copy", place.alias("place"), words.alias("words"), ((place + words) / F.col("target")).alias("finish"))
     queue = running(packets, ["finish", "key", "place"], {"ahead": F.col("words")})
-    budget = aims.agg(F.floor(F.sum("total") * F.lit(float(share))).cast("long").alias("budget"))
-    cut = queue.crossJoin(F.broadcast(budget))  # one row
-    cut = cut.withColumn("taken", F.least(F.col("words"), F.col("budget") - F.col("ahead"))).where("taken > 0")
+    budget = math.floor((slices.agg(F.sum("words")).first()[0] or 0) * share)
+    cut = queue.withColumn("taken", F.least(F.col("words"), F.lit(budget).cast("long") - F.col("ahead"))).where("taken > 0")
     takes = cut.groupBy(F.col("key").alias("of"), F.col("served").alias("at"), F.col("size").alias("long")).agg(
         F.array(*(F.sum(F.when(F.col("copy") == k, F.col("taken")).otherwise(0)) for k in range(repeats))).alias("takes")
     )

@@ -1,22 +1,28 @@
 """Personal data: set patterns, and a linear-chain conditional random field for other spellings.
 
 The patterns (email, ip, card, phone) are found leftmost and without overlap, each kind by itself.
-The random field then labels the tokens around every token that holds a digit or an at sign (no
-other token can belong to one of the four kinds) by B and I tags of each kind, from word-shape
-features of the token and its neighbours. It is trained by gradient on the labelled sentences of
-``labelled`` (a small table written from a rule) and decoded by Viterbi over all sequences of an
-Arrow batch at once. A decoded span must hold a plausible number of digits or an address, and is
-dropped if it overlaps a span of the patterns.
+The random field then labels the tokens around every hint by B and I tags of each kind, from
+word-shape features of the token and its neighbours. A hint is a token with a digit, an at sign, a
+bracketed ``at`` or ``dot``, or the word ``dot``: every spelling that the field is trained on holds
+one. (An address with a plain ``at`` and full stops, "anna at example.org", is not told from prose.)
+The field is trained by gradient on the labelled sentences of ``labelled`` (a small table written
+from a rule) and decoded by Viterbi over all sequences of an Arrow batch at once. A decoded span must
+hold a plausible number of digits or an address, and is dropped if it overlaps a span of the patterns.
+
+Every stretch of tokens near hints is decoded to its end. One of over ``PART`` tokens is decoded in
+parts that overlap by ``OVERLAP`` tokens on both sides, more than any plausible span has; a span
+counts in the part that holds its start outside the overlap, so no span is lost at a cut.
 
 One pass over the texts, without a shuffle; the weights go to every task (a few thousand numbers).
 
 Edge cases: a null or empty text has no spans (the digest of an empty string). Positions count code
-points, ends are exclusive. Long runs of digits or letters are read once, so very long texts take
-linear time. Repeated rows are scanned alike; other columns are not read.
+points, ends are exclusive. Tokens and texts are read whole, in linear time. Repeated rows are
+scanned alike; an empty table gives an empty result; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -42,9 +48,12 @@ NUMBERS = re.compile(r"[0-9]+(?:(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
-HINT = re.compile(r"[0-9@]")
+HINT = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|(?<![^\W_])dot(?![^\W_])", re.IGNORECASE)
+SPELLED = re.compile(r"[(\[{<](?:at|dot)[)\]}>]")
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,base:boolean>>"
 
+FEATURES = 17  # of each token
+
 Span = tuple[str, int, int]
 
 
@@ -91,7 +100,7 @@ def base_spans(text: str) -> list[Span]:
 def shape(token: str) -> str:
     s = re.sub(r"[0-9]", "9", token)
     s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() else "x", s)
-    return re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), s)[:24]
+    return re.sub(r"9+", lambda m: "9" * min(len(m[0]), 5), s)
 
 
 def features(tokens: list[str]) -> list[list[str]]:
@@ -105,6 +114,7 @@ def features(tokens: list[str]) -> list[list[str]]:
             "bias", f"s={shapes[i + 2]}", f"s-={shapes[i + 1]}", f"s+={shapes[i + 3]}", f"s--={shapes[i]}", f"s++={shapes[i + 4]}",
             f"w-={low[i]}" if low[i].isalpha() else "w-", f"w+={low[i + 2]}" if low[i + 2].isalpha() else "w+", f"w={low[i + 1]}" if low[i + 1].isalpha() else "w",
             f"d={min(digits, 20)}", f"dots={min(t.count('.'), 4)}", f"dash={min(t.count('-'), 4)}", f"at={'@' in t}", f"plus={t[:1] == '+'}", f"paren={t[:1] == '('}",
+            f"spelled={SPELLED.sub('*', t.lower()).count('*')}", f"inner={bool(SPELLED.search(t[1:-5]))}",
         ])
     return out
 
@@ -121,8 +131,10 @@ def labelled(count: int = SENTENCES, seed: int = 11) -> list[tuple[list[str], li
         return rng.choice([f"+{rng.randint(1, 99)} ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"+{rng.randint(1, 99)}{n(10)}", f"0{n(3)} {n(3)} {n(4)}", f"({n(3)}){n(3)}-{n(4)}"])
 
     def email() -> str:
-        name, host = rng.choice([word(), word() + "." + n(2), word() + "_" + word()]), rng.choice(["mail", "post", "web"]) + str(rng.randint(0, 9))
-        return rng.choice([f"{name}@{host}.example.com", f"{name} @ {host}.example.org", f"{name}(at){host}.example.net", f"{name} [at] {host} [dot] com", f"{name}@{host} dot com"])
+        name, host = rng.choice([word(), word() + "." + n(2), word() + "_" + word()]), rng.choice(["mail", "post", "web", word()]) + rng.choice(["", str(rng.randint(0, 9))])
+        at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), ("(at)", "dot"), ("[at]", "dot"), ("(at)", ".")])
+        end = rng.choice(["com", "org", "net"])
+        return rng.choice([f"{name}@{host}.example.com", f"{name} @ {host}.example.org", f"{name}{at}{host}.example.{end}", f"{name} {at} {host} {dot} {end}" if dot != "." else f"{name} {at} {host}.{end}", f"{name}{at}{host}{dot if dot != 'dot' else '.'}{end}", f"{name}@{host} dot {end}", f"{name} at {host} dot {end}"])
 
     def card() -> str:
         return rng.choice([n(16), f"{n(4)} {n(4)} {n(4)} {n(4)}", f"{n(4)}-{n(4)}-{n(4)}-{n(4)}", f"{n(4)}.{n(4)}.{n(4)}.{n(4)}", f"{n(4)} {n(6)} {n(5)}"])
@@ -132,7 +144,7 @@ def labelled(count: int = SENTENCES, seed: int = 11) -> list[tuple[list[str], li
         return rng.choice([".".join(parts), ".".join(parts), "[.]".join(parts), ".".join(parts) + f":{rng.randint(80, 9999)}"])
 
     def other() -> str:
-        return rng.choice([f"version {n(1)}.", f"{n(1)}.{n(1)}", f"{n(1)}.{n(1)}.{n(2)}", f"in {rng.randint(1900, 2030)}", f"page {n(2)} of {n(3)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"${n(2)}.{n(2)}", f"{n(3)},{n(3)}", "AKIA" + word().upper() + n(3) + word().upper(), f'token = "{n(6)}ab{n(5)}cd{n(9)}"', f"password={n(4)}af{n(3)}c{n(4)}", f"#{n(5)}", f"id {n(7)}", f"{n(5)}", f"x{n(2)}", f"@{word()}", f"{n(12)}", f"{n(24)}", f"({n(1)})", f"{n(3)} {n(3)}", f"CC BY-NC {n(1)}.0."])
+        return rng.choice([f"version {n(1)}.", f"{n(1)}.{n(1)}", f"{n(1)}.{n(1)}.{n(2)}", f"in {rng.randint(1900, 2030)}", f"page {n(2)} of {n(3)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"${n(2)}.{n(2)}", f"{n(3)},{n(3)}", "AKIA" + word().upper() + n(3) + word().upper(), f'token = "{n(6)}ab{n(5)}cd{n(9)}"', f"password={n(4)}af{n(3)}c{n(4)}", f"#{n(5)}", f"id {n(7)}", f"{n(5)}", f"x{n(2)}", f"@{word()}", f"{n(12)}", f"{n(24)}", f"({n(1)})", f"{n(3)} {n(3)}", f"CC BY-NC {n(1)}.0.", "the dot", f"a {word()} (at) the", f"{word()} dot {word()}"])
 
     cues = {"email": ["mail", "email", "write", "contact"], "ip": ["from", "host", "server", "ip"], "card": ["card", "visa", "pay", "account"], "phone": ["call", "phone", "tel", "fax"]}
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
@@ -151,9 +163,12 @@ def labelled(count: int = SENTENCES, seed: int = 11) -> list[tuple[list[str], li
                 say(other() + end(), None)
             else:
                 kind = rng.choice(KINDS)
-                if rng.random() < 0.4:
+                cue, made = rng.random(), makers[kind]()
+                if cue < 0.1:
+                    made = f"{rng.choice(cues[kind])}:{made}"
+                elif cue < 0.45:
                     say(rng.choice(cues[kind]), None)
-                say(makers[kind]() + end(), kind)
+                say(made + end(), kind)
         say(" ".join(word() for _ in range(rng.randint(0, 3))), None)
         out.append((tokens, tags))
     return out
@@ -197,7 +212,7 @@ class Field:
 
     def encoded(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         longest, none = max(map(len, sequences)), len(self.names)
-        ids = np.full((len(sequences), longest, 15), none)
+        ids = np.full((len(sequences), longest, FEATURES), none)
         mask = np.zeros((len(sequences), longest), bool)
         for r, tokens in enumerate(sequences):
             mask[r, : len(tokens)] = True
@@ -226,13 +241,17 @@ class Field:
         pairs = ahead[:, :-1, :, None] + move + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - whole[:, None, None, None]
         return marginal, (np.exp(pairs) * mask[:, 1:, None, None]).sum(axis=(0, 1))
 
-    def decoded(self, sequences: list[list[str]], at_once: int = 512) -> list[list[str]]:
-        """Most likely tags of each sequence (Viterbi), like lengths side by side."""
+    def decoded(self, sequences: list[list[str]], tokens: int = 1 << 15) -> list[list[str]]:
+        """Most likely tags of each sequence (Viterbi), like lengths side by side, ``tokens`` at once."""
         out: list[list[str]] = [[] for _ in sequences]
         order = sorted(range(len(sequences)), key=lambda r: len(sequences[r]))
         move = np.where(self.allowed, self.moves, -1e9)
-        for at in range(0, len(order), at_once):
-            some = order[at : at + at_once]
+        at = 0
+        while at < len(order):
+            more = at + 1
+            while more < len(order) and (more + 1 - at) * len(sequences[order[more]]) <= tokens:
+                more += 1
+            some, at = order[at:more], more
             ids, mask = self.encoded([sequences[r] for r in some])
             emit = self.scores(ids)
             best, came = emit[:, 0] + np.where(self.first, 0, -1e9), []
@@ -259,41 +278,26 @@ def default_field() -> Field:
     return Field(labelled())
 
 
-LONGEST = 400  # tokens of one sequence; a longer stretch of numbers is decoded in parts
+PART = 2000  # tokens of a stretch that are decoded at once
+OVERLAP = 64
 
 
 def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token positions of each stretch around tokens with a digit or an at sign."""
-    hints = [m.start() for m in HINT.finditer(text)]
-    if not hints:
+    """Token positions of each stretch around hints."""
+    if not HINT.search(text):
         return
-    a = 0
-    while a < len(hints):
-        # a window of characters wide enough for the tokens around, grown while hints are near
-        b = a
-        while b + 1 < len(hints) and hints[b + 1] - hints[b] < 120:
-            b += 1
-        low, high = max(0, hints[a] - 120), min(len(text), hints[b] + 120)
-        while low > 0 and not text[low - 1].isspace() and hints[a] - low < 400:
-            low -= 1
-        while high < len(text) and not text[high].isspace() and high - hints[b] < 400:
-            high += 1
-        tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, low, high)]
-        near = np.zeros(len(tokens) + 1, np.int64)
-        for i, (s, e) in enumerate(tokens):
-            if HINT.search(text, s, e):
-                near[max(0, i - CONTEXT)] += 1
-                near[min(len(tokens), i + CONTEXT + 1)] -= 1
-        run: list[tuple[int, int]] = []
-        for t, on in zip(tokens, np.cumsum(near)[:-1], strict=True):
-            if on and len(run) < LONGEST:
-                run.append(t)
-            elif run:
-                yield run
-                run = [t] if on else []
-        if run:
-            yield run
-        a = b + 1
+    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    starts = np.array([s for s, _ in tokens])
+    hints = np.unique(np.searchsorted(starts, [m.start() for m in HINT.finditer(text)], "right") - 1)
+    new = np.flatnonzero(np.insert(np.diff(hints) > 2 * CONTEXT + 1, 0, True))
+    for a, b in zip(new, np.append(new[1:], len(hints)), strict=True):
+        yield tokens[max(0, hints[a] - CONTEXT) : hints[b - 1] + CONTEXT + 1]
+
+
+def parts(count: int) -> Iterator[tuple[int, int, int, int]]:
+    """From, to, and the core within, of the parts in which ``count`` tokens are decoded."""
+    for core in range(0, count, PART):
+        yield max(0, core - OVERLAP), min(count, core + PART + OVERLAP), core, min(count, core + PART)
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -309,33 +313,51 @@ def plausible(kind: str, text: str) -> bool:
     return 7 <= digits <= 15 and text.lstrip("(+")[:1].isdigit()
 
 
-def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
     piece = text[start:end]
     end -= len(piece) - len(piece.rstrip(".,;:!?\"'"))
     piece = text[start:end]
-    return start + len(piece) - len(piece.lstrip("\"',;:")), end
+    start += len(piece) - len(piece.lstrip("\"',;:"))
+    # a word that stands before without a space is no part of it
+    before = re.match(r"[^\W\d_]+:(?=.)" if kind == "email" else r"[^0-9(+\[]+(?=[0-9(+\[])", text[start:end])
+    return start + (before.end() if before else 0), end
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], field: Field) -> list[list[Span]]:
     """Spans the field finds beside the patterns', for each text."""
     where, sequences = [], []
     for k, text in enumerate(texts):
+        starts = np.array(sorted(b for _, b, _ in bases[k]))
+        ends = np.maximum.accumulate([e for _, _, e in sorted(bases[k], key=lambda s: s[1])]) if len(starts) else starts
         for run in stretches(text):
-            if any(not any(b <= s and e <= f for _, b, f in bases[k]) for s, e in run if HINT.search(text, s, e)):
-                where.append((k, run))
-                sequences.append([text[s:e][:200] for s, e in run])
+            for low, high, first, last in parts(len(run)):
+                tokens = run[low:high]
+                s, e = np.array(tokens).T
+                # a part whose hints all lie within spans of the patterns has nothing to add
+                known = np.searchsorted(starts, s, "right")
+                inside = (known > 0) & (ends[np.maximum(known - 1, 0)] >= e) if len(starts) else np.zeros(len(s), bool)
+                if any(HINT.search(text, *tokens[i]) for i in np.flatnonzero(~inside)):
+                    where.append((k, tokens, first - low, last - low))
+                    sequences.append([text[a:b] for a, b in tokens])
+    by_kind = [[sorted((b, e) for kind, b, e in base if kind == one) for one in KINDS] for base in bases]
+
+    def overlaps(k: int, start: int, end: int) -> bool:
+        # spans of one kind do not overlap: the last that starts before ``end`` reaches furthest
+        last = ((spans, bisect.bisect_left(spans, (end,))) for spans in by_kind[k])
+        return any(at and spans[at - 1][1] > start for spans, at in last)
+
     out: list[list[Span]] = [[] for _ in texts]
-    for (k, run), tags in zip(where, field.decoded(sequences) if sequences else [], strict=True):
-        i = 0
-        while i < len(tags):
+    for (k, run, first, last), tags in zip(where, field.decoded(sequences) if sequences else [], strict=True):
+        i = first
+        while i < last:
             if tags[i][0] != "B":
                 i += 1
                 continue
             j, kind = i + 1, tags[i][2:]
             while j < len(tags) and tags[j] == f"I-{kind}":
                 j += 1
-            start, end = _trimmed(texts[k], run[i][0], run[j - 1][1])
-            if start < end and plausible(kind, texts[k][start:end]) and not any(start < f and b < end for _, b, f in bases[k]):
+            start, end = _trimmed(kind, texts[k], run[i][0], run[j - 1][1])
+            if start < end and plausible(kind, texts[k][start:end]) and not overlaps(k, start, end):
                 out[k].append((kind, start, end))
             i = j
     return [sorted(set(s), key=lambda x: (KINDS.index(x[0]), x[1])) for s in out]
