@@ -65,6 +65,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(named(c) for c in df.columns if c.lower() not in drop))
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ...: ``mapInArrow`` cannot read some names."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """``rows`` with the sum of each Column of ``sums`` over all rows before it in ``order``.
 

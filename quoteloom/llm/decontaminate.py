@@ -15,7 +15,8 @@ but one count for each word pair of the block and batch. A task holds one Arrow
 
 Edge cases: null or empty texts and items without words match nothing. Of items with equal ids,
 each is compared. Repeated documents are each reported. Rows with a null doc_id or item_id are
-reported under null. An empty table gives no pairs.
+reported under null. An empty table gives no pairs. ``clean`` keeps all columns, of any name and
+type; ``leaks`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoteloom.llm.common import positional
+
 NGRAM = 2
 SCORE = 0.5
 BLOCK = 5000
@@ -193,12 +196,14 @@ def _leaks(shared, least: float):
     return run
 
 
-def _without(shared, least: float):
+def _without(shared, least: float, columns: list[str]):
+    text = columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            keep[[row for row, *_ in _pairs(shared.value, batch.column("text").to_pylist(), least)]] = False
-            yield batch.filter(pa.array(keep))
+            keep[[row for row, *_ in _pairs(shared.value, batch.column(text).to_pylist(), least)]] = False
+            yield batch.rename_columns(columns).filter(pa.array(keep))
 
     return run
 
@@ -252,5 +257,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block: in
     """``docs`` without the documents that leak."""
     kept = docs
     for shared in _blocks(docs, benchmark, score, block):
-        kept = kept.mapInArrow(_without(shared, score), docs.schema)
+        kept = positional(kept).mapInArrow(_without(shared, score, docs.columns), docs.schema)
     return kept

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,10 +285,37 @@ def test_machine_learns_pairs():
         texts.append(np.sort(np.array([1] * int(a) + [2] * int(b) + list(100 + rng.choice(30, 5, replace=False)), np.int64)))
         labels.append(float(a and b))
     m = toxicity.fit(texts, np.array(labels), steps=600)
-    pair = m.factors[m.rows[1]] @ m.factors[m.rows[2]]
+    pair = m.factors[m.known.tolist().index(1)] @ m.factors[m.known.tolist().index(2)]
     assert pair > 0.5  # beyond the sum of both weights
 
 
+def test_machine_learns_what_only_the_pair_tells():
+    """One word of two is toxic, both or none is not: neither word alone goes with the label."""
+    rng, texts, labels = random.Random(1), [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(rng.sample([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(200)], 20) + ["insult"] * a + ["group"] * b))
+        labels.append(float(a != b))
+    column = pa.array(texts)
+    m = toxicity.fit(toxicity.sets(column)[:2000], np.array(labels[:2000]), steps=900)
+    right = (m.scores(column)[2000:] >= 0.5) == (np.array(labels[2000:]) > 0)
+    assert right.mean() > 0.95
+
+
+def test_scores_of_a_batch_are_those_of_the_formula():
+    rng = np.random.default_rng(2)
+    texts = ["The insult, the GROUP\nand été Été supercalifragilisticexpialidocious", None, "", "9 + 9", "group insult insulting", "x" * 3000 + " y"]
+    each = toxicity.sets(pa.array(texts))
+    assert [len(t) for t in each][1:4] == [0, 0, 0] and [t.tolist() for t in each] == [toxicity.sets(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    assert len(each[4]) == len({*"group insult insulting".split(), *(f"4{w[:4]}" for w in "group insult".split()), *(f"5{w[:5]}" for w in "group insult".split())})
+    known = np.unique(np.concatenate(each))[::2]
+    m = toxicity.Machine(known, -0.3, rng.normal(size=len(known)), rng.normal(size=(len(known), 4)))
+    for t, got in zip(each, m.scores(pa.array(texts)), strict=True):
+        at = [k for k, x in enumerate(known.tolist()) if x in set(t.tolist())]
+        pairs = sum(m.factors[a] @ m.factors[b] for i, a in enumerate(at) for b in at[:i])
+        assert got == pytest.approx(1 / (1 + np.exp(0.3 - m.weights[at].sum() - pairs)))
+
+
 def test_toxicity(spark, odd, empty):
     rows, labels = [], []
     for k in range(400):
@@ -297,6 +325,13 @@ def test_toxicity(spark, odd, empty):
     docs, marks = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, marks)).collect()
     assert all(r.predicted == (r.doc_id % 4 == 0) and 0 <= r.score <= 1 for r in scored)
+    twice = docs.unionByName(docs)  # rows that share a doc_id are one training row
+    assert toxicity.train(twice, marks).weights.tolist() == toxicity.train(docs, marks).weights.tolist()
+    clash = docs.select("doc_id", "text", F.lit("old").alias("Score"), F.lit(1).alias("predicted"), F.create_map(F.lit("k"), F.lit(1)).alias("toxic"), F.lit(2).alias("a.b"))
+    again = toxicity.score(clash, toxicity.train(clash, marks))
+    assert again.columns == ["doc_id", "text", "toxic", "a.b", "score", "predicted"] and {(r.doc_id, r.score) for r in again.collect()} == {(r.doc_id, r.score) for r in scored}
+    kept = toxicity.clean(clash, toxicity.train(clash, marks))
+    assert kept.columns == clash.columns and {(r.doc_id, r.Score, r.predicted) for r in kept.collect()} == {(k, "old", 1) for k in range(400) if k % 4}
     machine = toxicity.train(docs, marks.limit(0))
     assert {r.predicted for r in toxicity.score(odd, machine).collect()} == {0}
     assert toxicity.score(empty, machine).collect() == []
