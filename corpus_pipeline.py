@@ -14,8 +14,7 @@ LEAST_PAGES = 10  # distinct pages of a source that hold a boilerplate line
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
-    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
