@@ -13,7 +13,9 @@ host dealt over ``SALTS`` groups.
 
 Edge cases: a null text stays null with 0 lines; an empty text is one blank line. Pages whose host
 is null form one host. A page that loses every line becomes an empty text. Rows are pages, repeated
-doc_ids or not. Other columns pass through unchanged; an empty table gives an empty one.
+doc_ids or not. Other columns pass through unchanged, of any name and type, but for any called like
+the two counts, which these replace; an empty table gives an empty one. Very long texts are cut in
+lines as any other.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.llm.common import written
+from quoteloom.llm.common import fresh, named, without, written
 
 RATIO = 0.05
 LEAST = 3
@@ -46,22 +48,28 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return frequent.groupBy(counts["host"]).agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS, copies: bool = True) -> DataFrame:
-    """``pages`` with their boilerplate lines gone from ``text``, and n_lines and n_dropped."""
-    found = written(boilerplate(pages, F.col(host), F.col(text), ratio, least, copies)).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    size = found.agg(F.count("*"), F.sum(F.size("_lines"))).first()
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS, copies: bool = True, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``pages`` with their boilerplate lines gone from ``text``, and the counts n_lines and n_dropped
+    (under ``names``; they replace columns so named)."""
+    pages = without(pages, *names)
+    own = fresh(pages, list(names))
+    found = written(boilerplate(pages, F.col(host), F.col(text), ratio, least, copies)).select(F.col("host").alias(f"{own}host"), F.col("lines").alias(f"{own}lines"))
+    size = found.agg(F.count("*"), F.sum(F.size(f"{own}lines"))).first()
+    same = F.col(host).eqNullSafe(F.col(f"{own}host"))
     if size[0] + (size[1] or 0) <= broadcast_rows:
-        joined = pages.join(F.broadcast(found), F.col(host).eqNullSafe(F.col("_host")), "left")
+        joined = pages.join(F.broadcast(found), same, "left")
     else:
         salt = F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS))
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = pages.withColumn("_with", salt).join(salted, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_with") == F.col("_salt")), "left").drop("_with", "_salt")
-    lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_lines", line_hash(x))))
-    joined = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return joined.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_kept", "_lines", "_host")
+        salted = found.withColumn(f"{own}salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = pages.withColumn(f"{own}with", salt).join(salted, same & (F.col(f"{own}with") == F.col(f"{own}salt")), "left")
+    lines, drop = F.split(F.col(text), "\n"), F.col(f"{own}lines")
+    kept = F.when(drop.isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(drop, line_hash(x))))
+    count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    joined = joined.select(*(named(c) for c in pages.columns), kept.alias(f"{own}kept"), count.alias(f"{own}n"))
+    dropped = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col(f"{own}n") - F.size(f"{own}kept")).cast("long")
+    joined = joined.select("*", dropped.alias(f"{own}gone"))
+    left = F.when(F.col(f"{own}gone") > 0, F.array_join(f"{own}kept", "\n")).otherwise(F.col(text))
+    return joined.select(*(left.alias(c) if c == text else named(c) for c in pages.columns), F.col(f"{own}n").alias(names[0]), F.col(f"{own}gone").alias(names[1]))
 
 
 SQL = """

@@ -1,16 +1,28 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Words are split by ASCII white space, with A-Z lower-cased; a shorter text is one shingle. Texts of
-equal shingle sets are one row. Others meet by MinHash: two texts share one of BANDS keys of ROWS
-minima each with a probability of 1 - (1 - s^5)^25, over 0.9999 at a similarity s of 0.8, and are
-linked if their true similarity reaches ``LEAST``. Under a key of up to CROWD texts, all pairs are
-tried. Under a larger one every text is first tried with one text of the key, drawn anew for each
-key, so a group of near copies becomes few components by few pairs; then the texts outside the
-largest component of the key are compared with all of the key by their minima, and pairs in
-different components that agree on CLOSE of them are tried too (fewer are agreed on with a
-probability of 1e-7 at 0.8). The second step is quadratic where a large key holds unlike texts.
-
-Edge cases: null, empty and blank texts have no shingles and are copies of each other.
+"""Near copies: SimHash near-dedup at a similarity that fingerprints alone cannot reach.
+
+Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of ``LEAST``
+or more. Words are split by ASCII white space, with A-Z lower-cased; a shorter text is one shingle.
+Texts of equal shingle sets are one row. Candidates come in two ways, and every candidate pair is
+verified on the whole shingle sets:
+
+* 64-bit SimHash fingerprints of the shingles, linked within 2 bits through the Golay keys of
+  ``simhash.linked``;
+* MinHash keys. At a similarity of 0.8 fingerprints differ by 10 bits on average (7 to 14 measured on
+  edited copies), beyond what Golay-decoded segments can find at a bearable number of keys, while two
+  such texts share one of BANDS keys of ROWS minima each with a probability of 1 - (1 - s^5)^25, over
+  0.9999 at s = 0.8.
+
+Under a MinHash key of up to CROWD texts, all pairs are tried. Under a larger one every text is first
+tried with one text of the key, drawn anew for each key, so a group of near copies becomes few
+components by few pairs; then the texts outside the largest component of the key are compared with
+all of the key by their minima, and pairs in different components that agree on CLOSE of them are
+tried too (fewer are agreed on with a probability of 1e-7 at 0.8). For that step a key is dealt in
+blocks of ``BLOCK`` texts against chunks of as many, so no task holds more, however many texts a key
+has; its time is quadratic where a large key holds unlike texts.
+
+Edge cases: null, empty and blank texts have no shingles and are copies of each other. Repeated rows
+are copies. Only doc_id and text are read; ``one_of_each`` keeps all columns, of any name and type.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,14 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.llm.common import column, whole, written
+from quoteloom.llm.common import written
 from quoteloom.llm.components import components
-from quoteloom.llm.simhash import first_rows
+from quoteloom.llm.simhash import first_rows, linked, signature
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 25, 5
 CROWD = 16
+BLOCK = 8192
 CLOSE = 75  # of BANDS * ROWS minima
 SEED = 42
 
@@ -39,7 +52,7 @@ _RNG = np.random.default_rng(SEED)
 TURNS = _RNG.integers(0, 2**64, BANDS * ROWS, U64)
 FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, U64) | U64(1)
 MIX = _RNG.integers(0, 2**64, max(SHINGLE, ROWS), U64) | U64(1)
-MARKS = "doc_id long, digest long, size int, keys array<long>, minima binary, shingles binary"
+MARKS = "doc_id long, digest long, fingerprint long, size int, keys array<long>, minima binary, shingles binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,10 +83,11 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, sizes, keys, least, sets = [], [], [], [], []
+        digests, prints, sizes, keys, least, sets = [], [], [], [], [], []
         for t in batch.column("text"):
             found = shingles(t.as_py())
             digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63)
+            prints.append(signature(found))
             sizes.append(len(found))
             sets.append(found.tobytes())
             if not len(found):
@@ -85,8 +99,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(bands.view(np.int64))
             least.append(_mixed(m).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary()), pa.array(sets, pa.binary())],
-            ["doc_id", "digest", "size", "keys", "minima", "shingles"],
+            [batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary()), pa.array(sets, pa.binary())],
+            ["doc_id", "digest", "fingerprint", "size", "keys", "minima", "shingles"],
         )
 
 
@@ -100,28 +114,50 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["one", "two"]).filter(pa.array(good, pa.bool_()))
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key in different components that agree on CLOSE minima."""
-    rows = whole(batches)
-    if rows is None:
-        return
-    key, digest, root = (column(rows, c) for c in ("key", "digest", "root"))
-    least = np.frombuffer(b"".join(rows.column("minima").to_pylist()), np.uint16).reshape(len(key), BANDS * ROWS)
-    order = np.argsort(key, kind="stable")
-    for mine in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        roots, count = np.unique(root[mine], return_counts=True)
-        probes = mine[root[mine] != roots[count.argmax()]]
-        for at in range(0, len(probes), 256):
-            some = probes[at : at + 256]
-            for to in range(0, len(mine), 8192):
-                others = mine[to : to + 8192]
-                agree = np.zeros((len(some), len(others)), np.uint8)
-                for c in range(BANDS * ROWS):
-                    agree += least[some, c][:, None] == least[others, c]
-                i, j = np.nonzero((agree >= CLOSE) & (root[some][:, None] != root[others]))
-                a, b = digest[some[i]], digest[others[j]]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["one", "two"])
+def _between(key, probes: pa.Table, others: pa.Table) -> pa.Table:
+    """Pairs of a probe and another text, in different components, that agree on CLOSE minima."""
+    found = [np.zeros((2, 0), np.int64)]
+    if len(probes) and len(others):
+        digest, root = (probes.column(c).to_numpy() for c in ("digest", "root"))
+        digests, roots = (others.column(c).to_numpy() for c in ("digest", "root"))
+        mine, theirs = (np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for t in (probes, others))
+        for at in range(0, len(digest), 256):
+            some = slice(at, at + 256)
+            agree = np.zeros((len(digest[some]), len(digests)), np.uint8)
+            for c in range(BANDS * ROWS):
+                agree += mine[some, c][:, None] == theirs[:, c]
+            i, j = np.nonzero((agree >= CLOSE) & (root[some][:, None] != roots))
+            found.append(np.stack([digest[some][i], digests[j]]))
+    a, b = np.concatenate(found, axis=1)
+    return pa.table({"one": np.minimum(a, b), "two": np.maximum(a, b)})
+
+
+def _across(placed: DataFrame, minima: DataFrame) -> DataFrame:
+    """Candidates (one, two) among texts of one key that are in different components; ``placed``: key,
+    digest and root of each text of a key that holds several components."""
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    parts = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    main = main.select("key", "main", parts(F.col("total")).alias("blocks"), parts(F.col("total") - F.col("most")).alias("chunks"))
+    # a hot key's rows are many, its row of ``main`` is one: a skewed join, which AQE splits
+    rows = written(placed.join(main, "key").join(minima, "digest"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("digest", F.lit(n)), F.col(n)).cast("int")
+    probes = rows.where("root != main").select("key", dealt("chunks").alias("chunk"), spread("blocks").alias("block"), "digest", "root", "minima")
+    others = rows.select("key", dealt("blocks").alias("block"), spread("chunks").alias("chunk"), "digest", "root", "minima")
+    at = ["key", "block", "chunk"]
+    return probes.groupBy(*at).cogroup(others.groupBy(*at)).applyInArrow(_between, "one long, two long")
+
+
+def _by_prints(marks: DataFrame) -> DataFrame:
+    """Candidates (one, two) whose fingerprints are within 2 bits: texts of one fingerprint are tried
+    with the first of them, and the first ones of linked fingerprints with each other."""
+    texts = marks.where("size > 0").select("digest", "fingerprint").distinct()
+    firsts = written(texts.groupBy("fingerprint").agg(F.min("digest").alias("head")))
+    same = texts.join(firsts, "fingerprint").where("digest != head").select("digest", "head")
+    links = linked(firsts)
+    heads = links.join(firsts.select(F.col("fingerprint").alias("one"), F.col("head").alias("a")), "one").join(firsts.select(F.col("fingerprint").alias("two"), F.col("head").alias("b")), "two").select("a", "b")
+    return same.unionByName(heads.toDF("digest", "head")).select(F.least("digest", "head").alias("one"), F.greatest("digest", "head").alias("two"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -132,7 +168,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keys = written(marks.select("digest", "size", F.explode("keys").alias("key")).distinct())
     drawn = F.min_by(F.struct("digest", "size"), F.xxhash64("digest", "key"))
     buckets = written(keys.groupBy("key").agg(F.count("*").alias("count"), drawn.alias("hub")).where("count > 1"))
-    sets = marks.groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct())
@@ -150,14 +185,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = few.withColumnRenamed("digest", "one").join(others, "key").where((F.col("one") < F.col("two")) & near("size", "size_two")).select("one", "two")
     crowded = keys.join(buckets.where(F.col("count") > CROWD).select("key", "hub"), "key")
     starred = crowded.where((F.col("digest") != F.col("hub.digest")) & near("size", "hub.size")).select(F.least("digest", "hub.digest").alias("one"), F.greatest("digest", "hub.digest").alias("two"))
-    links = tried(pairs.unionByName(starred))
+    links = tried(pairs.unionByName(starred).unionByName(_by_prints(marks)))
     tree = written(components(links))
     placed = crowded.join(tree, crowded["digest"] == tree["node"], "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     split = written(placed.join(split, "key", "left_semi"))
     if not split.isEmpty():
-        between = split.join(sets.select("digest", "minima"), "digest").select("key", "digest", "root", "minima")
-        links = links.unionByName(tried(between.repartition("key").mapInArrow(_between, "one long, two long")))
+        minima = marks.join(split.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("minima").alias("minima"))
+        links = links.unionByName(tried(_across(split, minima)))
         tree = written(components(links))
     named = firsts.join(tree, firsts["digest"] == tree["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -165,5 +200,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near copies only (see ``first_rows``)."""
-    return first_rows(docs, near_copies(docs))
+    """``docs`` with one row of each group of near copies (see ``first_rows``)."""
+    return first_rows(docs, near_copies)

@@ -12,7 +12,7 @@ variants as rows of their own, which deals them over all tasks; any variant has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.llm import golay
-from quoteloom.llm.common import column, whole, written
+from quoteloom.llm.common import column, fresh, whole, written
 from quoteloom.llm.components import components
 
 SHINGLE = 3
@@ -45,6 +45,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         shingle = len(words)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), U64, len(words) - shingle + 1)
+    return signature(hashes)
+
+
+def signature(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit ``hashes``, as a signed number."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)].astype("<u8")
@@ -168,19 +173,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) ->
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component of ``found`` (doc_id, component_id) only.
+def first_rows(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of ``docs`` of each component that ``find`` names.
 
-    Rows that share a doc_id are one document, its smallest row by text (null ones too); it goes
-    if any of them is linked to a smaller doc_id.
+    ``find`` takes rows (doc_id, text) and returns doc_id and component_id. It is given row numbers as
+    ids, so rows that share a doc_id, or have none, are documents of their own. Of a component the row
+    of the smallest doc_id stays (then of the text that hashes lowest; one without a doc_id only where
+    none has one). All columns stay, of any name and type.
     """
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-    return one.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    own = fresh(docs)
+    row = f"{own}row"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = find(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("at"), "component_id")
+    ids = numbered.select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("mark"), row)
+    first = F.min(F.struct("unnamed", "doc_id", "mark", row))
+    kept = found.join(ids, F.col("at") == F.col(row)).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[row].alias(f"{own}kept"))
+    return numbered.join(kept, F.col(row) == F.col(f"{own}kept"), "left_semi").drop(row)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only (see ``first_rows``)."""
-    return first_rows(docs, near_duplicates(docs, shingle, hot))
+    """``docs`` with one row of each component of near fingerprints (see ``first_rows``)."""
+    return first_rows(docs, lambda rows: near_duplicates(rows, shingle, hot))
