@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
-from quoteloom.llm.common import table, written
+from quoteloom.llm.common import fresh, table, written
 
 
 LEAST_PAGES = 10  # distinct pages of a source that hold a boilerplate line
@@ -23,9 +23,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Copies of a text count once and a handful of pages makes no boilerplate, so that copies keep
     their lines for the next stage, which folds them.
     """
-    columns = docs.columns
-    kept = line_dedup.drop_boilerplate(docs, least=LEAST_PAGES, copies=False)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    own = fresh(docs)
+    lines, dropped = f"{own}lines", f"{own}dropped"
+    kept = line_dedup.drop_boilerplate(docs, least=LEAST_PAGES, copies=False, names=(lines, dropped))
+    n_chars = F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).drop(lines, dropped)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
