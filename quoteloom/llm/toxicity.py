@@ -145,19 +145,22 @@ def _paired(rows: list[np.ndarray], labels: np.ndarray, chi: np.ndarray, least:
         return out
     number = np.full(len(chi), -1)
     number[frequent] = np.arange(len(frequent))
-    held = np.zeros((n, len(frequent)), np.float32)
+    held = np.zeros((n, len(frequent)), np.uint8)
     for k, r in enumerate(rows):
         held[k, number[r][number[r] >= 0]] = 1
-    held_toxic, toxic, alone = held[labels > 0], labels.sum(), chi[frequent]
+    toxic, alone, is_toxic = labels.sum(), chi[frequent], labels > 0
     for at in range(0, len(frequent), 512):
-        both = (held[:, at : at + 512].T @ held).astype(np.float64)
-        hits = (held_toxic[:, at : at + 512].T @ held_toxic).astype(np.float64)
-        spread = both * (n - both) * toxic * (n - toxic)
-        value = n * (hits * n - both * toxic) ** 2 / np.maximum(spread, 1)
-        good = (both >= least) & (value >= pair_chi) & (value >= 2 * np.maximum(alone[at : at + 512, None], alone))
-        good[np.arange(good.shape[0]), at + np.arange(good.shape[0])] = False
-        a, b = np.nonzero(good)
-        out[frequent[at + a]] = out[frequent[b]] = True
+        left = held[:, at : at + 512].astype(np.float32)
+        for to in range(at - at % 2048, len(frequent), 2048):
+            right = held[:, to : to + 2048].astype(np.float32)
+            both = (left.T @ right).astype(np.float64)
+            hits = (left[is_toxic].T @ right[is_toxic]).astype(np.float64)
+            spread = both * (n - both) * toxic * (n - toxic)
+            value = n * (hits * n - both * toxic) ** 2 / np.maximum(spread, 1)
+            good = (both >= least) & (value >= pair_chi) & (value >= 2 * np.maximum(alone[at : at + 512, None], alone[to : to + 2048]))
+            a, b = np.nonzero(good)
+            a, b = at + a, to + b
+            out[frequent[a[a != b]]] = out[frequent[b[a != b]]] = True
     return out
 
 
