@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its words (runs of ASCII letters and non-ASCII characters, lower-cased) and of
-their stems (the first 4 and 5 bytes, as many languages inflect), each hashed to 64 bits. The score
+their stems (the first 4 and 5 bytes, as many languages inflect), each hashed to 32 bits. The score
 is the logistic of a bias, one weight for each term, and for each pair of terms the inner product
 of their factors; so pairs such as an insult and a group mention count beyond their sum. The machine
 has two kinds of terms, so that it does not learn its sample by heart: those whose own presence goes
@@ -90,7 +90,7 @@ def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndar
     while len(longer := np.flatnonzero(size > at)):
         whole[longer] = _mixed(whole[longer] * MIX[0] + part(start[longer] + at, size[longer] - at))
         at += 8
-    return [whole, *found]
+    return [(x >> U64(32)).astype(np.uint32) for x in (whole, *found)]
 
 
 def terms(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,15 +113,15 @@ class Machine:
     factors: np.ndarray
 
     def __post_init__(self):
-        self.known = self.known.astype(U64)
+        self.known = self.known.astype(np.uint32)
         # most words are told as unknown by a few bits of their hash
         self.seen = np.zeros(1 << 16, bool)
-        self.seen[self.known >> U64(48)] = True
+        self.seen[self.known >> np.uint32(16)] = True
 
     def scores(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         found = [np.zeros(0, np.int64)]
         for row, hashes in terms(texts) if len(self.known) else ():
-            few = np.flatnonzero(self.seen[hashes >> U64(48)])
+            few = np.flatnonzero(self.seen[hashes >> np.uint32(16)])
             at = np.minimum(np.searchsorted(self.known, hashes[few]), len(self.known) - 1)
             good = self.known[at] == hashes[few]
             found.append(np.unique(row[few[good]] * len(self.known) + at[good]))
@@ -133,13 +133,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
-def _paired(rows: list[np.ndarray], labels: np.ndarray, chi: np.ndarray, least: int, pair_chi: float) -> np.ndarray:
+def _paired(rows: list[np.ndarray], counts: np.ndarray, labels: np.ndarray, chi: np.ndarray, least: int, pair_chi: float) -> np.ndarray:
     """Which of the terms are in a pair that tells the label where neither of them does.
 
-    ``rows``: term numbers of each text; ``chi``: of each term alone.
+    ``rows``: term numbers of each text; ``counts``, ``chi``: texts and chi-square of each term alone.
     """
     n, out = len(rows), np.zeros(len(chi), bool)
-    counts = np.bincount(np.concatenate(rows), minlength=len(chi))
     frequent = np.flatnonzero((counts >= least) & (counts <= n - least))
     if len(frequent) < 2:
         return out
@@ -151,13 +150,13 @@ def _paired(rows: list[np.ndarray], labels: np.ndarray, chi: np.ndarray, least:
     toxic, alone, is_toxic = labels.sum(), chi[frequent], labels > 0
     for at in range(0, len(frequent), 512):
         left = held[:, at : at + 512].astype(np.float32)
-        for to in range(at - at % 2048, len(frequent), 2048):
-            right = held[:, to : to + 2048].astype(np.float32)
+        for to in range(at, len(frequent), 512):
+            right = held[:, to : to + 512].astype(np.float32)
             both = (left.T @ right).astype(np.float64)
             hits = (left[is_toxic].T @ right[is_toxic]).astype(np.float64)
             spread = both * (n - both) * toxic * (n - toxic)
             value = n * (hits * n - both * toxic) ** 2 / np.maximum(spread, 1)
-            good = (both >= least) & (value >= pair_chi) & (value >= 2 * np.maximum(alone[at : at + 512, None], alone[to : to + 2048]))
+            good = (both >= least) & (value >= pair_chi) & (value >= 2 * np.maximum(alone[at : at + 512, None], alone[to : to + 512]))
             a, b = np.nonzero(good)
             a, b = at + a, to + b
             out[frequent[a[a != b]]] = out[frequent[b[a != b]]] = True
@@ -167,16 +166,21 @@ def _paired(rows: list[np.ndarray], labels: np.ndarray, chi: np.ndarray, least:
 def fit(texts: list[np.ndarray], labels: np.ndarray, least: int = LEAST, chi: float = CHI, pair_share: float = PAIR_SHARE, pair_chi: float = PAIR_CHI, factors: int = FACTORS, steps: int = STEPS, seed: int = 0) -> Machine:
     """Adam on the logistic loss, in batches; ``texts`` holds each text's distinct terms."""
     if not len(texts):
-        return Machine(np.zeros(0, U64), -40.0, np.zeros(0), np.zeros((0, factors)))
-    known, place = np.unique(np.concatenate(texts), return_inverse=True)
-    toxic = np.repeat(labels, [len(t) for t in texts])
-    counts, hits = np.bincount(place, minlength=len(known)), np.bincount(place, toxic, len(known))
+        return Machine(np.zeros(0, np.uint32), -40.0, np.zeros(0), np.zeros((0, factors)))
+    flat = np.concatenate(texts)
+    known = np.unique(flat)
+    ends = np.cumsum([len(t) for t in texts])
+    place = np.searchsorted(known, flat).astype(np.int32)
+    del flat
+    counts = np.bincount(place, minlength=len(known))
+    hits = np.zeros(len(known), np.int64)
+    for k in np.flatnonzero(labels > 0):  # a text holds a term once
+        hits[place[ends[k] - len(texts[k]) : ends[k]]] += 1
     n, n_toxic = len(texts), labels.sum()
     spread = counts * (n - counts) * n_toxic * (n - n_toxic)
     linked = n * (hits * n - counts * n_toxic) ** 2 / np.maximum(spread, 1)
-    ends = np.cumsum([len(t) for t in texts])[:-1]
     picked = (counts >= least) & (linked >= chi)
-    known = known[picked | _paired(np.split(place, ends), labels, linked, max(least, int(pair_share * n)), pair_chi)]
+    known = known[picked | _paired(np.split(place, ends[:-1]), counts, labels, linked, max(least, int(pair_share * n)), pair_chi)]
     rng = np.random.default_rng(seed)
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = np.log(rate / (1 - rate))
@@ -225,7 +229,7 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
     """The distinct terms of each text, in ascending order."""
     parts = list(terms(texts))
     row = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in parts)])
-    found = np.concatenate([np.zeros(0, U64), *(h for _, h in parts)])
+    found = np.concatenate([np.zeros(0, np.uint32), *(h for _, h in parts)])
     order = np.lexsort((found, row))
     row, found = row[order], found[order]
     new = np.insert((row[1:] != row[:-1]) | (found[1:] != found[:-1]), 0, True) if len(row) else np.zeros(0, bool)
@@ -236,7 +240,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
             some = batch.slice(at, 256)
-            found = pa.array([t.view(np.int64) for t in sets(some.column("text"))], pa.list_(pa.int64()))
+            found = pa.array([t.view(np.int32) for t in sets(some.column("text"))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("toxic"), found], ["doc_id", "toxic", "terms"])
 
 
@@ -252,9 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers are broadcast; of rows that share a doc_id one stays
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(_sets, "doc_id long, toxic int, terms array<long>").toArrow().sort_by("doc_id")
+    rows = rows.mapInArrow(_sets, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     found = rows.column("terms").combine_chunks()
-    flat, at = found.flatten().to_numpy().view(U64), np.append(0, np.cumsum([len(x) for x in found]))
+    flat, at = found.flatten().to_numpy().view(np.uint32), np.append(0, np.cumsum([len(x) for x in found]))
     return fit([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], rows.column("toxic").to_numpy().astype(float))
 
 
