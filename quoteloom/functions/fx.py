@@ -28,7 +28,11 @@ def only_weekend(first: Column, last: Column) -> Column:
     return (last >= first) & F.forall(F.sequence(first, last), lambda d: F.weekday(d) >= 5)
 
 
-def document_digest(rates: Column) -> Column:
-    """SHA-256 of the sorted (code, rate text) pairs of an array of such structs."""
-    lines = F.array_sort(F.transform(rates, lambda r: F.concat(r["currency_code"], F.lit("="), r["rate_text"])))
-    return F.sha2(F.array_join(lines, "\n"), 256)
+def document_digest(provider: Column, base: Column, observed_on: Column, rates: Column) -> Column:
+    """SHA-256 of a rate document's canonical JSON: base, day, provider and the (code, rate text) pairs
+    (an array of such structs) in the order of codes. When it was fetched is no part of it."""
+    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    ordered = F.array_sort(F.transform(rates, lambda r: F.struct(F.upper(F.trim(r["currency_code"])).alias("code"), r["rate_text"].alias("rate"))))
+    pairs = F.array_join(F.transform(ordered, lambda r: F.concat(F.lit("["), text(r["code"]), F.lit(","), text(r["rate"]), F.lit("]"))), ",")
+    parts = ['{"base_currency":', text(F.upper(F.trim(base))), ',"observation_date":', text(F.date_format(observed_on, "yyyy-MM-dd")), ',"provider_id":', text(F.trim(provider)), ',"rates":[', pairs, "]}"]
+    return F.sha2(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)), 256)

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from quoteloom.functions.text import ascii_upper, strip
 
 SEPARATORS = "-_/."
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def key(text: Column) -> Column:
     """Comparison key: stripped, a-z in capitals, inner ASCII white space as one hyphen; text of
     separators only has the empty key. Everything else stays."""
     bare = strip(text)
-    return F.when(bare.rlike("^[ \\t\\n\\r\\f\\x0B\\-_/.]*$"), "").otherwise(ascii_upper(F.regexp_replace(bare, "[ \\t\\n\\r\\f\\x0B]+", "-")))
+    joined = F.when(F.translate(bare, BLANKS, "") == bare, bare).otherwise(F.regexp_replace(bare, f"[{BLANKS}]+", "-"))
+    return F.when(F.btrim(bare, F.lit(BLANKS + SEPARATORS)) == "", "").otherwise(ascii_upper(joined))
 
 
 def compare(requested: Column, candidate: Column) -> Column:
@@ -32,13 +34,15 @@ def partial(one: Column, two: Column) -> Column:
 
 def without_label(text: Column) -> Column:
     """Text of a part-number field without a leading ``mpn:``."""
-    return strip(F.regexp_replace(strip(text), "(?i)^mpn:", ""))
+    bare = strip(text)
+    return F.when(F.lower(F.left(bare, F.lit(4))) == "mpn:", strip(F.substring(bare, 5, 2**31 - 1))).otherwise(bare)
 
 
 def in_title(title: Column, mpn: Column) -> Column:
     """Whether the part number stands in the title as a token of its own."""
     quoted = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(mpn, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
-    return F.coalesce((mpn != "") & F.regexp_like(title, quoted), F.lit(False))
+    # the pattern is built only for titles that hold the part number at all
+    return F.coalesce(F.when((mpn != "") & F.contains(title, mpn), F.regexp_like(title, quoted)), F.lit(False))
 
 
 def near_miss(one: Column, two: Column) -> Column:

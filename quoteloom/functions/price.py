@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import strip
+from quoteloom.functions.text import ascii_upper, strip
 
 AMOUNT = "decimal(38,10)"
 
@@ -13,34 +13,53 @@ SYMBOLS = "$€£¥"
 # Words that make a price a range, an instalment or a discount.
 MARKERS = ["from ", "as low as", "starting at", "save", "you save", "% off", "off%", "/mo", "/yr", "/wk", "per month", "per year", "per week", "a month", "a year", " to "]
 
-_CODE = "|".join(CODES)
-GRAMMAR = f"(?i)^(?:([{SYMBOLS}])|({_CODE})\\s+)?\\s*(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)\\s*(?:([{SYMBOLS}])|\\s+({_CODE}))?$"
+# one amount: digits, or groups of three behind commas, and a fraction
+AMOUNTS = "^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?$"
+BLANKS = " \t\n\x0b\x0c\r"
 ROUGH = "\\d[\\d,]*(?:\\.\\d+)?"
-SYMBOL_CODES = {"€": "EUR", "£": "GBP"}  # a dollar or yen sign names no one currency
 
 
 def _of_symbol(symbol: Column) -> Column:
+    """A dollar or yen sign names no one currency."""
     return F.when(symbol == "€", "EUR").when(symbol == "£", "GBP")
 
 
+def _sign(char: Column) -> Column:
+    return F.when(char.isin(*SYMBOLS), char)
+
+
+def _code(letters: Column, gap: Column) -> Column:
+    """A currency code that a blank sets apart from the amount."""
+    code = ascii_upper(letters)
+    return F.when(code.isin(*CODES) & gap.isin(*BLANKS), code)
+
+
 def with_price(rows: DataFrame, text: str, name: str = "_price") -> DataFrame:
     """Adds a struct ``name`` of amount, currency (that the text itself names) and issue.
 
-    The groups of the grammar are a column of their own first, as each is used many times.
+    One decoration (a sign, or a code and a blank) is taken off either end; what is left must be an
+    amount. A price that is decorated at both ends is unclear.
     """
-    bare = strip(F.col(text))
-    rows = rows.withColumn("_bare", bare)
-    rows = rows.withColumn("_part", F.struct(*(F.nullif(F.regexp_extract("_bare", GRAMMAR, k), F.lit("")).alias(f"p{k}") for k in range(1, 6))))
-    part = lambda k: F.col(f"_part.p{k}")
-    both = (part(1).isNotNull() | part(2).isNotNull()) & (part(4).isNotNull() | part(5).isNotNull())
-    marked = F.lower("_bare").rlike("|".join(MARKERS))
-    rows = rows.withColumn("_clean", part(3).isNotNull() & ~both)
-    unclear = both | marked | (F.regexp_count("_bare", F.lit(ROUGH)) >= 2)
+    bare = F.col("_bare")
+    rows = rows.withColumn("_bare", strip(F.col(text)))
+    rows = rows.withColumn("_front", F.struct(_sign(F.left(bare, F.lit(1))).alias("sign"), _code(F.left(bare, F.lit(3)), F.substring(bare, 4, 1)).alias("code")))
+    front = lambda k: F.col(f"_front.{k}")
+    rows = rows.withColumn("_rest", F.substring(bare, F.when(front("sign").isNotNull(), 2).when(front("code").isNotNull(), 4).otherwise(1), F.length(bare)))
+    rest = F.col("_rest")
+    rows = rows.withColumn("_back", F.struct(_sign(F.right(rest, F.lit(1))).alias("sign"), _code(F.right(rest, F.lit(3)), F.left(F.right(rest, F.lit(4)), F.lit(1))).alias("code")))
+    back = lambda k: F.col(f"_back.{k}")
+    cut = F.length(rest) - F.when(back("sign").isNotNull(), 1).when(back("code").isNotNull(), 3).otherwise(0)
+    rows = rows.withColumn("_core", F.btrim(F.left(rest, cut), F.lit(BLANKS)))
+    amount = F.coalesce(F.col("_core").rlike(AMOUNTS), F.lit(False))
+    decorated = lambda end: F.col(f"{end}.sign").isNotNull() | F.col(f"{end}.code").isNotNull()
+    both = amount & decorated("_front") & decorated("_back")
+    rows = rows.withColumns({"_clean": amount & ~both, "_both": both})
+    unclear = F.col("_both") | F.lower(bare).rlike("|".join(MARKERS)) | (F.regexp_count(bare, F.lit(ROUGH)) >= 2)
     issue = F.when(F.col(text).isNull() | F.col("_clean"), None).when(unclear, "AMBIGUOUS_PRICE").otherwise("INVALID_PRICE")
-    named = F.coalesce(F.upper(part(2)), F.upper(part(5)), _of_symbol(part(1)), _of_symbol(part(4)))
-    value = F.replace(part(3), F.lit(","), F.lit("")).try_cast(AMOUNT)
+    named = F.coalesce(front("code"), back("code"), _of_symbol(front("sign")), _of_symbol(back("sign")))
+    value = F.replace(F.col("_core"), F.lit(","), F.lit("")).try_cast(AMOUNT)
     found = F.struct(F.when(F.col("_clean"), value).alias("amount"), F.when(F.col("_clean"), named).alias("currency"), issue.alias("issue"))
-    return rows.withColumn(name, found).drop("_bare", "_part", "_clean")
+    return rows.withColumn(name, found).drop("_bare", "_front", "_rest", "_back", "_core", "_clean", "_both")
 
 
 def currency(text: Column) -> Column:

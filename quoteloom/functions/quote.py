@@ -9,8 +9,9 @@ SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "CAD": "C$", "AUD":
 
 def with_commas(number: Column) -> Column:
     """A decimal's own text (its scale kept) with the integer part grouped by three."""
-    whole, rest = F.regexp_extract(number, "^(-?\\d+)", 1), F.regexp_extract(number, "(\\.\\d+)$", 1)
-    return F.concat(F.regexp_replace(whole, "(?<=\\d)(?=(\\d{3})+$)", ","), rest)
+    whole = F.substring_index(number, ".", 1)
+    rest = F.substring(number, F.length(whole) + 1, F.length(number))
+    return F.concat(F.when(F.length(whole) <= 3, whole).otherwise(F.regexp_replace(whole, "(?<=\\d)(?=(\\d{3})+$)", ",")), rest)
 
 
 def price_text(number: Column, currency: Column) -> Column:

@@ -4,11 +4,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "[\\p{IsWhite_Space}\\x1c-\\x1f]"
+# The characters of SPACE, for trimming without a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """``text`` without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -17,7 +19,7 @@ def blank_to_null(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends; blank is null."""
-    return F.nullif(strip(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
+    return F.nullif(F.btrim(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
 
 
 def ascii_upper(text: Column) -> Column:

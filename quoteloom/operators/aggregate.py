@@ -54,11 +54,13 @@ def exclusions(rows: DataFrame, eligible: Column | None = None) -> DataFrame:
     return only(rows.withColumn("exclusion_reason", exclusion_reason(eligible)), F.col("exclusion_reason").isNotNull())
 
 
-def status(runs: DataFrame, found: DataFrame) -> DataFrame:
+def status(rows: DataFrame, eligible: Column | None = None) -> DataFrame:
     """run_id, buckets, verification_status of every run, also those without a bucket."""
-    counted = runs.select("run_id").distinct().join(found.groupBy("run_id").agg(F.count("*").alias("n")), "run_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    return counted.select("run_id", n.alias("buckets"), F.when(n == 0, "UNKNOWN").when(n == 1, "VERIFIED").otherwise("AMBIGUOUS").alias("verification_status"))
+    eligible = F.col("decision") == "ACCEPTED" if eligible is None else eligible
+    found = rows.withColumn("_in", exclusion_reason(eligible).isNull()).groupBy("run_id", "currency_code", "condition").agg(F.count_if("_in").alias("_n"))
+    counted = found.groupBy("run_id").agg(F.count_if(F.col("_n") > 0).alias("buckets"))
+    n = F.col("buckets")
+    return counted.withColumn("verification_status", F.when(n == 0, "UNKNOWN").when(n == 1, "VERIFIED").otherwise("AMBIGUOUS"))
 
 
 def repeated(rows: DataFrame) -> DataFrame:

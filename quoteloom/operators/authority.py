@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions import part_number as pn
+from quoteloom.functions.text import lookup
 
 # What each identity state allows.
 POLICY = {
@@ -121,6 +122,36 @@ def authority_tier(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"tier": tier, "fired_rules": fired}).drop(*(x for x in rows.columns if x.startswith("_")))
 
 
+# How far each recorded substate and signal can resolve an identity.
+BOUNDS = [
+    ("V_EXACT", "EXACT", "PART_NUMBER"), ("V_NORMALIZED_EXACT", "NORMALIZED_EXACT", "PART_NUMBER"), ("U1_TITLE_MPN", "TITLE_MPN_TOKEN", "PART_NUMBER"),
+    ("U2_SKU_ONLY", "SKU_EQUALS_TARGET", "PART_NUMBER"), ("U2_SKU_ONLY", "SKU_NOT_TARGET", "DESCRIPTION"), ("U3_PARTIAL_BOUNDARY", "PARTIAL_BOUNDARY", "FAMILY_DESCRIPTION"),
+    ("U4_NO_MPN", "NO_RELATION", "DESCRIPTION"), ("U4_NO_MPN", "EMPTY_MPN_FIELD", "DESCRIPTION"), ("U5_NEAR_MISS_MPN", "NEAR_MISS_TRUNCATION", "NONE"), ("U5_NEAR_MISS_MPN", "NEAR_MISS_SUBSTITUTION", "NONE"),
+    ("C1_INCOMPATIBLE_EXPLICIT_MPN", "NO_RELATION", "NONE"), ("E1_NO_TARGET_MPN", "NO_RELATION", "NONE"), ("E2_NO_CANDIDATE_EVIDENCE", "NO_RELATION", "NONE"), ("E2_NO_CANDIDATE_EVIDENCE", "EMPTY_MPN_FIELD", "NONE"),
+]
+# Provenances that ground facts of a product.
+GROUNDS = ("MANUFACTURER_PRODUCT_CONTEXT", "MANUFACTURER_RELATION_AUTHORITY")
+
+
+def resolution_bound(substate: Column, signal: Column, compatible: Column, provenances: Column) -> Column:
+    """The most that the recorded evidence can resolve: PART_NUMBER, FAMILY_DESCRIPTION, DESCRIPTION or
+    NONE. Wording of compatibility takes a title's part number away; a reviewed relation of the maker
+    gives a near miss its part number. What a model said plays no part."""
+    table = {f"{s}|{g}": b for s, g, b in BOUNDS}
+    base = lookup(F.concat_ws("|", substate, signal), table)
+    related = (substate == "U5_NEAR_MISS_MPN") & F.array_contains(provenances, RELATION_GRANT)
+    return F.when((substate == "U1_TITLE_MPN") & compatible, "DESCRIPTION").when(related, "PART_NUMBER").otherwise(base)
+
+
+def evidence_quality(titled: Column, dimensions: Column, provenances: Column) -> Column:
+    """STRONG: a title and two facts or more in two dimensions or more; LIMITED: any of title, facts
+    (``dimensions``: the dimension of each) or a reviewed product provenance; else WEAK."""
+    facts = F.coalesce(F.size(dimensions), F.lit(0))
+    grounded = F.exists(provenances, lambda p: p.isin(*GROUNDS))
+    strong = titled & (facts >= 2) & (F.size(F.array_distinct(dimensions)) >= 2)
+    return F.when(strong, "STRONG").when(titled | grounded | (facts > 0), "LIMITED").otherwise("WEAK")
+
+
 def badge(tier: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in BADGES.items() for x in kv)), tier)
 

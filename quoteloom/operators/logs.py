@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quoteloom.functions.text import strip
+from quoteloom.functions.text import lookup, strip
 
 
 def first_urls(rows: DataFrame, run: str, url: str, order: list[str]) -> DataFrame:
@@ -24,19 +24,32 @@ def latest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 
 
-# Review transitions that are allowed.
-TRANSITIONS = [("UNREVIEWED", "CONFIRMED"), ("UNREVIEWED", "REJECTED"), ("CONFIRMED", "UNREVIEWED"), ("REJECTED", "UNREVIEWED"), ("CONFIRMED", "REJECTED_BY_REMOVE")]
+# The state that each review action asks for.
+ACTIONS = {"confirm": "CONFIRMED", "reject": "REJECTED", "remove": "REJECTED", "undo": "UNREVIEWED"}
 
 
 def review_events(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds the state before each event (UNREVIEWED at first) and its outcome: APPLIED, NO_CHANGE
-    or CONFLICT (a transition that is not allowed)."""
-    before = F.coalesce(F.lag("review_state").over(Window.partitionBy(*keys).orderBy(*order)), F.lit("UNREVIEWED"))
-    events = events.withColumn("state_before", before)
-    allowed = F.lit(False)
-    for a, b in TRANSITIONS:
-        allowed = allowed | ((F.col("state_before") == a) & (F.col("review_state") == b))
-    return events.withColumn("outcome", F.when(F.col("state_before") == F.col("review_state"), "NO_CHANGE").when(allowed, "APPLIED").otherwise("CONFLICT"))
+    """Adds state_before, outcome and state_after to review actions (``action``).
+
+    A candidate starts UNREVIEWED. An action that asks for the present state is NO_CHANGE; confirm and
+    reject are APPLIED to an unreviewed candidate and a CONFLICT otherwise (the state stays); remove is
+    APPLIED from any state and so is undo. So undo and remove settle the state whatever was before, and
+    of the confirms and rejects that follow one, the first decides if the state was left UNREVIEWED:
+    two windows over the log tell it, with no loop over a candidate's events.
+    """
+    settled = F.when(F.col("action").isin("remove", "undo"), lookup(F.col("action"), ACTIONS))
+    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumn("_settled", settled)
+    events = events.withColumns({"_since": F.count("_settled").over(earlier), "_base": F.coalesce(F.last("_settled", ignorenulls=True).over(earlier), F.lit("UNREVIEWED"))})
+    votes = F.when(F.col("action").isin("confirm", "reject"), lookup(F.col("action"), ACTIONS))
+    stretch = Window.partitionBy(*keys, "_since").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first(votes, ignorenulls=True).over(stretch)
+    before = F.when(F.col("_base") == "UNREVIEWED", F.coalesce(first, F.lit("UNREVIEWED"))).otherwise(F.col("_base"))
+    events = events.withColumn("state_before", before).drop("_settled", "_since", "_base")
+    wanted = lookup(F.col("action"), ACTIONS)
+    free = F.col("action").isin("remove", "undo") | (F.col("state_before") == "UNREVIEWED")
+    events = events.withColumn("outcome", F.when(wanted == F.col("state_before"), "NO_CHANGE").when(wanted.isNotNull() & free, "APPLIED").otherwise("CONFLICT"))
+    return events.withColumn("state_after", F.when(F.col("outcome") == "APPLIED", wanted).otherwise(F.col("state_before")))
 
 
 def routed(attempts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quote rows of all sections in one order, and their dollar values."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions import commerce, fx, quote
@@ -22,13 +22,15 @@ def with_usd(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.drop("_one", "_base", "_usd_rate", "_code", "_rate", "_fx")
 
 
-def rows(listings: DataFrame, section: str, amount_text: str = "amount_text") -> DataFrame:
-    """Display columns of one section; price_text keeps the scale of ``amount_text``."""
+def rows(listings: DataFrame, section: Column, amount_text: str = "amount_text") -> DataFrame:
+    """Display columns of the rows that are in a ``section`` (others, where it is null, are left out);
+    price_text keeps the scale of ``amount_text``. All sections are told in one pass."""
     c = F.col
+    listings = only(listings.withColumn("_section", section), F.col("_section").isNotNull())
     return listings.select(
         "run_id",
-        F.lit(SECTIONS.index(section)).alias("section_ord"),
-        F.lit(section).alias("section"),
+        (F.array_position(F.array(*(F.lit(s) for s in SECTIONS)), c("_section")) - 1).cast("int").alias("section_ord"),
+        c("_section").alias("section"),
         quote.source_label(c("source_url")).alias("source"),
         F.when(c("price_amount").isNotNull() & c("currency_code").isNotNull(), quote.price_text(c(amount_text), c("currency_code"))).alias("price_text"),
         "price_amount",
@@ -39,14 +41,6 @@ def rows(listings: DataFrame, section: str, amount_text: str = "amount_text") ->
     )
 
 
-def union(*sections: DataFrame) -> DataFrame:
-    """All sections; order by run_id and section_ord shows them as published."""
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.unionByName(s)
-    return out
-
-
 def required_currencies(found: DataFrame, vendor: DataFrame | None = None) -> DataFrame:
     """Currencies whose rates are needed: those of buckets and vendor rows that are not dollars,
     and dollars with them if there is any."""

@@ -26,3 +26,11 @@ def asof_latest(requests: DataFrame, observations: DataFrame) -> DataFrame:
     proven = F.col("seen.proven")
     again = F.coalesce(F.col("asked_on") == proven, F.lit(False)) | F.coalesce(only_weekend(F.date_add(proven, 1), F.col("asked_on")), F.lit(False))
     return found.select("request_id", "asked_on", F.col("seen.id").alias("observation_id"), F.col("seen.observed_on").alias("observed_on"), again.alias("reusable"))
+
+
+def projected(rates: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """``rates`` of the required currency codes (upper case after trimming), or all of them."""
+    if required is None:
+        return rates
+    wanted = required.select(F.upper(F.trim("currency_code")).alias("_code")).distinct()
+    return rates.join(wanted, F.col("currency_code") == F.col("_code"), "left_semi")

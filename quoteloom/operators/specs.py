@@ -32,15 +32,19 @@ def field_similarity(pairs: DataFrame) -> DataFrame:
 
 
 def similarity(resolutions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Coverage, observed and evidence-weighted similarity of each (target_id, candidate_id)."""
-    values = resolutions.where("value_kind IS NOT NULL")
-    side = lambda name, p: values.select(F.col("product_id").alias(f"{name}_id"), "definition_key", F.col("value_kind").alias(f"{p}_kind"), F.col("value_text").alias(f"{p}_text"), F.col("value_dec").alias(f"{p}_dec"))
-    # only keys that both have are scored, so the inner join keeps all that counts
-    scored = field_similarity(pairs.join(side("target", "t"), "target_id").join(side("candidate", "c"), ["candidate_id", "definition_key"]))
-    found = scored.groupBy("target_id", "candidate_id").agg(F.count("field_similarity").alias("scored"), F.sum(F.round("field_similarity", 9).cast("decimal(12,9)")).alias("total"))
-    every = pairs.select("target_id", "candidate_id").distinct().join(found, ["target_id", "candidate_id"], "left").na.fill(0, ["scored"])
+    """Coverage, observed and evidence-weighted similarity of each (target_id, candidate_id).
+
+    Each pair asks for its two products in one join, so the resolutions are computed once.
+    """
+    values = resolutions.where("value_kind IS NOT NULL").select("product_id", "definition_key", F.struct("value_kind", "value_text", "value_dec").alias("value"))
+    sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("target_id").alias("product_id")), F.struct(F.lit("c").alias("side"), F.col("candidate_id").alias("product_id"))))
+    asked = pairs.select("target_id", "candidate_id").distinct().select("target_id", "candidate_id", sides.alias("s")).select("target_id", "candidate_id", "s.*")
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("value")))
+    fields = asked.join(values, "product_id", "left").groupBy("target_id", "candidate_id", "definition_key").agg(side("t").alias("t"), side("c").alias("c"))
+    fields = fields.select("target_id", "candidate_id", *(F.col(f"{p}.value_{k}").alias(f"{p}_{k}") for p in "tc" for k in ("kind", "text", "dec")))
+    found = field_similarity(fields).groupBy("target_id", "candidate_id").agg(F.count("field_similarity").alias("scored"), F.sum(F.round("field_similarity", 9).cast("decimal(12,9)")).alias("total"))
     total = F.coalesce(F.col("total").cast("double"), F.lit(0.0))
-    return every.select("target_id", "candidate_id", "scored", F.round(F.col("scored") / FIELDS, 6).alias("coverage"), F.when(F.col("scored") > 0, F.round(total / F.col("scored"), 6)).alias("observed"), F.round(total / FIELDS, 6).alias("evidence_weighted"))
+    return found.select("target_id", "candidate_id", "scored", F.round(F.col("scored") / FIELDS, 6).alias("coverage"), F.when(F.col("scored") > 0, F.round(total / F.col("scored"), 6)).alias("observed"), F.round(total / FIELDS, 6).alias("evidence_weighted"))
 
 
 def representatives(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

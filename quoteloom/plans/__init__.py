@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import authority, evidence, market
+from quoteloom.plans import authority, evidence, market, records
 
-PLANS = (market, evidence, authority)
+PLANS = (market, evidence, authority, records)

@@ -86,8 +86,9 @@ def rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rate_documents(spark, sf_dir).groupBy("observation_date").agg(F.collect_list(F.struct("currency_code", "rate_text")).alias("rates"))
-    return rows.select("observation_date", fx.document_digest(F.col("rates")).alias("digest"))
+    # a document holds a few dozen rates
+    rows = rate_documents(spark, sf_dir).groupBy("observation_date", "base_currency").agg(F.collect_list(F.struct("currency_code", "rate_text")).alias("rates"))
+    return rows.select("observation_date", fx.document_digest(F.lit("bank"), F.col("base_currency"), F.col("observation_date"), F.col("rates")).alias("digest"))
 
 
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +174,9 @@ UNION ALL SELECT 'q' || p_partkey, 3, 'http://k.example', NULL, NULL FROM part W
   CASE p_partkey % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'OK' WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'PRICE_MISSING' WHEN 4 THEN 'MPN_MISSING' ELSE 'MALFORMED' END AS status FROM part""",
     "vendor_lookup_status": "SELECT 'r' || p_partkey AS run_id, CASE WHEN p_partkey % 6 IN (0, 1) THEN 'SUCCESS' WHEN p_partkey % 6 = 2 THEN 'PARTIAL' ELSE 'FAILED' END AS lookup_status FROM part",
     "rate_documents": "SELECT DATE '2024-03-01' AS observation_date, 'EUR' AS base_currency, * FROM (VALUES ('USD', '1.0825', CAST(1.0825 AS DECIMAL(18,6))), ('GBP', '0.85613', CAST(0.85613 AS DECIMAL(18,6)))) AS t(currency_code, rate_text, rate)",
-    "rate_digests": "SELECT DATE '2024-03-01' AS observation_date, sha256('GBP=0.85613' || chr(10) || 'USD=1.0825') AS digest",
-    "page_extraction": """SELECT p_partkey AS page_id, 0 AS listing_ord, 'JSON_LD' AS extraction_method, p_name AS product_title, 'MZ' || p_partkey AS mpn_text, '1055.850' AS price_text, 'USD' AS currency_text, NULL AS availability_text FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT p_partkey, 1, 'JSON_LD', p_name, 'MZ' || p_partkey, '7', NULL, 'InStock' FROM part WHERE p_partkey % 3 = 0
+    "rate_digests": """SELECT DATE '2024-03-01' AS observation_date, sha256('{"base_currency":"EUR","observation_date":"2024-03-01","provider_id":"bank","rates":[["GBP","0.85613"],["USD","1.0825"]]}') AS digest""",
+    "page_extraction": """SELECT p_partkey AS page_id, 0 AS listing_ord, 'JSON_LD' AS extraction_method, ' ' || p_name || ' ' AS product_title, 'MZ' || p_partkey AS mpn_text, '1055.850' AS price_text, 'USD' AS currency_text, NULL AS availability_text FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 1, 'JSON_LD', ' ' || p_name || ' ', 'MZ' || p_partkey, '7', NULL, 'InStock' FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 0, 'META', p_name, NULL, '12.50', NULL, NULL FROM part WHERE p_partkey % 3 = 1""",
     "page_extraction_crawled": "SELECT CAST(0 AS BIGINT) AS listings",
     "page_addresses": "SELECT page_id, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS source, true AS fetchable, starts_with(url, 'http://ththre.example.com/') AS same_origin FROM pages",

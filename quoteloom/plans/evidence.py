@@ -63,7 +63,7 @@ SELECT doc_id AS case_id, CASE WHEN toxic = 1 THEN 'MATCH' WHEN quality = 0 THEN
 FROM labels
 """
 LOG = "SELECT user_id AS run_id, event_id, event_type, ts, CASE WHEN event_id % 5 = 0 THEN '' ELSE ' https://h.example/' || CAST(event_id % 40 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END END AS url FROM events"
-REVIEWS = "SELECT user_id AS candidate_id, event_id, CASE event_id % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'UNREVIEWED' WHEN 2 THEN 'REJECTED' ELSE 'UNREVIEWED' END AS review_state FROM events"
+REVIEWS = "SELECT user_id AS candidate_id, event_id, CASE event_id % 7 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'undo' WHEN 3 THEN 'remove' WHEN 4 THEN 'confirm' WHEN 5 THEN 'reject' ELSE 'undo' END AS action FROM events"
 ATTEMPTS = "SELECT CAST(floor(event_id / 2) AS BIGINT) AS case_id, CASE WHEN event_id % 2 = 0 THEN 'PRIMARY' ELSE 'FALLBACK' END AS role, CASE user_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'TIMEOUT' ELSE 'INVALID_OUTPUT' END AS outcome FROM events"
 MISSES = "SELECT a.p_partkey AS part, 'MZ' || CAST(a.p_partkey AS STRING) AS one, 'MZ' || CAST(b.p_partkey AS STRING) AS two FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey"
 ASKED = "SELECT o_orderkey AS request_id, CAST(o_orderdate AS DATE) AS asked_on FROM orders"
@@ -203,8 +203,15 @@ SELECT case_id, first, second, CASE WHEN a.first IS NULL THEN 'ONLY_SECOND' WHEN
     "url_dedupe": f"SELECT run_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, trim(url) ORDER BY event_id) AS k FROM ({LOG})) WHERE k = 1 OR trim(url) = ''",
     "attempt_numbers": f"SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS attempt_number FROM ({LOG})",
     "latest_events": f"SELECT run_id, event_type, event_id FROM ({LOG}) QUALIFY row_number() OVER (PARTITION BY run_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "review_states": f"""WITH e AS (SELECT *, coalesce(lag(review_state) OVER (PARTITION BY candidate_id ORDER BY event_id), 'UNREVIEWED') AS state_before FROM ({REVIEWS}))
-SELECT *, CASE WHEN state_before = review_state THEN 'NO_CHANGE' WHEN state_before = 'UNREVIEWED' OR review_state = 'UNREVIEWED' THEN 'APPLIED' ELSE 'CONFLICT' END AS outcome FROM e""",
+    "review_states": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY event_id) AS n FROM ({REVIEWS})), rule AS (
+  SELECT * FROM (VALUES ('UNREVIEWED', 'confirm', 'CONFIRMED', 'APPLIED'), ('UNREVIEWED', 'reject', 'REJECTED', 'APPLIED'), ('UNREVIEWED', 'remove', 'REJECTED', 'APPLIED'), ('UNREVIEWED', 'undo', 'UNREVIEWED', 'NO_CHANGE'),
+    ('CONFIRMED', 'confirm', 'CONFIRMED', 'NO_CHANGE'), ('CONFIRMED', 'reject', 'CONFIRMED', 'CONFLICT'), ('CONFIRMED', 'remove', 'REJECTED', 'APPLIED'), ('CONFIRMED', 'undo', 'UNREVIEWED', 'APPLIED'),
+    ('REJECTED', 'confirm', 'REJECTED', 'CONFLICT'), ('REJECTED', 'reject', 'REJECTED', 'NO_CHANGE'), ('REJECTED', 'remove', 'REJECTED', 'NO_CHANGE'), ('REJECTED', 'undo', 'UNREVIEWED', 'APPLIED')) AS t(state_before, action, state_after, outcome)
+), walk AS (
+  SELECT e.candidate_id, e.event_id, e.n, e.action, r.state_before, r.outcome, r.state_after FROM e JOIN rule r ON r.state_before = 'UNREVIEWED' AND r.action = e.action WHERE n = 1
+  UNION ALL
+  SELECT e.candidate_id, e.event_id, e.n, e.action, r.state_before, r.outcome, r.state_after FROM walk w JOIN e ON e.candidate_id = w.candidate_id AND e.n = w.n + 1 JOIN rule r ON r.state_before = w.state_after AND r.action = e.action
+) SELECT candidate_id, event_id, action, state_before, outcome, state_after FROM walk""",
     "routed_attempts": f"""WITH w AS (SELECT case_id, max(outcome) FILTER (role = 'PRIMARY') AS "primary", max(outcome) FILTER (role = 'FALLBACK') AS fallback FROM ({ATTEMPTS}) GROUP BY case_id)
 SELECT *, CASE WHEN "primary" = 'SUCCESS' THEN 'PRIMARY' WHEN "primary" = 'TIMEOUT' AND fallback = 'SUCCESS' THEN 'FALLBACK' ELSE 'NONE' END AS answered_by FROM w""",
     "near_misses": f"""SELECT part, two, CASE WHEN length(one) <> length(two) AND (starts_with(one, two) OR starts_with(two, one)) THEN 'TRUNCATION' WHEN length(one) = length(two) AND hamming(one, two) = 1 THEN 'SUBSTITUTION' END AS shape FROM ({MISSES})""",

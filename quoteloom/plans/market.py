@@ -91,8 +91,7 @@ def price_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assessed(spark, sf_dir)
-    return aggregate.status(rows, aggregate.buckets(rows))
+    return aggregate.status(assessed(spark, sf_dir))
 
 
 def reviewed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +103,9 @@ def reviewed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partition_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets and exclusions hold every assessment once: rows in, bucketed and excluded by run."""
-    rows = assessed(spark, sf_dir)
-    total = rows.groupBy("run_id").agg(F.count("*").alias("assessments"))
-    inside = aggregate.buckets(rows).groupBy("run_id").agg(F.sum("listings").alias("bucketed"))
-    outside = aggregate.exclusions(rows).groupBy("run_id").agg(F.count("*").alias("excluded"))
-    return total.join(inside, "run_id", "left").join(outside, "run_id", "left").na.fill(0, ["bucketed", "excluded"])
+    inside = aggregate.exclusion_reason(F.col("decision") == "ACCEPTED").isNull()
+    rows = assessed(spark, sf_dir).withColumn("inside", inside).groupBy("run_id")
+    return rows.agg(F.count("*").alias("assessments"), F.count_if("inside").alias("bucketed"), F.count_if(~F.col("inside")).alias("excluded"))
 
 
 def usd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +121,11 @@ def quote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of accepted (public), confirmed and unreviewed listings in one table."""
     rows = assessed(spark, sf_dir).withColumn("amount_text", F.col("price_amount").cast("decimal(38,2)").cast("string"))
     priced = F.col("price_amount").isNotNull() & F.col("currency_code").isNotNull()
+    open_rows = priced & match.reviewable()
     even = F.col("url_ord") % 2 == 0
-    public = quotes.rows(only(rows, aggregate.exclusion_reason(F.col("decision") == "ACCEPTED").isNull()), "PUBLIC")
-    human = quotes.rows(only(rows, priced & match.reviewable() & even), "HUMAN_CONFIRMED")
-    unreviewed = quotes.rows(only(rows, priced & match.reviewable() & ~even), "AI_UNREVIEWED")
-    return quotes.union(human, unreviewed, public)
+    public = aggregate.exclusion_reason(F.col("decision") == "ACCEPTED").isNull()
+    section = F.when(public, "PUBLIC").when(open_rows & even, "HUMAN_CONFIRMED").when(open_rows, "AI_UNREVIEWED")
+    return quotes.rows(rows, section)
 
 
 def quote_policies(spark: SparkSession, sf_dir: str) -> DataFrame:

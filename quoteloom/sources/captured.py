@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoteloom.functions import part_number as pn
 from quoteloom.functions.text import blank_to_null
 
 ORGANIC = "struct<organic:array<string>>"
@@ -50,6 +51,46 @@ def rate_document(documents: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.when(rate > 0, rate).otherwise(F.raise_error(F.concat(F.lit("rate is not a positive number: "), F.col("rate_text"))).cast("decimal(18,6)")))
 
 
+def search_address(base: str, mpn: Column) -> Column:
+    """Address of a shop's search for a part number, percent-encoded."""
+    encoded = F.url_encode(mpn)  # as of a form: mend the three characters in which it differs
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(form), F.lit(plain))
+    return F.concat(F.lit(base), encoded)
+
+
+def catalog_records(documents: DataFrame) -> DataFrame:
+    """document_id, row (from 0), part_number, part_name and is_drive of each usable row of catalogs
+    (``raw`` JSON with a list ``details``); rows without a part number are skipped, anything else
+    that is not of that shape fails the read. A drive has one or more attributes ``is-ssd``, all
+    exactly true."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+    get = lambda v, name, t: F.try_variant_get(v, f"$['{name}']", t)
+    broken = lambda why: F.raise_error(F.lit(f"catalog: {why}"))
+    listed = get(F.parse_json("raw"), "details", "array<variant>")
+    rows = documents.select("document_id", F.posexplode(F.when(listed.isNull(), broken("no list of details")).otherwise(listed)).alias("row", "_v"))
+    v = F.col("_v")
+    rows = rows.withColumn("_v", F.when(~kind(v).startswith("OBJECT"), broken("a row is no object")).otherwise(v))
+    text = lambda name: F.when(kind(get(v, name, "variant")) == "STRING", get(v, name, "string"))
+    attributes = get(v, "attr", "array<variant>")
+    marks = F.filter(F.coalesce(attributes, F.array().cast("array<variant>")), lambda a: get(a, "id", "string") == "is-ssd")
+    true = lambda a: F.coalesce((kind(get(a, "value", "variant")) == "BOOLEAN") & get(a, "value", "boolean"), F.lit(False))
+    rows = rows.select("document_id", "row", text("part-number").alias("part_number"), F.coalesce(text("part-name"), F.lit("")).alias("part_name"), ((F.size(marks) > 0) & F.forall(marks, true)).alias("is_drive"))
+    return rows.where("part_number <> ''")
+
+
+def bound_offers(offers: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vendor offers of a run that are the requested part (requests: run_id, requested_mpn), new by the
+    vendor's policy, and the issues: every other offer is a mismatch, and failed ones keep their status."""
+    joined = offers.join(requests.select("run_id", "requested_mpn"), "run_id")
+    match = F.when(F.col("status") == "OK", pn.compare(F.col("requested_mpn"), F.col("explicit_mpn")))
+    joined = joined.withColumn("match_type", match)
+    good = F.coalesce(F.col("match_type").isin("EXACT", "NORMALIZED_EXACT"), F.lit(False))
+    kept = joined.where(good).withColumns({"brand_new": F.lit(True), "brand_new_basis": F.lit("VENDOR_API_POLICY")})
+    outcome = F.when(F.col("status") == "OK", "MPN_MISMATCH").otherwise(F.col("status"))
+    return kept, joined.where(~good).select("run_id", "source_name", outcome.alias("outcome"), F.when(F.col("status") == "OK", "vendor_mpn_mismatch").alias("detail"))
+
+
 def stock_flag(flag: Column, quantity: Column) -> Column:
     """Availability from a vendor's flag and quantity; contradictions are UNKNOWN."""
     some, none = F.coalesce(quantity > 0, F.lit(False)), F.coalesce(quantity == 0, F.lit(False))
