@@ -9,14 +9,17 @@ How the work is spread:
    least. Equal windows have equal anchors at equal offsets, so only windows under one anchor can
    be equal. Consecutive windows that share an anchor form a *segment*. A map task emits one short
    row a segment; of equal segments in its batch only the earliest is sent on, which keeps the
-   rows of a passage that a third of the corpus holds to one a batch.
-2. The rows meet by anchor. Anchors met once are done. Equal segments leave the earliest.
+   rows of a passage that a third of the corpus holds to one a batch. Neighbouring segments that
+   are known to repeat are one row, so a text of one byte repeated makes few.
+2. The rows meet by anchor. Anchors met once are done. Equal segments (64 bits of the anchor and 96 of
+   the content agree; their bytes are not fetched) leave the earliest.
 3. Distinct segments under one anchor may still share some windows. Their bytes are cut from the
    documents, meet by anchor, and a two-stage suffix array (``suffix_array``) over each block puts
    equal windows next to each other: common prefix of ``length`` or more, the earliest stays. An
    anchor with over ``hot`` distinct segments is split further, to one group for each window hash.
 
-Step 1 and 2 lose nothing; they only keep the suffix array to bytes that can repeat.
+Steps 1 and 2 lose nothing: they keep the suffix array to one copy of the bytes that can repeat. So it
+decides which windows of different segments are equal, and equal segments are told by their hashes.
 
 Edge cases: a null or empty text has no bytes; texts shorter than ``length`` keep all. A row whose
 doc_id is null is compared with nothing and kept whole. Rows that repeat a doc_id and text are one
@@ -41,11 +44,12 @@ ANCHOR = 32
 PIECE = 200_000  # bytes scanned at a time; a longer text is scanned in overlapping pieces
 BLOCK = 2_000_000  # bytes under one suffix array, but for an anchor's segments, which stay together
 HOT = 8192  # distinct segments under one anchor
+MOST = 30_000  # windows in one row
 
 U64 = np.uint64
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U64)
 
-SEGMENT = "anchor long, content long, doc_id long, start int, windows short, known boolean"
+SEGMENT = "anchor long, content long, check int, doc_id long, start int, windows short, known boolean"
 MARK = "kind short, anchor long, doc_id long, start int, windows short"
 REPEAT, DISTINCT, SPLIT = 0, 1, 2
 CUT = "anchor long, doc_id long, start int, part binary"
@@ -74,14 +78,14 @@ class Scanner:
         self.power, self.inverse = _powers(PIECE + 2 * length + 16)
 
     def segments(self, text: np.ndarray, ends: np.ndarray):
-        """Anchor hash, content hash, start and number of windows of each segment.
+        """Anchor hash, content hash and check, start and number of windows of each segment.
 
         ``ends``: for each byte, where its piece ends; windows stay within a piece.
         """
         n, length = len(text), self.length
         if n < length:
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none, none, none, none, none
         words = words_at(text)
         pieces = _mixed(words)
         spots = n - ANCHOR + 1
@@ -101,14 +105,17 @@ class Scanner:
         valid = np.flatnonzero(np.arange(len(at)) + length <= ends[: len(at)])
         if not len(valid):
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none, none, none, none, none
         at = at[valid]
         first = np.flatnonzero(np.insert((at[1:] != at[:-1]) | (np.diff(valid) != 1), 0, True))
         start, windows = valid[first], np.diff(np.append(first, len(valid)))
         summed = np.concatenate([[U64(0)], np.cumsum(pieces * self.power[:n], dtype=U64)])
         last = start + windows - 1 + length - 7  # the words of a segment lie within it
         content = _mixed((summed[last] - summed[start]) * self.inverse[start] + windows.astype(U64) * MIX[4])
-        return hashes[at[first]].view(np.int64), content.view(np.int64), start, windows
+        pieces = (pieces ^ (pieces >> U64(31))) * MIX[3]
+        np.cumsum(pieces ^ (pieces >> U64(30)), dtype=U64, out=summed[1:])
+        check = ((summed[last] - summed[start]) >> U64(32)).astype(np.uint32).view(np.int32)
+        return hashes[at[first]].view(np.int64), content.view(np.int64), check, start, windows
 
 
 def _pieces(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -142,28 +149,50 @@ def _scan(length: int):
                 sizes = b - a
                 base = np.cumsum(sizes) - sizes
                 text = np.concatenate([raw[x:y] for x, y in zip(a, b, strict=True)])
-                anchor, content, start, windows = scanner.segments(text, np.repeat(base + sizes, sizes))
+                anchor, content, check, start, windows = scanner.segments(text, np.repeat(base + sizes, sizes))
                 piece = np.searchsorted(base, start, "right") - 1
-                found.append((anchor, content, ids[rows[piece]], start - base[piece] + a[piece] - at[rows[piece]], windows))
+                found.append((anchor, content, check, ids[rows[piece]], start - base[piece] + a[piece] - at[rows[piece]], windows))
             if not found:
                 continue
-            anchor, content, doc, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, content, anchor))
-            anchor, content, doc, start, windows = (x[order] for x in (anchor, content, doc, start, windows))
-            new = np.insert((anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]), 0, True)
+            anchor, content, check, doc, start, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, new = _sorted(anchor, content, check, doc, start)
+            anchor, content, check, doc, start, windows = (x[order] for x in (anchor, content, check, doc, start, windows))
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
             known = (doc != doc[first]) | (start != start[first])
-            keep = new | known
-            # a known repeat needs no meeting; its route is any number
-            route = np.where(known, doc * 2654435761 + start, anchor)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (route, content, doc, start.astype(np.int32), windows.astype(np.int16), known)],
-                ["anchor", "content", "doc_id", "start", "windows", "known"],
-            )
+            keep = new & ~known
+            yield _segments(*(x[keep] for x in (anchor, content, check, doc, start, windows)), False)
+            # a known repeat needs no meeting, so its route is any number, and neighbours are one row
+            doc, start, windows = doc[known], start[known], windows[known]
+            order = np.lexsort((start, doc))
+            doc, start, windows = doc[order], start[order], windows[order]
+            apart = np.insert((doc[1:] != doc[:-1]) | (start[1:] != (start + windows)[:-1]), 0, True) if len(doc) else np.zeros(0, bool)
+            run = np.cumsum(apart) - 1
+            covered = np.cumsum(windows) - windows
+            apart |= np.insert(np.diff((covered - covered[np.flatnonzero(apart)][run]) // MOST) != 0, 0, True) if len(doc) else apart
+            head = np.flatnonzero(apart)
+            total = np.add.reduceat(windows, head) if len(head) else windows
+            route = doc[head] * 2654435761 + start[head]
+            nothing = np.zeros(len(head), np.int64)
+            yield _segments(route, nothing, nothing, doc[head], start[head], total, True)
 
     return scan
 
 
+def _sorted(anchor, content, check, doc, start) -> tuple[np.ndarray, np.ndarray]:
+    """Order by segment, then place, and which rows of it begin another segment."""
+    order = np.lexsort((start, doc, check, content, anchor))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (anchor, content, check):
+        x = x[order]
+        same &= x[1:] == x[:-1]
+    return order, np.append(True, ~same)[: len(order)]
+
+
+def _segments(anchor, content, check, doc, start, windows, known: bool) -> pa.RecordBatch:
+    columns = (anchor, content, check.astype(np.int32), doc, start.astype(np.int32), windows.astype(np.int16), np.full(len(doc), known))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "content", "check", "doc_id", "start", "windows", "known"])
+
+
 def _marks(kind, anchor, doc, start, windows) -> pa.RecordBatch:
     kinds = np.broadcast_to(np.asarray(kind, np.int16), len(doc))
     return pa.RecordBatch.from_arrays(
@@ -177,20 +206,19 @@ def _meet(hot: int):
         rows = whole(batches)
         if rows is None:
             return
-        anchor, content, doc, start, windows, known = (column(rows, c) for c in ("anchor", "content", "doc_id", "start", "windows", "known"))
+        anchor, content, check, doc, start, windows, known = (column(rows, c) for c in ("anchor", "content", "check", "doc_id", "start", "windows", "known"))
         if known.any():
             yield _marks(REPEAT, anchor[known], doc[known], start[known], windows[known])
-        anchor, content, doc, start, windows = (x[~known] for x in (anchor, content, doc, start, windows))
+        anchor, content, check, doc, start, windows = (x[~known] for x in (anchor, content, check, doc, start, windows))
         order = np.argsort(anchor, kind="stable")
         sorted_anchor = anchor[order]
         same = sorted_anchor[1:] == sorted_anchor[:-1]
         order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
         if not len(order):
             return
-        anchor, content, doc, start, windows = (x[order] for x in (anchor, content, doc, start, windows))
-        order = np.lexsort((start, doc, content, anchor))
-        anchor, content, doc, start, windows = (x[order] for x in (anchor, content, doc, start, windows))
-        new = np.insert((anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]), 0, True)
+        anchor, content, check, doc, start, windows = (x[order] for x in (anchor, content, check, doc, start, windows))
+        order, new = _sorted(anchor, content, check, doc, start)
+        anchor, doc, start, windows = (x[order] for x in (anchor, doc, start, windows))
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         repeat = (doc != doc[first]) | (start != start[first])
         if repeat.any():

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quoteloom.llm import decontaminate, golay, licenses, line_dedup, mixing, pii, secrets, simhash, toxicity, vector_search
+from quoteloom.llm import decontaminate, golay, licenses, line_dedup, mixing, pii, secrets, simhash, suffix_dedup, toxicity, vector_search
 from quoteloom.llm.components import components
 from quoteloom.llm.suffix_array import common_prefixes, suffix_array, words_at
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -76,6 +76,15 @@ def test_suffix_dedup(spark, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got.collect()} == brute_repeats([(d, t.encode()) for d, t in rows])
 
 
+def test_suffix_dedup_of_runs(spark):
+    """Bytes that repeat without end, over pieces and rows of marks, make few rows."""
+    rows = [(1, "z" * 70_000), (2, "ab" * 40_000), (3, "q" + "z" * 300 + prose(2, 20)), (4, "ba" * 200)]
+    docs = make(spark, [(d, t, "s") for d, t in rows])
+    got = remove_repeats(docs).withColumn("h", F.sha2("kept", 256))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got.collect()} == brute_repeats([(d, t.encode()) for d, t in rows])
+    assert docs.coalesce(1).mapInArrow(suffix_dedup._scan(100), suffix_dedup.SEGMENT).count() < 200
+
+
 def test_suffix_dedup_odd(spark, odd, empty):
     rows = remove_repeats(odd).collect()
     assert len(rows) == 9
