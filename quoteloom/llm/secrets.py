@@ -1,27 +1,34 @@
 """Secret scan, with a random forest that removes false findings. DataFrame functions only.
 
 A candidate is a run of 16 or more letters, digits and ``+ / _ -`` (and closing ``=``) within a
-white-space token. Features of a candidate and its surroundings: length; shares of digits, capitals
-and symbols; how varied its characters are; how often it changes between kinds of characters, and
-how many neighbouring letters are common pairs; the share that dictionary pieces cover; whether it
-stands in a path or address; and words on either side that speak for or against a secret. The
-forest is trained on labelled findings (``labelled``, a small table written from a rule, or one's
-own) and drops candidates below ``threshold``.
+white-space token, or the whole value, of 8 characters or more of any kind, that is assigned (by ``=``
+or ``:``, in the same token or the one before) to a name that holds a word such as ``password``.
 
-The texts are read once and never shuffled; a text becomes an array of tokens and neighbours are
-found by place, so the cost is linear in its length.
+Features of a candidate and its surroundings: length; shares of digits, capitals and symbols; how
+varied its characters are and how often they change kind; how natural its letter transitions are; the
+share that dictionary words cover; whether it stands in a path or address; and words on either side
+that speak for or against a secret. Transitions and dictionary are learned from the scanned texts: one
+count of all their words gives the probability of each letter after another, and the ``dictionary``
+most frequent words of four letters or more (a short list of common pairs and words is added, so that
+a few texts are no worse off). The forest is trained on labelled findings (``labelled``, a small table
+written from a rule, or one's own) and drops candidates below ``threshold``.
+
+The texts are read twice and never shuffled; their words are, as counts summed in each task. A text
+becomes an array of tokens and neighbours are found by place, so the cost is linear in its length.
 
 Edge cases: null and empty texts have no findings. A candidate that a text holds more than once is
-one row for each place. Repeated rows are scanned alike. Other columns are not read. An empty
-table gives an empty result.
+one row for each place. Repeated rows are scanned alike; very long texts are read whole. Columns other
+than doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import math
 import random
 import string
+from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,9 +36,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoteloom.llm.common import written
+
 LEAST = 16
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
-FINDINGS = 3000
+VALUE = 8
+FINDINGS = 4000
+DICTIONARY = 2000
 TREES, DEPTH = 30, 8
 THRESHOLD = 0.5
 
@@ -40,29 +51,60 @@ PIECES = "the and for key test user name file data path http https www com org h
 FOR = "key token secret password passwd pwd auth bearer api apikey credential access private pass".split()
 AGAINST = "sha sha1 sha256 md5 commit checksum hash digest uuid guid rev revision id etag integrity card phone http https file see".split()
 
-FEATURES = ["length", "digits", "capitals", "symbols", "variety", "changes", "common", "covered", "slashes", "dotted", "address", "dashes", "speaks_for", "speaks_against", "quoted", "assigned", "prefix", "plain_digits"]
+NAMES = "(?:pass|passwd|password|pwd|secret|token|key|apikey|auth|bearer|credential)s?"
+ASSIGN = f"(?i)(?:^|[^a-z]){NAMES}[a-z0-9_]*[\"'`\\])]*\\s*(?::=|=>|=|:)"
+QUOTES = "\"'`"
+
+FEATURES = ["length", "digits", "capitals", "symbols", "variety", "changes", "natural", "covered", "slashes", "dotted", "address", "dashes", "speaks_for", "speaks_against", "quoted", "assigned", "prefix", "plain_digits"]
 
 
 def _words(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike(rf"(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+class Language(NamedTuple):
+    """How likely each letter is after another (bits above chance, by 26 x first + second), and words."""
+
+    transitions: list[float]
+    words: list[str]
+
+
+def language(docs: DataFrame, dictionary: int = DICTIONARY) -> Language:
+    """Learned from all words of ``docs``; 676 sums and ``dictionary`` words come to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    words = written(words.groupBy("word").agg(F.count("*").alias("n")))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))
+    counts = {r["pair"]: r["n"] for r in words.select(F.explode(pairs).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    letters, table = string.ascii_lowercase, []
+    for a in letters:
+        row = [counts.get(a + b, 0) + 1 + 100 * (a + b in PAIRS) for b in letters]
+        table += [math.log2(26 * n / sum(row)) for n in row]
+    known = words.where(F.length("word") >= 4).orderBy(F.desc("n"), "word").limit(dictionary).collect()
+    return Language(table, sorted({r["word"] for r in known} | {p for p in PIECES if len(p) > 2}))
+
+
+def with_features(found: DataFrame, learned: Language) -> DataFrame:
     """Adds FEATURES to rows of candidate, head and tail (the token around it), before, after."""
+    found = found.withColumn("letters", F.regexp_replace(F.lower("candidate"), "[^a-z]", ""))
+    code = lambda i: F.ascii(F.substr("letters", i, F.lit(1))) - 97
+    steps = F.length("letters") - 1
+    natural = F.aggregate(F.sequence(F.lit(1), steps), F.lit(0.0), lambda total, i: total + F.element_at(F.lit(learned.transitions), (code(i) * 26 + code(i + 1) + 1).cast("int"))) / steps
+    runs = F.transform(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)), F.lower)
+    known = F.aggregate(F.filter(runs, lambda w: w.isin(learned.words)), F.lit(0), lambda n, w: n + F.length(w))
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "\u0001"), "[A-Z]+", "\u0002"), "[0-9]+", "\u0003"), "[+/_=-]+", "\u0004")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "\u0001"), "[A-Z]+", "\u0002"), "[0-9]+", "\u0003"), "[^\u0001-\u0003]+", "\u0004")
     near = F.concat_ws(" ", "before", "head", "after")
     flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
     values = {
         "length": n,
         "digits": share("[0-9]"),
         "capitals": share("[A-Z]"),
-        "symbols": share("[+/_=-]"),
+        "symbols": share("[^A-Za-z0-9]"),
         "variety": F.size(F.array_distinct(F.split(c, ""))) / n,
         "changes": F.length(kinds) / n,
-        "common": F.regexp_count(F.lower(c), F.lit(f"(?={'|'.join(PAIRS)})")) / n,
-        "covered": 1 - F.length(F.regexp_replace(F.lower(c), "|".join(PIECES), "")) / n,
+        "natural": F.when(steps >= 1, natural).otherwise(0.0),
+        "covered": known / n,
         "slashes": share("/"),
         "dotted": flag(F.col("tail").rlike(r"^\.[a-z]{1,5}\b") | F.col("head").rlike(r"[a-z]\.$")),
         "address": flag(F.concat("head", "candidate", "tail").rlike("(?i)https?:|www\\.|data:|^[./~]")),
@@ -74,7 +116,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|sk_|pk_|xox|AIza|glpat-|npm_)")),
         "plain_digits": flag(c.rlike("^[0-9]+$")),
     }
-    return found.withColumns({k: v.cast("double") for k, v in values.items()})
+    return found.withColumns({k: v.cast("double") for k, v in values.items()}).drop("letters")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -82,7 +124,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     tokens = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\\s+").alias("t"))
     at = lambda i: F.coalesce(F.try_element_at(F.col("t"), i), F.lit(""))  # noqa: E731  # numbered from 1; 0 is checked by the caller
     spot = lambda w, i: F.when(
-        (F.octet_length(w) >= LEAST) & w.rlike(CANDIDATE),
+        F.octet_length(w) >= VALUE,
         F.struct(
             i.cast("int").alias("token"),
             w.alias("w"),
@@ -91,7 +133,17 @@ def candidates(docs: DataFrame) -> DataFrame:
         ),
     )
     found = tokens.select("doc_id", F.explode(F.array_compact(F.transform("t", spot))).alias("s")).select("doc_id", "s.*")
-    found = found.select("*", F.posexplode(F.regexp_extract_all("w", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("place", "candidate"))
+    runs = F.regexp_extract_all("w", F.lit(f"({CANDIDATE})"), F.lit(1))
+    inner = F.regexp_extract("w", f"{ASSIGN}(.*)$", 1)
+    value = F.when(inner != "", inner).when(F.col("before").rlike(f"{ASSIGN}$"), F.col("w"))
+    # a quoted value ends with its quotes
+    quoted = F.regexp_extract(value, f"^[{QUOTES}]([^{QUOTES}]*)", 1)
+    value = F.when(value.rlike(f"^[{QUOTES}]"), quoted).otherwise(F.rtrim(value, F.lit(f".,;){QUOTES}")))
+    named = F.when(F.length(value) >= VALUE, value)
+    # a value that is a run by itself is found as one; of another the parts are not looked at
+    found = found.withColumns({"runs": runs, "named": named})
+    both = F.when(F.col("named").isNull() | F.array_contains("runs", F.col("named")), F.col("runs")).otherwise(F.array("named"))
+    found = found.select("doc_id", "token", "w", "before", "after", F.posexplode(both).alias("place", "candidate"))
     # of equal candidates in one token all get the surroundings of the first
     head = F.expr("substring_index(w, candidate, 1)")
     tail = F.expr("substring(w, length(substring_index(w, candidate, 1)) + length(candidate) + 1)")
@@ -109,7 +161,11 @@ def labelled(count: int = FINDINGS, seed: int = 5) -> list[tuple]:
     named = lambda: rng.choice(["token", "secret", "api_key", "key", "password", "auth", "access_key", "credential"])
 
     def secret() -> tuple:
-        kind = rng.randrange(8)
+        kind = rng.randrange(11)
+        if kind >= 8:  # a short one, of any characters
+            short = some(alnum + "!@#$%^&*", rng.randint(8, 20)) if kind < 10 else word(2).capitalize() + some(string.digits, rng.randint(1, 4)) + some("!@#$%", 1) + some(alnum, 3)
+            short = short[: max(8, len(short))].ljust(8, "7")
+            return short, *rng.choice([('"', '"', f"{named()} ="), ("", "", f"db_{named()}:"), (f"{named()}=", "", prose()), ("'", "',", f"{named()} :")]), prose()
         if kind == 0:
             return some(hexes, rng.choice([32, 40, 40, 40, 64])), '"', '"', f"{named()} =", prose()
         if kind == 1:
@@ -125,7 +181,10 @@ def labelled(count: int = FINDINGS, seed: int = 5) -> list[tuple]:
         return some(alnum, rng.choice([24, 32, 40])), rng.choice([f"{named()}=", f"{named()}:", "Bearer:"]), "", prose(), prose()
 
     def other() -> tuple:
-        kind = rng.randrange(13)
+        kind = rng.randrange(16)
+        if kind >= 13:  # words that are assigned to such a name
+            plain = rng.choice([word(5), "-".join(word(2) for _ in range(3)), "required", "optional", "undefined", "changeme", "your_password", "<password>", "${PASSWORD}", "********", "os.environ", "getpass()", "[redacted]", "none/null", f"{word(3)}.{word(3)}"])
+            return plain.ljust(8, "e"), *rng.choice([('"', '"', f"{named()} ="), ("", "", f"{named()}:"), (f"{named()}=", "", prose())]), prose()
         if kind in (0, 1, 2):
             w = word(9)[: rng.randint(16, 26)].ljust(LEAST, "n")
             return (w.capitalize() if rng.random() < 0.3 else w), "", rng.choice(["", ".", ",", "%%%", "***"]), prose(), prose()
@@ -153,11 +212,11 @@ def labelled(count: int = FINDINGS, seed: int = 5) -> list[tuple]:
     return [(*(secret() if k % 2 else other()), float(k % 2)) for k in range(count)]
 
 
-def _assembled(found: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found))
+def _assembled(found: DataFrame, learned: Language) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, learned))
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None) -> RandomForestClassificationModel:
+def train(spark: SparkSession, learned: Language, findings: DataFrame | None = None) -> RandomForestClassificationModel:
     """A forest for ``findings`` (candidate, head, tail, before, after, label 0 or 1)."""
     if findings is None:
         # a literal, so that no executor starts a Python worker for it
@@ -165,12 +224,13 @@ def train(spark: SparkSession, findings: DataFrame | None = None) -> RandomFores
         kind = "array<struct<candidate:string,head:string,tail:string,before:string,after:string,label:double>>"
         findings = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, featureSubsetStrategy="sqrt")
-    return forest.fit(_assembled(findings.coalesce(1)).select("features", "label"))
+    return forest.fit(_assembled(findings.coalesce(1), learned).select("features", "label"))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, token (number of the white-space token), place (in the token), secret, score."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = model or train(docs.sparkSession)
-    scored = model.transform(_assembled(candidates(docs))).withColumn("score", vector_to_array("probability")[1])
+    learned = language(docs)
+    model = train(docs.sparkSession, learned, findings)
+    scored = model.transform(_assembled(candidates(docs), learned)).withColumn("score", vector_to_array("probability")[1])
     return scored.where(F.col("score") >= threshold).select("doc_id", "token", "place", F.col("candidate").alias("secret"), "score")

@@ -286,6 +286,40 @@ def test_secrets_keep_true_findings_only(spark, odd, empty):
     assert secrets.scan(odd).collect() == [] and secrets.scan(empty).collect() == []
 
 
+def test_short_secrets_next_to_their_names(spark):
+    prose_docs = [(100 + k, "the passage of another and the other words of that language with some more of them", "s") for k in range(30)]
+    good = {1: "Xk9#mQ2$vL7@pR4!", 2: "hunter2Secret!", 3: "abcDEF12345", 4: "Tr0ub4dor&3"}
+    texts = {1: "db_pass: Xk9#mQ2$vL7@pR4! and more", 2: 'password = "hunter2Secret!"### ok', 3: "api_token=abcDEF12345", 4: "pwd=Tr0ub4dor&3, then", 5: "password: required for all", 6: "token: undefined", 7: 'secret = "your_password"', 8: "the passage: anderen worden"}
+    got = {(r.doc_id, r.secret) for r in secrets.scan(make(spark, [(k, t, "s") for k, t in texts.items()] + prose_docs)).collect()}
+    assert got == set(good.items())
+
+
+def test_secret_language_counts_all_words(spark):
+    docs = make(spark, [(1, "alpha alpha beta ab", "s"), (2, "alpha BETA x", "s"), (3, None, "s")])
+    learned = secrets.language(docs, dictionary=1)
+    assert "alpha" in learned.words and "beta" not in learned.words and len(learned.transitions) == 676
+    # p follows l three times of three: 1 + 3 of 26 + 3, and no common pair but those of the list
+    row = [1 + 100 * ("l" + b in secrets.PAIRS) + 3 * (b == "p") for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert learned.transitions[11 * 26 + 15] == pytest.approx(np.log2(26 * row[15] / sum(row)))
+
+
+def test_secret_features_and_forest_by_hand(spark):
+    """Features of a candidate by plain Python, and a vote of the forest's trees as its score."""
+    learned = secrets.language(make(spark, [(1, "some words of text here", "s")]))
+    row = ("AKIA9fooBar-some", 'key="', '"', "the secret", "after", 1.0)
+    found = spark.createDataFrame([row], "candidate string, head string, tail string, before string, after string, label double")
+    f = secrets.with_features(found, learned).first()
+    c = row[0]
+    assert (f.length, f.digits, f.capitals, f.symbols) == pytest.approx((16, 1 / 16, 5 / 16, 1 / 16))
+    assert f.variety == pytest.approx(len(set(c)) / 16) and f.covered == pytest.approx(4 / 16) and f.prefix == 1 and f.quoted == 1 and f.speaks_for == 1
+    low = re.sub("[^a-z]", "", c.lower())
+    assert f.natural == pytest.approx(np.mean([learned.transitions[(ord(a) - 97) * 26 + ord(b) - 97] for a, b in zip(low, low[1:], strict=False)]))
+    model = secrets.train(spark, learned)
+    scored = model.transform(secrets._assembled(found, learned)).first()
+    votes = [t.predictRaw(scored.features) for t in model.trees]
+    assert scored.probability[1] == pytest.approx(np.mean([v[1] / (v[0] + v[1]) for v in votes]))
+
+
 def test_machine_learns_pairs():
     rng = np.random.default_rng(0)
     texts, labels = [], []
