@@ -11,12 +11,12 @@ SECTIONS = ("VENDOR", "HUMAN_CONFIRMED", "AI_UNREVIEWED", "PUBLIC", "QUOTE_ONLY"
 
 def with_usd(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds usd, usd_available, usd_reason. ``rates`` (one snapshot: base_currency, currency_code,
-    rate) has a row a currency, some dozens, so it is broadcast."""
+    rate) has a row a currency; Spark broadcasts it by its measured size."""
     dollars = rates.where("currency_code = 'USD'").select(F.col("rate").alias("_usd_rate"), F.col("base_currency").alias("_base"))
     every = rates.groupBy().agg(F.max("base_currency").alias("_base_any"))
     one = every.join(dollars, F.col("_base") == F.col("_base_any"), "left").select(F.col("_base_any").alias("_base"), "_usd_rate").withColumn("_one", F.lit(1))
     known = rates.select(F.col("currency_code").alias("_code"), F.col("rate").alias("_rate"))
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "left").join(F.broadcast(known), F.col("currency_code") == F.col("_code"), "left")
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "left").join(known, F.col("currency_code") == F.col("_code"), "left")
     rows = rows.withColumn("_fx", fx.usd_equivalent(F.col("price_amount"), F.col("currency_code"), F.col("_base"), F.col("_rate"), F.col("_usd_rate")))
     rows = rows.withColumns({"usd": F.col("_fx.usd"), "usd_available": F.col("_fx.available"), "usd_reason": F.col("_fx.reason")})
     return rows.drop("_one", "_base", "_usd_rate", "_code", "_rate", "_fx")

@@ -1,5 +1,7 @@
 """Queries over catalogs, aliases, vendor offers, all quote sections, evidence and reviews."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from quoteloom.plans.evidence import CASES
 from quoteloom.plans.market import _ROW, ACCEPTED, ASSESS_SQL, assessed
 from quoteloom.sources import captured
 from quoteloom.sources.adapters import rates, view
+from quoteloom.streaming import logs
 
 SEARCH = "https://shop.example/search?q="
 CATALOGS = """
@@ -147,9 +150,18 @@ def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.repeated(view(spark, sf_dir, "SELECT user_id, event_type, CAST(event_id % 3 AS BIGINT) AS part FROM events"))
 
 
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user and type, by a stream over the event files."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    newest = logs.newest(logs.read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
+    return logs.caught_up(newest, shared or tempfile.mkdtemp(prefix="quoteloom-"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (catalog_records, packaging_aliases, description_evidence, search_addresses, source_outcomes, vendor_bindings, quote_sections, public_sections, projected_rates, evidence_quality, resolution_bounds, bound_reviews, scored_cases, run_decisions, repeated_events)
+    for f in (catalog_records, packaging_aliases, description_evidence, search_addresses, source_outcomes, vendor_bindings, quote_sections, public_sections, projected_rates, evidence_quality, resolution_bounds, bound_reviews, scored_cases, run_decisions, repeated_events, streamed_events)
 }
 
 _OFFER = "SELECT 'r' || p_partkey AS run_id, 'MZ' || p_partkey AS mpn, p_partkey FROM part"
@@ -188,5 +200,6 @@ SELECT run_id, assessment_index, url_ord, listing_ord, 'CONFIRMED' AS review_sta
 SELECT CASE WHEN c.case_id IS NULL THEN 'UNKNOWN_CASE' WHEN r.case_id IS NULL THEN 'MISSING' ELSE 'ANSWERED' END AS status, count(*) AS cases FROM c FULL JOIN (SELECT * FROM r WHERE case_id % 7 <> 0) r ON c.case_id = r.case_id GROUP BY 1""",
     "run_decisions": f"""WITH m AS ({_METRICS}), n AS (SELECT *, CAST(substr(run_id, 4) AS INTEGER) AS k, CASE WHEN v > 0 THEN round(hit / v, 6) ELSE 0.0 END AS accuracy FROM m)
 SELECT run_id, CASE WHEN false_matches >= 3 THEN 'NOT_QUALIFIED' WHEN k % 5 = 0 THEN 'POLICY_PENDING' WHEN cases < 2 THEN 'INCOMPLETE_COVERAGE' WHEN k % 3 = 0 THEN 'THRESHOLD_INDETERMINATE' WHEN accuracy < 0.5 THEN 'BELOW_THRESHOLD' ELSE 'QUALIFIED' END AS decision FROM n""",
+    "streamed_events": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "repeated_events": "SELECT user_id, event_type, event_id % 3 AS part, count(*) AS count FROM events GROUP BY ALL HAVING count(*) > 1",
 }

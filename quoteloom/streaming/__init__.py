@@ -1 +1 @@
-"""Structured Streaming forms of the append-only logs (an addition)."""
+"""Logs that arrive over time."""
