@@ -89,7 +89,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63)
             prints.append(signature(found))
             sizes.append(len(found))
-            sets.append(found.tobytes())
+            sets.append(np.unique((found >> U64(32)).astype(np.uint32)).tobytes())  # enough to compare two sets
             if not len(found):
                 keys.append([])
                 least.append(b"")
@@ -108,7 +108,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            a, b = np.frombuffer(a.as_py(), U64), np.frombuffer(b.as_py(), U64)
+            a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
             both = len(np.intersect1d(a, b, assume_unique=True))
             good.append(both >= LEAST * (len(a) + len(b) - both) - 1e-9)
         yield batch.select(["one", "two"]).filter(pa.array(good, pa.bool_()))
@@ -169,12 +169,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     drawn = F.min_by(F.struct("digest", "size"), F.xxhash64("digest", "key"))
     buckets = written(keys.groupBy("key").agg(F.count("*").alias("count"), drawn.alias("hub")).where("count > 1"))
 
+    sets = marks.groupBy("digest").agg(F.first("shingles").alias("shingles"))
+
     def tried(pairs: DataFrame) -> DataFrame:
+        # the sets are shuffled once, for both joins
         pairs = written(pairs.distinct())
-        ends = pairs.select(F.col("one").alias("digest")).unionByName(pairs.select(F.col("two").alias("digest"))).distinct()
-        own = written(marks.join(ends, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")))
-        both = pairs.join(own.select(F.col("digest").alias("one"), F.col("shingles").alias("a")), "one")
-        both = both.join(own.select(F.col("digest").alias("two"), F.col("shingles").alias("b")), "two").select("one", "two", "a", "b")
+        both = pairs.join(sets, F.col("one") == F.col("digest")).select("one", "two", F.col("shingles").alias("a"))
+        both = both.join(sets, F.col("two") == F.col("digest")).select("one", "two", "a", F.col("shingles").alias("b"))
         return written(both.mapInArrow(_alike, "one long, two long"))
 
     def near(a: str, b: str):
