@@ -22,6 +22,25 @@ def resolve(observations: DataFrame) -> DataFrame:
     return found.select("product_id", "definition_key", "usable", "state", one["value_kind"].alias("value_kind"), one["value_text"].alias("value_text"), one["value_dec"].alias("value_dec"))
 
 
+def united(*evidence: DataFrame) -> DataFrame:
+    """Observations of several sources as one set; of equal ones the first counts, so evidence that two
+    sources repeat is not stronger."""
+    rows = None
+    for k, part in enumerate(evidence):
+        part = part.withColumn("_source", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    columns = [c for c in rows.columns if c != "_source"]
+    return rows.groupBy(*columns).agg(F.min("_source").alias("first_source"))
+
+
+def coverage(resolutions: DataFrame, required: list[str]) -> DataFrame:
+    """product_id, missing (the required keys without a value, in order) and whether all are there."""
+    held = F.collect_set(F.when(F.col("value_kind").isNotNull(), F.col("definition_key")))  # at most FIELDS keys
+    found = resolutions.groupBy("product_id").agg(held.alias("_held"))
+    missing = F.array_except(F.array(*(F.lit(k) for k in required)), "_held")
+    return found.select("product_id", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("complete"))
+
+
 def field_similarity(pairs: DataFrame) -> DataFrame:
     """Adds field_similarity to rows with t_ and c_ values of one key: equal or not for text and
     flags, smaller by larger for numbers; null unless both have a value."""

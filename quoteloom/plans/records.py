@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.functions import commerce, quote
-from quoteloom.operators import aggregate, aliases, authority, evaluation, match, quotes
-from quoteloom.operators.rates import projected
+from quoteloom.functions.specs import normalize
+from quoteloom.operators import aggregate, aliases, authority, evaluation, match, qualification, quotes, specs
+from quoteloom.operators.rates import projected, reusable
 from quoteloom.plans.authority import OFFERS
-from quoteloom.plans.evidence import CASES
+from quoteloom.plans.evidence import CASES, OBSERVATION_SQL, OBSERVATIONS
 from quoteloom.plans.market import _ROW, ACCEPTED, ASSESS_SQL, assessed
 from quoteloom.sources import captured
 from quoteloom.sources.adapters import rates, view
@@ -35,6 +36,20 @@ EVIDENCE = """
 SELECT p_partkey, p_partkey % 3 <> 0 AS titled, CASE p_partkey % 4 WHEN 0 THEN array() WHEN 1 THEN array('CAPACITY') WHEN 2 THEN array('CAPACITY', 'CAPACITY') ELSE array('CAPACITY', 'INTERFACE') END AS dimensions,
   CASE p_partkey % 5 WHEN 0 THEN array('MANUFACTURER_PRODUCT_CONTEXT') WHEN 1 THEN array('CUSTOMER_RETRIEVAL_RELATION') ELSE array() END AS provenances FROM part
 """
+CORPUS = """
+SELECT doc_id AS case_id, 'run' || CAST(doc_id % 20 AS STRING) AS run_id, CASE doc_id % 6 WHEN 4 THEN 'AMBIGUOUS' WHEN 5 THEN 'CONTRACT_NEGATIVE' ELSE 'AUTHORITATIVE' END AS case_class, 'U' || CAST(doc_id % 5 AS STRING) AS substate,
+  CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, CASE doc_id % 9 WHEN 0 THEN 'RUNTIME_FAILURE' WHEN 1 THEN 'NOT_CAPTURED' WHEN 2 THEN 'NOT_INVOKED' ELSE 'EVALUATED' END AS state,
+  CASE WHEN doc_id % 6 > 3 THEN NULL WHEN toxic = 1 THEN 'MATCH' WHEN quality = 0 THEN 'UNCERTAIN' ELSE 'NO_MATCH' END AS expected,
+  CASE WHEN doc_id % 4 = 0 THEN array('MATCH', 'UNCERTAIN') ELSE array('NO_MATCH') END AS acceptable, doc_id % 3 = 0 AS hard_conflict, doc_id % 7 = 0 AS sales_unit,
+  CASE doc_id % 5 WHEN 0 THEN 'MATCH' WHEN 1 THEN 'NO_MATCH' WHEN 2 THEN 'UNCERTAIN' WHEN 3 THEN 'NO_MATCH' ELSE 'MATCH' END AS decision,
+  CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'OTHER' ELSE 'NO_TITLE' END AS rejection, 'NO_TITLE' AS expected_rejection
+FROM labels
+"""
+PROVEN = """
+SELECT 'f' || CAST(event_id % 50 AS STRING) AS feed_id, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS observed_on, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS proven_on, DATE '2024-01-28' AS asked_on,
+  CASE event_id % 3 WHEN 0 THEN array('USD') ELSE array('GBP', 'JPY', 'USD') END AS codes
+FROM events WHERE event_id % 41 = 0
+"""
 
 
 def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +174,38 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.caught_up(newest, shared or tempfile.mkdtemp(prefix="quoteloom-"))
 
 
+def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qualification.outcomes(view(spark, sf_dir, CORPUS))
+    return rows.select("case_id", "state", "verdict", "severity")
+
+
+def outcome_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualification.metrics(qualification.outcomes(view(spark, sf_dir, CORPUS)), "run_id")
+
+
+def outcome_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualification.rollup(qualification.outcomes(view(spark, sf_dir, CORPUS)), "substate", "category")
+
+
+def policy_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = spark.sql("SELECT * FROM (VALUES ('match_precision', 0.4D), ('coverage', 0.5D), ('match_recall', 0.3D)) AS t(metric, bound)")
+    return qualification.thresholds(outcome_metrics(spark, sf_dir), bounds, "run_id")
+
+
+def united_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolutions of two overlapping sets of evidence, and what each product lacks."""
+    every = normalize(view(spark, sf_dir, OBSERVATIONS)).drop("raw_value")
+    one, two = every.where("definition_key <> 'capacity'"), every.where("source_authority = 'AUTHORITATIVE'")
+    return specs.coverage(specs.resolve(specs.united(one, two)), ["capacity", "sequential_read", "storage_protocol"])
+
+
+def reusable_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reusable(view(spark, sf_dir, PROVEN), [" usd", "GBP"]).select("feed_id", "observed_on", "outcome")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (catalog_records, packaging_aliases, description_evidence, search_addresses, source_outcomes, vendor_bindings, quote_sections, public_sections, projected_rates, evidence_quality, resolution_bounds, bound_reviews, scored_cases, run_decisions, repeated_events, streamed_events)
+    for f in (catalog_records, packaging_aliases, description_evidence, search_addresses, source_outcomes, vendor_bindings, quote_sections, public_sections, projected_rates, evidence_quality, resolution_bounds, bound_reviews, scored_cases, run_decisions, repeated_events, streamed_events, case_outcomes, outcome_metrics, outcome_rollup, policy_thresholds, united_specs, reusable_rates)
 }
 
 _OFFER = "SELECT 'r' || p_partkey AS run_id, 'MZ' || p_partkey AS mpn, p_partkey FROM part"
@@ -175,7 +219,41 @@ UNION ALL SELECT run_id, 4, 'QUOTE_ONLY', {_ROW} FROM assessed WHERE {ACCEPTED}
 _METRICS = f"""SELECT run_id, count(*) AS cases, count(*) FILTER (valid) AS v, count(*) FILTER (valid AND expected = predicted) AS hit,
   count(*) FILTER (valid AND predicted = 'MATCH' AND expected <> 'MATCH') AS false_matches FROM ({CASES}) GROUP BY run_id"""
 
+_OUTCOME = f"""WITH corpus AS ({CORPUS.replace('array(', 'list_value(')}), outcome AS (
+  SELECT * EXCLUDE (state), CASE WHEN case_class <> 'CONTRACT_NEGATIVE' THEN state WHEN rejection = 'NO_TITLE' THEN 'CONTRACT_REJECTED_OK' ELSE 'CONTRACT_VIOLATION' END AS state,
+    CASE WHEN case_class = 'CONTRACT_NEGATIVE' THEN CASE WHEN rejection = 'NO_TITLE' THEN 'REJECTED_AS_EXPECTED' ELSE 'REJECTED_VIOLATION' END WHEN state <> 'EVALUATED' THEN NULL
+      WHEN case_class = 'AMBIGUOUS' THEN CASE WHEN list_contains(acceptable, decision) THEN 'DEFENSIBLE' ELSE 'OUTSIDE_DEFENSIBLE' END
+      WHEN decision = expected THEN 'CORRECT' WHEN decision = 'UNCERTAIN' THEN 'ABSTAIN_ON_DEFINITE' ELSE 'FALSE_' || decision END AS verdict FROM corpus
+), judged AS (
+  SELECT *, CASE verdict WHEN 'REJECTED_VIOLATION' THEN 'CRITICAL' WHEN 'ABSTAIN_ON_DEFINITE' THEN 'REVIEW' WHEN 'FALSE_MATCH' THEN CASE WHEN sales_unit OR (expected = 'NO_MATCH' AND hard_conflict) THEN 'CRITICAL' ELSE 'HIGH' END
+    WHEN 'FALSE_NO_MATCH' THEN CASE expected WHEN 'MATCH' THEN 'MEDIUM' ELSE 'REVIEW' END WHEN 'OUTSIDE_DEFENSIBLE' THEN CASE decision WHEN 'MATCH' THEN 'HIGH' ELSE 'REVIEW' END END AS severity FROM outcome
+)"""
+_SHARE = lambda a, b: f"CASE WHEN count(*) FILTER ({b}) > 0 THEN format('{{:.6f}}', count(*) FILTER ({a}) / count(*) FILTER ({b})) ELSE 'unavailable' END"
+_ELIGIBLE = "case_class <> 'CONTRACT_NEGATIVE'"
+_EVALUATED = f"{_ELIGIBLE} AND state = 'EVALUATED'"
+_SURE = "case_class = 'AUTHORITATIVE' AND state = 'EVALUATED'"
+_ANSWERED = f"{_ELIGIBLE} AND state <> 'NOT_CAPTURED'"
+_OUTCOME_METRICS = f"""{_OUTCOME}, metric AS (SELECT run_id, count(*) FILTER ({_ELIGIBLE}) AS eligible, count(*) FILTER ({_EVALUATED}) AS evaluated, count(*) FILTER ({_ANSWERED}) AS answered,
+  count(*) FILTER (verdict = 'FALSE_MATCH') AS false_matches, count(*) FILTER (verdict = 'FALSE_NO_MATCH') AS false_no_matches, count(*) FILTER (verdict = 'FALSE_MATCH' AND expected = 'NO_MATCH' AND hard_conflict) AS hard_false_matches,
+  count(*) FILTER (verdict = 'DEFENSIBLE') AS defensible, count(*) FILTER (state = 'CONTRACT_VIOLATION') AS contract_violations,
+  count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'REVIEW') AS review,
+  {_SHARE(_EVALUATED, _ANSWERED)} AS valid_rate, {_SHARE(f"{_SURE} AND decision = 'MATCH' AND expected = 'MATCH'", f"{_SURE} AND decision = 'MATCH'")} AS match_precision,
+  {_SHARE(f"{_SURE} AND decision = 'MATCH' AND expected = 'MATCH'", f"{_SURE} AND expected = 'MATCH'")} AS match_recall, {_SHARE(f"{_SURE} AND decision = 'NO_MATCH' AND expected = 'NO_MATCH'", f"{_SURE} AND expected = 'NO_MATCH'")} AS no_match_accuracy,
+  {_SHARE(f"{_SURE} AND decision = 'UNCERTAIN'", _SURE)} AS uncertain_rate, {_SHARE(_EVALUATED, _ELIGIBLE)} AS coverage FROM judged GROUP BY run_id)"""
+_TALLY = "count(*) AS total, count(*) FILTER (state = 'EVALUATED') AS evaluated, count(*) FILTER (verdict IN ('CORRECT', 'DEFENSIBLE')) AS correct, count(*) FILTER (verdict = 'FALSE_MATCH') AS false_match, count(*) FILTER (verdict = 'FALSE_NO_MATCH') AS false_no_match, count(*) FILTER (state = 'RUNTIME_FAILURE') AS runtime_failure, count(*) FILTER (state = 'NOT_CAPTURED') AS not_captured, count(*) FILTER (state = 'NOT_INVOKED') AS not_invoked"
+
 ORACLES = {
+    "case_outcomes": f"{_OUTCOME} SELECT case_id, state, verdict, severity FROM judged",
+    "outcome_metrics": f"{_OUTCOME_METRICS} SELECT * FROM metric",
+    "outcome_rollup": f"{_OUTCOME} SELECT 'substate' AS dimension, substate AS value, {_TALLY} FROM judged WHERE {_ELIGIBLE} GROUP BY 2 UNION ALL SELECT 'category', category, {_TALLY} FROM judged WHERE {_ELIGIBLE} GROUP BY 2",
+    "policy_thresholds": f"""{_OUTCOME_METRICS}, long AS (SELECT run_id, 'match_precision' AS metric, match_precision AS value, CAST(0.4 AS DOUBLE) AS bound FROM metric
+UNION ALL SELECT run_id, 'coverage', coverage, 0.5 FROM metric UNION ALL SELECT run_id, 'match_recall', match_recall, 0.3 FROM metric) SELECT *, TRY_CAST(value AS DOUBLE) >= bound AS met FROM long""",
+    "united_specs": f"""{OBSERVATION_SQL}, told AS (SELECT * FROM norm WHERE definition_key <> 'capacity' OR source_authority = 'AUTHORITATIVE'), has AS (
+  SELECT product_id, definition_key, count(DISTINCT coalesce(txt, CAST(dec AS VARCHAR))) FILTER (issue IS NULL) = 1 AS good FROM told GROUP BY 1, 2
+) SELECT product_id, array_to_string(list_filter(['capacity', 'sequential_read', 'storage_protocol'], lambda k: NOT list_contains(coalesce(list(definition_key) FILTER (good), []), k)), ',') AS missing,
+  count(*) FILTER (good AND definition_key IN ('capacity', 'sequential_read', 'storage_protocol')) = 3 AS complete FROM has GROUP BY product_id""",
+    "reusable_rates": f"""WITH p AS ({PROVEN.replace('array(', 'list_value(')}) SELECT feed_id, observed_on, CASE WHEN proven_on < DATE '2024-01-26' THEN 'STALE' WHEN NOT list_contains(codes, 'GBP') THEN 'COVERAGE_GAP' ELSE 'REUSABLE' END AS outcome
+FROM p QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY observed_on DESC, proven_on DESC, list_contains(codes, 'GBP')) = 1""",
     "catalog_records": """SELECT p_partkey AS document_id, 0 AS row, 'M' || p_partkey AS part_number, p_name AS part_name, p_partkey % 5 IN (0, 4) AS is_drive FROM part
 UNION ALL SELECT p_partkey, 4, 'N' || p_partkey, '', false FROM part""",
     "packaging_aliases": f"""WITH a AS ({ASKED}), n AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN ['R', 'T'] WHEN 1 THEN ['', 'T'] WHEN 2 THEN ['', 'R'] WHEN 3 THEN ['R', 'T'] END AS ends FROM a)
