@@ -22,10 +22,7 @@ CONDITION = {
 
 def _term(text: Column) -> Column:
     """The bare term in small letters, without the vocabulary's address before it."""
-    low = F.lower(strip(text))
-    for prefix in ("https://schema.org/", "http://schema.org/", "schema.org/"):
-        low = F.when(F.startswith(low, F.lit(prefix)), F.substring(low, len(prefix) + 1, 2**31 - 1)).otherwise(low)
-    return strip(low)
+    return strip(F.regexp_replace(F.lower(strip(text)), "^(https?://)?schema\\.org/", ""))
 
 
 def availability(text: Column) -> Column:

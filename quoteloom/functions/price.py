@@ -40,26 +40,24 @@ def with_price(rows: DataFrame, text: str, name: str = "_price") -> DataFrame:
     One decoration (a sign, or a code and a blank) is taken off either end; what is left must be an
     amount. A price that is decorated at both ends is unclear.
     """
-    bare = F.col("_bare")
+    # each step is a column of its own (not a field of one), so that it is computed once
+    bare, rest, decorations = F.col("_bare"), F.col("_rest"), ("_sign_1", "_code_1", "_sign_2", "_code_2")
+    sign_1, code_1, sign_2, code_2 = map(F.col, decorations)
     rows = rows.withColumn("_bare", strip(F.col(text)))
-    rows = rows.withColumn("_front", F.struct(_sign(F.left(bare, F.lit(1))).alias("sign"), _code(F.left(bare, F.lit(3)), F.substring(bare, 4, 1)).alias("code")))
-    front = lambda k: F.col(f"_front.{k}")
-    rows = rows.withColumn("_rest", F.substring(bare, F.when(front("sign").isNotNull(), 2).when(front("code").isNotNull(), 4).otherwise(1), F.length(bare)))
-    rest = F.col("_rest")
-    rows = rows.withColumn("_back", F.struct(_sign(F.right(rest, F.lit(1))).alias("sign"), _code(F.right(rest, F.lit(3)), F.left(F.right(rest, F.lit(4)), F.lit(1))).alias("code")))
-    back = lambda k: F.col(f"_back.{k}")
-    cut = F.length(rest) - F.when(back("sign").isNotNull(), 1).when(back("code").isNotNull(), 3).otherwise(0)
+    rows = rows.withColumns({"_sign_1": _sign(F.left(bare, F.lit(1))), "_code_1": _code(F.left(bare, F.lit(3)), F.substring(bare, 4, 1))})
+    rows = rows.withColumn("_rest", F.substring(bare, F.when(sign_1.isNotNull(), 2).when(code_1.isNotNull(), 4).otherwise(1), F.length(bare)))
+    rows = rows.withColumns({"_sign_2": _sign(F.right(rest, F.lit(1))), "_code_2": _code(F.right(rest, F.lit(3)), F.left(F.right(rest, F.lit(4)), F.lit(1)))})
+    cut = F.length(rest) - F.when(sign_2.isNotNull(), 1).when(code_2.isNotNull(), 3).otherwise(0)
     rows = rows.withColumn("_core", F.btrim(F.left(rest, cut), F.lit(BLANKS)))
-    amount = F.coalesce(F.col("_core").rlike(AMOUNTS), F.lit(False))
-    decorated = lambda end: F.col(f"{end}.sign").isNotNull() | F.col(f"{end}.code").isNotNull()
-    both = amount & decorated("_front") & decorated("_back")
-    rows = rows.withColumns({"_clean": amount & ~both, "_both": both})
+    rows = rows.withColumn("_amount", F.coalesce(F.col("_core").rlike(AMOUNTS), F.lit(False)))
+    both = F.col("_amount") & (sign_1.isNotNull() | code_1.isNotNull()) & (sign_2.isNotNull() | code_2.isNotNull())
+    rows = rows.withColumn("_both", both).withColumn("_clean", F.col("_amount") & ~F.col("_both"))
     unclear = F.col("_both") | F.lower(bare).rlike("|".join(MARKERS)) | (F.regexp_count(bare, F.lit(ROUGH)) >= 2)
     issue = F.when(F.col(text).isNull() | F.col("_clean"), None).when(unclear, "AMBIGUOUS_PRICE").otherwise("INVALID_PRICE")
-    named = F.coalesce(front("code"), back("code"), _of_symbol(front("sign")), _of_symbol(back("sign")))
+    named = F.coalesce(code_1, code_2, _of_symbol(sign_1), _of_symbol(sign_2))
     value = F.replace(F.col("_core"), F.lit(","), F.lit("")).try_cast(AMOUNT)
     found = F.struct(F.when(F.col("_clean"), value).alias("amount"), F.when(F.col("_clean"), named).alias("currency"), issue.alias("issue"))
-    return rows.withColumn(name, found).drop("_bare", "_front", "_rest", "_back", "_core", "_clean", "_both")
+    return rows.withColumn(name, found).drop("_bare", "_rest", "_core", "_amount", "_clean", "_both", *decorations)
 
 
 def currency(text: Column) -> Column:
