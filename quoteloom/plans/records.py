@@ -9,7 +9,7 @@ from quoteloom.functions import commerce, quote
 from quoteloom.functions.specs import normalize
 from quoteloom.operators import aggregate, aliases, authority, evaluation, match, qualification, quotes, specs
 from quoteloom.operators.rates import projected, reusable
-from quoteloom.plans.authority import OFFERS
+from quoteloom.plans.authority import _STATE_SQL, OFFERS
 from quoteloom.plans.evidence import CASES, OBSERVATION_SQL, OBSERVATIONS
 from quoteloom.plans.market import _ROW, ACCEPTED, ASSESS_SQL, assessed
 from quoteloom.sources import captured
@@ -272,6 +272,9 @@ FROM ({SOUGHT}) q LEFT JOIN s ON s.policy_id = q.policy_id AND s.k = upper(q.req
     "public_sections": f"{_SECTIONS} SELECT run_id, section, count(*) AS rows FROM quoted WHERE section_ord > 0 GROUP BY run_id, section",
     "projected_rates": "SELECT 'EUR' AS base_currency, * FROM (VALUES ('USD', CAST(1.0825 AS DECIMAL(12,6))), ('GBP', CAST(0.85613 AS DECIMAL(12,6)))) AS t(currency_code, rate)",
     "evidence_quality": """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 3 THEN 'STRONG' WHEN p_partkey % 3 <> 0 OR p_partkey % 5 = 0 OR p_partkey % 4 <> 0 THEN 'LIMITED' ELSE 'WEAK' END AS quality FROM part""",
+    "resolution_bounds": f"""{_STATE_SQL} SELECT substate, signal, CASE WHEN substate = 'U1_TITLE_MPN' THEN CASE WHEN listing_ord % 2 = 0 THEN 'DESCRIPTION' ELSE 'PART_NUMBER' END
+  WHEN starts_with(substate, 'U5') THEN CASE WHEN url_ord % 13 = 0 THEN 'PART_NUMBER' ELSE 'NONE' END WHEN starts_with(substate, 'V_') OR signal = 'SKU_EQUALS_TARGET' THEN 'PART_NUMBER'
+  WHEN substate = 'U3_PARTIAL_BOUNDARY' THEN 'FAMILY_DESCRIPTION' WHEN signal = 'SKU_NOT_TARGET' OR substate = 'U4_NO_MPN' THEN 'DESCRIPTION' ELSE 'NONE' END AS bound, count(*) AS listings FROM state GROUP BY ALL""",
     "bound_reviews": f"""{ASSESS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY url_ord, listing_ord) - 1 AS assessment_index FROM assessed)
 SELECT run_id, assessment_index, url_ord, listing_ord, 'CONFIRMED' AS review_state FROM numbered WHERE reviewable AND listing_ord % 2 = 0 AND url_ord % 5 <> 0""",
     "scored_cases": f"""WITH c AS (SELECT case_id FROM ({CASES})), r AS (SELECT CASE WHEN case_id % 10 = 3 THEN -case_id ELSE case_id END AS case_id FROM c)
