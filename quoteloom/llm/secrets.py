@@ -123,8 +123,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, token (number, from 0), candidate and what surrounds it."""
     tokens = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\\s+").alias("t"))
     at = lambda i: F.coalesce(F.try_element_at(F.col("t"), i), F.lit(""))  # noqa: E731  # numbered from 1; 0 is checked by the caller
+    # a value stands behind a sign of assignment, in its token or at the end of the one before
+    assigned = lambda w, i: F.contains(w, F.lit("=")) | F.contains(w, F.lit(":")) | ((i >= 1) & F.right(at(F.greatest(i, F.lit(1))), F.lit(1)).isin("=", ":"))
     spot = lambda w, i: F.when(
-        F.octet_length(w) >= VALUE,
+        (F.octet_length(w) >= VALUE) & (((F.octet_length(w) >= LEAST) & w.rlike(CANDIDATE)) | assigned(w, i)),
         F.struct(
             i.cast("int").alias("token"),
             w.alias("w"),
