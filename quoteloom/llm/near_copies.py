@@ -52,7 +52,8 @@ _RNG = np.random.default_rng(SEED)
 TURNS = _RNG.integers(0, 2**64, BANDS * ROWS, U64)
 FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, U64) | U64(1)
 MIX = _RNG.integers(0, 2**64, max(SHINGLE, ROWS), U64) | U64(1)
-MARKS = "doc_id long, digest long, fingerprint long, size int, keys array<long>, minima binary, shingles binary"
+MARKS = "doc_id long, digest long, fingerprint long, size int, keys array<long>, minima binary"
+SETS = "digest long, shingles binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,15 +82,26 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def digest(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """32 bits of each shingle, enough to compare two sets."""
+    for batch in batches:
+        found = [shingles(t.as_py()) for t in batch.column("text")]
+        few = [np.unique((f >> U64(32)).astype(np.uint32)).tobytes() for f in found]
+        yield pa.RecordBatch.from_arrays([pa.array(map(digest, found), pa.int64()), pa.array(few, pa.binary())], ["digest", "shingles"])
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, prints, sizes, keys, least, sets = [], [], [], [], [], []
+        digests, prints, sizes, keys, least = [], [], [], [], []
         for t in batch.column("text"):
             found = shingles(t.as_py())
-            digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63)
+            digests.append(digest(found))
             prints.append(signature(found))
             sizes.append(len(found))
-            sets.append(np.unique((found >> U64(32)).astype(np.uint32)).tobytes())  # enough to compare two sets
             if not len(found):
                 keys.append([])
                 least.append(b"")
@@ -99,8 +111,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(bands.view(np.int64))
             least.append(_mixed(m).astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary()), pa.array(sets, pa.binary())],
-            ["doc_id", "digest", "fingerprint", "size", "keys", "minima", "shingles"],
+            [batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary())],
+            ["doc_id", "digest", "fingerprint", "size", "keys", "minima"],
         )
 
 
@@ -169,7 +181,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     drawn = F.min_by(F.struct("digest", "size"), F.xxhash64("digest", "key"))
     buckets = written(keys.groupBy("key").agg(F.count("*").alias("count"), drawn.alias("hub")).where("count > 1"))
 
-    sets = marks.groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    # made from the texts where they are asked for: as a table they would be as large as the texts
+    sets = docs.select("text").mapInArrow(_sets, SETS).groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
     def tried(pairs: DataFrame) -> DataFrame:
         # the sets are shuffled once, for both joins
