@@ -106,3 +106,16 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 def column(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     """A column without nulls as a numpy array."""
     return rows.column(name).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(name).to_numpy()
+
+
+#: DuckDB: the table of crc32, as a list, from its rule; ``crc32_sql`` looks bytes up in it.
+CRC32_SQL = """crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS entries
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the crc32 of a string column, next to ``crc``."""
+    each = f"list_transform(range(1, strlen({text}) + 1), lambda i: CAST('0x' || substr(hex({text}), CAST(2 * i - 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295)"

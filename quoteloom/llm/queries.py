@@ -1,11 +1,13 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteloom.llm import decontaminate, licenses, line_dedup, mixing, pii, secrets, toxicity, vector_search
+from quoteloom.llm import decontaminate, licenses, line_dedup, mixing, pii, secrets, spelling, toxicity, trie, vector_search, warc
 from quoteloom.llm.common import table
 from quoteloom.llm.simhash import near_duplicates
 from quoteloom.llm.suffix_dedup import remove_repeats
@@ -59,6 +61,28 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def misspelt(doc_id: int | None, run: bytes) -> bytes:
+    """A run, one code point of which is left out where 31 divides a hash of doc_id and run."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode() + run)
+    if h % 31:
+        return run
+    word = run.decode()
+    return (word[: h % len(word)] + word[h % len(word) + 1 :]).encode()
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents"), misspelt))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), trie.BLOCK)
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_weighted_mix": op2_weighted_mix,
@@ -70,9 +94,15 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_warc_archives": op13_warc_archives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_weighted_mix": mixing.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_conversation_trie": trie.SQL,
+    "op13_warc_archives": warc.SQL,
 }
