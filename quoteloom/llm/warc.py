@@ -26,6 +26,7 @@ import hashlib
 import urllib.parse
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs
@@ -192,18 +193,13 @@ def _writer(folder: str, sample: int, most: int):
         while first is not None:
             name = f"pages-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
             with store.open_output_stream(f"{root}/{name}") as sink:
-                done = archive(_pushed(first, records), sink, sample, most)
+                done = archive(chain([first], records), sink, sample, most)
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", **done}], pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("records", "bytes", "dictionary_bytes"))]))
             first, k = next(records, None), k + 1
 
     return run
 
 
-def _pushed(first: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield first
-    yield from rest
-
-
 def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, sample: int = SAMPLE, most: int = ARCHIVE) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives of about ``most`` bytes into ``folder`` (a new
     one in the shared folder, if not given); returns the manifest: path, records, bytes, dictionary_bytes."""
