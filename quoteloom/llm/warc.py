@@ -192,7 +192,7 @@ def _writer(folder: str, sample: int, most: int):
         first, k = next(records, None), 0
         while first is not None:
             name = f"pages-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
-            with store.open_output_stream(f"{root}/{name}") as sink:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
                 done = archive(chain([first], records), sink, sample, most)
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", **done}], pa.schema([("path", pa.string()), *((n, pa.int64()) for n in ("records", "bytes", "dictionary_bytes"))]))
             first, k = next(records, None), k + 1
@@ -228,7 +228,7 @@ def _reader(with_payload: bool):
         for path in (p for batch in batches for p in batch.column("path").to_pylist()):
             store, at = _store(path)
             held, size = [], 0
-            with store.open_input_stream(at) as source:
+            with store.open_input_stream(at, compression=None) as source:
                 for one in frames(source):
                     found = parsed(one)
                     if not with_payload:
