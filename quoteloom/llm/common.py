@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def own_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, which takes all tables that are ``written`` in the block."""
+    path = f"{shared_dir(spark).rstrip('/')}/quoteloom-{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost
     executor costs no earlier stage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quoteloom-{uuid.uuid4().hex}"
+    path = f"{(_FOLDER.get() or shared_dir(spark)).rstrip('/')}/quoteloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

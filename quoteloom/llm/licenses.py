@@ -14,7 +14,8 @@ starts and whatever lines or paragraphs it runs over. A block meets the notice w
 In what passes, the distinct words of T in every block are counted exactly, by one sweep over the
 places of T's words. Blocks of one stretch are reported as one, where it holds most. Where blocks of
 notices with different labels overlap, the one that is contained best (then the one of more words)
-gives its label, so a notice that holds nearly all the words of another is not taken for both.
+gives its label, so a notice that holds nearly all the words of another is not taken for both. Blocks are
+taken best first, so one that loses to no block that stays keeps its label.
 
 The notices are a short table (``NOTICES`` or one's own), so they go to every task and the corpus is
 never shuffled.
@@ -103,15 +104,15 @@ class Notices:
 
     @staticmethod
     def labels(met: list[tuple[str, int, int, float, int]]) -> set[str]:
-        """Labels of the blocks that no overlapping block of another label beats."""
-        met = sorted(met, key=lambda m: m[1])
-        starts, longest = [m[1] for m in met], max((m[2] - m[1] for m in met), default=0)
-
-        def beaten(m: tuple) -> bool:
-            near = met[bisect.bisect_left(starts, m[1] - longest) : bisect.bisect_left(starts, m[2])]
-            return any(o[0] != m[0] and m[1] < o[2] and o[3:] > m[3:] for o in near)
-
-        return {m[0] for m in met if not beaten(m)}
+        """Labels of the blocks that stay, taken best first: a block falls to a better one of another
+        label that it overlaps and that has stayed itself."""
+        longest = max((m[2] - m[1] for m in met), default=0)
+        kept: list[tuple[int, int, str, tuple]] = []  # by start
+        for label, start, end, *worth in sorted(met, key=lambda m: (*(-w for w in m[3:]), m[1], m[0])):
+            near = kept[bisect.bisect_left(kept, (start - longest,)) : bisect.bisect_left(kept, (end,))]
+            if not any(name != label and start < until and tuple(worth) < better for _, until, name, better in near):
+                bisect.insort(kept, (start, end, label, tuple(worth)))
+        return {label for _, _, label, _ in kept}
 
 
 def dense(at: np.ndarray, number: np.ndarray, reach: int, need: int) -> list[tuple[int, int, int]]:

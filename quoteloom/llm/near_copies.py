@@ -3,7 +3,7 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of ``LEAST``
 or more. Words are split by ASCII white space, with A-Z lower-cased; a shorter text is one shingle.
 Texts of equal shingle sets are one row. Candidates come in two ways, and every candidate pair is
-verified on the whole shingle sets:
+verified on the whole shingle sets, by 32 bits of hash for each shingle:
 
 * 64-bit SimHash fingerprints of the shingles, linked within 2 bits through the Golay keys of
   ``simhash.linked``;

@@ -554,3 +554,19 @@ def test_fingerprint_by_hand(spark):
     assert simhash.fingerprint("A b\tC d a") & (2**64 - 1) == want
     assert simhash.fingerprint(" \n") == 0 == simhash.fingerprint(None)
     assert simhash.fingerprint("one Two") & (2**64 - 1) == xxhash.xxh64_intdigest(b"one two", seed=42)
+
+
+def test_license_labels_of_chained_notices():
+    """A notice whose only rival has lost itself keeps its label; equal ones both do."""
+    best = licenses.Notices.labels
+    assert best([("a", 0, 10, 0.8, 8), ("b", 8, 20, 0.9, 9), ("c", 18, 30, 1.0, 9)]) == {"a", "c"}
+    assert best([("a", 0, 10, 0.8, 8), ("b", 8, 20, 0.9, 9)]) == {"b"}
+    assert best([("a", 0, 10, 0.9, 9), ("b", 8, 20, 0.9, 9), ("a", 40, 50, 0.8, 8)]) == {"a", "b"}
+    assert best([("a", 0, 100, 0.8, 8), ("b", 50, 60, 0.9, 9), ("a", 61, 70, 0.8, 7)]) == {"a", "b"} and best([]) == set()
+
+
+def test_license_labels_of_whole_notices(spark):
+    notices = [("a", "one two three four five six"), ("b", "five six seven eight nine ten eleven"), ("c", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen")]
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    got = licenses.scan(make(spark, [(1, text, "s"), (2, "x " * 30 + "one two three four five six", "s")]), notices, {}, 1.0).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "a,c", 2: "a"}

@@ -108,7 +108,27 @@ def test_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
     connection = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "benchmark", "pages"):
+    for t in ("documents", "embeddings", "labels", "benchmark", "pages", "conversations"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = connection.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_stages_leave_only_their_last_tables(spark, tmp_path):
+    """A stage's own tables go when the next one begins, but not while its result reads them."""
+    import os
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = lambda: set(os.listdir(shared.removeprefix("file:")))
+    (_, first), (_, second), (_, third) = corpus_pipeline.STAGES[:3]
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = folder()
+    second(spark, docs, SF).write.parquet(f"{tmp_path}/lines")
+    lines = folder() - before
+    third(spark, spark.read.parquet(f"{tmp_path}/lines"), SF).write.parquet(f"{tmp_path}/near")
+    assert not lines & folder()
+    lazy = second(spark, docs, SF)
+    lazy = third(spark, lazy, SF)
+    assert lazy.count() == spark.read.parquet(f"{tmp_path}/near").count()
