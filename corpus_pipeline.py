@@ -1,13 +1,22 @@
-"""A training-data pipeline over ``documents``: five stages, each an operator of the library."""
+"""A training-data pipeline over ``documents``: five stages, each an operator of the library.
+
+What a stage has written for itself goes when its successor begins: by then its result is a table. The
+successor keeps it if its documents still read from there, that is, if the result was not written.
+"""
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
-from quoteloom.llm.common import fresh, table, written
+from quoteloom.llm.common import drop_folder, fresh, own_folder, table, written
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 LEAST_PAGES = 10  # distinct pages of a source that hold a boilerplate line
 
@@ -45,21 +54,46 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [
+_left = threading.local()  # the folder of the stage that this thread called last
+
+
+def _tidy(number: int, stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context, before, folder = getattr(_left, "stage", (None, None, None))
+        if (context, before) == (spark.sparkContext.applicationId, number - 1):
+            name = folder.rpartition("/")[2]
+            if not any(name in path for path in docs.inputFiles()):
+                drop_folder(spark, folder)
+        with own_folder(spark) as folder:
+            found = stage(spark, docs, sf_dir)
+        _left.stage = (spark.sparkContext.applicationId, number, folder)
+        return found
+
+    return run
+
+
+_IN_ORDER = [
     ("toxicity", reject_toxic),
     ("line_dedup", drop_repeated_lines),
     ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
+STAGES = [(name, _tidy(number, stage)) for number, (name, stage) in enumerate(_IN_ORDER)]
 
 #: The factorization machine, the minima and the alignment are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix made of ``documents``; every stage's result is a Parquet table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The mix made of ``documents``; every stage's result is a Parquet table in the shared folder, and
+    goes when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with own_folder(spark) as folder:
+            docs = written(stage(spark, docs, sf_dir))
+        if last:
+            drop_folder(spark, last)
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
