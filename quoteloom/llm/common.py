@@ -14,6 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python is given at most ``rows`` documents at a time, unless the session names a number: a batch
+    stands in the JVM's native memory and in the worker's at once."""
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of an input folder; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
