@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
-from quoteloom.llm.common import drop_folder, fresh, own_folder, table, written
+from quoteloom.llm.common import drop_folder, fresh, own_folder, small_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,6 +60,7 @@ _left = threading.local()  # the folder of the stage that this thread called las
 def _tidy(number: int, stage: Stage) -> Stage:
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         context, before, folder = getattr(_left, "stage", (None, None, None))
         if (context, before) == (spark.sparkContext.applicationId, number - 1):
             name = folder.rpartition("/")[2]
