@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import authority, evidence, market, records
+from quoteloom.plans import authority, evidence, market, records, vendors
 
-PLANS = (market, evidence, authority, records)
+PLANS = (market, evidence, authority, records, vendors)
