@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import ascii_upper, strip
+from quoteloom.functions.text import SPACES, ascii_upper, strip
 
 AMOUNT = "decimal(38,10)"
 
@@ -15,8 +15,7 @@ MARKERS = ["from ", "as low as", "starting at", "save", "you save", "% off", "of
 
 # one amount: digits, or groups of three behind commas, and a fraction
 AMOUNTS = "^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?$"
-BLANKS = " \t\n\x0b\x0c\r"
-ROUGH = "\\d[\\d,]*(?:\\.\\d+)?"
+NUMBERS = "[0-9]+(\\.[0-9]+)?"  # once commas are gone
 
 
 def _of_symbol(symbol: Column) -> Column:
@@ -31,7 +30,7 @@ def _sign(char: Column) -> Column:
 def _code(letters: Column, gap: Column) -> Column:
     """A currency code that a blank sets apart from the amount."""
     code = ascii_upper(letters)
-    return F.when(code.isin(*CODES) & gap.isin(*BLANKS), code)
+    return F.when(code.isin(*CODES) & gap.isin(*SPACES), code)
 
 
 def with_price(rows: DataFrame, text: str, name: str = "_price") -> DataFrame:
@@ -44,20 +43,22 @@ def with_price(rows: DataFrame, text: str, name: str = "_price") -> DataFrame:
     bare, rest, decorations = F.col("_bare"), F.col("_rest"), ("_sign_1", "_code_1", "_sign_2", "_code_2")
     sign_1, code_1, sign_2, code_2 = map(F.col, decorations)
     rows = rows.withColumn("_bare", strip(F.col(text)))
-    rows = rows.withColumns({"_sign_1": _sign(F.left(bare, F.lit(1))), "_code_1": _code(F.left(bare, F.lit(3)), F.substring(bare, 4, 1))})
+    rows = rows.withColumn("_plain", F.coalesce(bare.rlike(AMOUNTS), F.lit(False)))
+    dressed = lambda value: F.when(~F.col("_plain"), value)  # noqa: E731  # an amount alone wears nothing
+    rows = rows.withColumns({"_sign_1": dressed(_sign(F.left(bare, F.lit(1)))), "_code_1": dressed(_code(F.left(bare, F.lit(3)), F.substring(bare, 4, 1)))})
     rows = rows.withColumn("_rest", F.substring(bare, F.when(sign_1.isNotNull(), 2).when(code_1.isNotNull(), 4).otherwise(1), F.length(bare)))
-    rows = rows.withColumns({"_sign_2": _sign(F.right(rest, F.lit(1))), "_code_2": _code(F.right(rest, F.lit(3)), F.left(F.right(rest, F.lit(4)), F.lit(1)))})
+    rows = rows.withColumns({"_sign_2": dressed(_sign(F.right(rest, F.lit(1)))), "_code_2": dressed(_code(F.right(rest, F.lit(3)), F.left(F.right(rest, F.lit(4)), F.lit(1))))})
     cut = F.length(rest) - F.when(sign_2.isNotNull(), 1).when(code_2.isNotNull(), 3).otherwise(0)
-    rows = rows.withColumn("_core", F.btrim(F.left(rest, cut), F.lit(BLANKS)))
-    rows = rows.withColumn("_amount", F.coalesce(F.col("_core").rlike(AMOUNTS), F.lit(False)))
+    rows = rows.withColumn("_core", F.btrim(F.left(rest, cut), F.lit(SPACES)))
+    rows = rows.withColumn("_amount", F.col("_plain") | F.coalesce(F.col("_core").rlike(AMOUNTS), F.lit(False)))
     both = F.col("_amount") & (sign_1.isNotNull() | code_1.isNotNull()) & (sign_2.isNotNull() | code_2.isNotNull())
     rows = rows.withColumn("_both", both).withColumn("_clean", F.col("_amount") & ~F.col("_both"))
-    unclear = F.col("_both") | F.lower(bare).rlike("|".join(MARKERS)) | (F.regexp_count(bare, F.lit(ROUGH)) >= 2)
+    unclear = F.col("_both") | F.lower(bare).rlike("|".join(MARKERS)) | (F.regexp_count(F.translate(bare, ",", ""), F.lit(NUMBERS)) >= 2)
     issue = F.when(F.col(text).isNull() | F.col("_clean"), None).when(unclear, "AMBIGUOUS_PRICE").otherwise("INVALID_PRICE")
     named = F.coalesce(code_1, code_2, _of_symbol(sign_1), _of_symbol(sign_2))
     value = F.replace(F.col("_core"), F.lit(","), F.lit("")).try_cast(AMOUNT)
     found = F.struct(F.when(F.col("_clean"), value).alias("amount"), F.when(F.col("_clean"), named).alias("currency"), issue.alias("issue"))
-    return rows.withColumn(name, found).drop("_bare", "_rest", "_core", "_amount", "_clean", "_both", *decorations)
+    return rows.withColumn(name, found).drop("_bare", "_plain", "_rest", "_core", "_amount", "_clean", "_both", *decorations)
 
 
 def currency(text: Column) -> Column:

@@ -143,13 +143,14 @@ def resolution_bound(substate: Column, signal: Column, compatible: Column, prove
     return F.when((substate == "U1_TITLE_MPN") & compatible, "DESCRIPTION").when(related, "PART_NUMBER").otherwise(base)
 
 
-def evidence_quality(titled: Column, dimensions: Column, provenances: Column) -> Column:
+def evidence_quality(titled: Column, dimensions: Column, provenances: Column, from_context: Column) -> Column:
     """STRONG: a title and two facts or more in two dimensions or more; LIMITED: any of title, facts
-    (``dimensions``: the dimension of each) or a reviewed product provenance; else WEAK."""
+    (``dimensions``: the dimension of each) or a reviewed product provenance; else WEAK. Where a fact comes
+    from reviewed context (``from_context``) and no provenance grounds facts, the row is UNSUPPORTED."""
     facts = F.coalesce(F.size(dimensions), F.lit(0))
     grounded = F.exists(provenances, lambda p: p.isin(*GROUNDS))
     strong = titled & (facts >= 2) & (F.size(F.array_distinct(dimensions)) >= 2)
-    return F.when(strong, "STRONG").when(titled | grounded | (facts > 0), "LIMITED").otherwise("WEAK")
+    return F.when(from_context & ~grounded, "UNSUPPORTED").when(strong, "STRONG").when(titled | grounded | (facts > 0), "LIMITED").otherwise("WEAK")
 
 
 def badge(tier: Column) -> Column:

@@ -52,11 +52,18 @@ def review_events(events: DataFrame, keys: list[str], order: list[str]) -> DataF
     return events.withColumn("state_after", F.when(F.col("outcome") == "APPLIED", wanted).otherwise(F.col("state_before")))
 
 
+# Failures of the primary model after which the fallback is asked.
+FALLBACK_AFTER = (
+    "TIMEOUT", "DNS_ERROR", "TLS_ERROR", "CONNECTION_ERROR", "RATE_LIMITED", "HTTP_ERROR", "PROVIDER_UNAVAILABLE", "AUTHENTICATION_FAILED", "MODEL_NOT_FOUND",
+    "EMPTY_RESPONSE", "MALFORMED_JSON", "SCHEMA_INVALID", "MODEL_IDENTITY_MISMATCH", "INVALID_RESPONSE",
+)
+
+
 def routed(attempts: DataFrame) -> DataFrame:
     """One answer a case from recorded attempts (case_id, role, outcome): the primary model's if it
     succeeded, else the fallback's if the primary failed in a way that allows one."""
     by = lambda role, what: F.max(F.when(F.col("role") == role, F.col(what)))
     wide = attempts.groupBy("case_id").agg(by("PRIMARY", "outcome").alias("primary"), by("FALLBACK", "outcome").alias("fallback"))
-    retry = F.col("primary").isin("TIMEOUT", "RATE_LIMITED", "CONNECTION_ERROR", "SERVER_ERROR")
+    retry = F.col("primary").isin(*FALLBACK_AFTER)
     used = F.when(F.col("primary") == "SUCCESS", "PRIMARY").when(retry & (F.col("fallback") == "SUCCESS"), "FALLBACK").otherwise("NONE")
     return wide.withColumn("answered_by", used)

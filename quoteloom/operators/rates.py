@@ -37,10 +37,11 @@ def projected(rates: DataFrame, required: DataFrame | None = None) -> DataFrame:
 
 
 def reusable(observations: DataFrame, required: list[str]) -> DataFrame:
-    """The newest observation of each feed (feed_id, observed_on, proven_on, asked_on, codes) and whether
-    it may be used: no working day lies between its proof and the request, and its codes hold every
-    required one. An older observation is not looked at if the newest fails."""
-    newest = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc("observed_on"), F.desc("proven_on")))
+    """The newest observation of each feed (observation_id, feed_id, observed_on, proven_on, asked_on,
+    codes), of several the one of the largest id, and whether it may be used: no working day lies between
+    its proof and the request, and its codes hold every required one. An older observation is not looked
+    at if the newest fails."""
+    newest = F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc("observed_on"), F.desc("proven_on"), F.desc("observation_id")))
     rows = observations.withColumn("_place", newest).where("_place = 1").drop("_place")
     fresh = (F.col("proven_on") == F.col("asked_on")) | F.coalesce(only_weekend(F.date_add("proven_on", 1), F.col("asked_on")), F.lit(False))
     missing = F.size(F.array_except(F.array(*(F.lit(c.strip().upper()) for c in required)), "codes"))

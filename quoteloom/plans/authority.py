@@ -34,7 +34,16 @@ PAGES = """
 SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN '<html><script type="application/ld+json">{"@type":"Product","name":" ' || p_name || ' ","mpn":"MZ' || CAST(p_partkey AS STRING) || '","offers":[{"price":1055.850,"priceCurrency":"USD"},{"price":"7","availability":"InStock"}]}</script></html>'
   WHEN 1 THEN '<html><head><meta property="product:price:amount" content="12.50"><meta property="og:title" content="' || p_name || '"></head></html>' ELSE '<html><p>' || p_name || '</p></html>' END AS html FROM part
 """
-RATE_XML = '<?xml version="1.0"?><Envelope xmlns="urn:x"><Cube><Cube time="2024-03-01"><Cube currency="USD" rate="1.0825"/><Cube currency="GBP" rate="0.85613"/></Cube><Cube time="2024-02-29"><Cube currency="USD" rate="9"/></Cube></Cube></Envelope>'
+# a day's document of a central bank, from what was ordered on it; one currency may come twice
+RATE_DAYS = """
+SELECT o_orderdate AS day, '1.' || CAST(1000 + CAST(sum(o_custkey) AS BIGINT) % 9000 AS STRING) AS usd, '0.' || CAST(100 + count(*) AS STRING) AS gbp, CAST(100 + CAST(max(o_orderkey) AS BIGINT) % 90 AS STRING) || '.50' AS jpy,
+  CASE WHEN count(*) % 4 = 0 THEN '0.5' END AS again FROM (SELECT CAST(o_orderdate AS DATE) AS o_orderdate, o_custkey, o_orderkey FROM orders) o GROUP BY o_orderdate
+"""
+RATES_XML = f"""
+SELECT '<?xml version="1.0"?><Envelope xmlns="urn:x"><Cube><Cube time="' || CAST(day AS STRING) || '"><Cube currency="USD" rate="' || usd || '"/><Cube currency="JPY" rate="' || jpy || '"/><Cube currency="GBP" rate="' || gbp || '"/>'
+  || coalesce('<Cube currency="GBP" rate="' || again || '"/>', '') || '</Cube><Cube time="1999-01-04"><Cube currency="USD" rate="9"/></Cube></Cube></Envelope>' AS body FROM ({RATE_DAYS}) d
+"""
+PROVIDER = 'Bänk "A" \U0001f4b6'
 
 
 def identity_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +91,13 @@ def vendor_lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captured.rate_document(spark.createDataFrame([(RATE_XML,)], "body string"))
+    return captured.rate_document(view(spark, sf_dir, RATES_XML))
 
 
 def rate_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a document holds a few dozen rates
-    rows = rate_documents(spark, sf_dir).groupBy("observation_date", "base_currency").agg(F.collect_list(F.struct("currency_code", "rate_text")).alias("rates"))
-    return rows.select("observation_date", fx.document_digest(F.lit("bank"), F.col("base_currency"), F.col("observation_date"), F.col("rates")).alias("digest"))
+    rows = rate_documents(spark, sf_dir).groupBy("observation_date", "base_currency").agg(F.array_sort(F.collect_list(F.struct("ord", "currency_code", "rate_text"))).alias("rates"))
+    return rows.select("observation_date", fx.document_digest(F.lit(f" {PROVIDER}"), F.col("base_currency"), F.col("observation_date"), F.col("rates")).alias("digest"))
 
 
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +182,9 @@ UNION ALL SELECT 'q' || p_partkey, 3, 'http://k.example', NULL, NULL FROM part W
   CASE p_partkey % 6 WHEN 0 THEN 'IN_STOCK' WHEN 1 THEN 'OUT_OF_STOCK' WHEN 4 THEN 'IN_STOCK' ELSE 'UNKNOWN' END AS availability, CAST(CASE p_partkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 2 END AS INTEGER) AS quantity,
   CASE p_partkey % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'OK' WHEN 2 THEN 'NOT_FOUND' WHEN 3 THEN 'PRICE_MISSING' WHEN 4 THEN 'MPN_MISSING' ELSE 'MALFORMED' END AS status FROM part""",
     "vendor_lookup_status": "SELECT 'r' || p_partkey AS run_id, CASE WHEN p_partkey % 6 IN (0, 1) THEN 'SUCCESS' WHEN p_partkey % 6 = 2 THEN 'PARTIAL' ELSE 'FAILED' END AS lookup_status FROM part",
-    "rate_documents": "SELECT DATE '2024-03-01' AS observation_date, 'EUR' AS base_currency, * FROM (VALUES ('USD', '1.0825', CAST(1.0825 AS DECIMAL(18,6))), ('GBP', '0.85613', CAST(0.85613 AS DECIMAL(18,6)))) AS t(currency_code, rate_text, rate)",
-    "rate_digests": """SELECT DATE '2024-03-01' AS observation_date, sha256('{"base_currency":"EUR","observation_date":"2024-03-01","provider_id":"bank","rates":[["GBP","0.85613"],["USD","1.0825"]]}') AS digest""",
+    "rate_documents": f"""WITH d AS ({RATE_DAYS}), r AS (SELECT day, unnest([0, 1, 2, 3]) AS ord, unnest(['USD', 'JPY', 'GBP', 'GBP']) AS currency_code, unnest([usd, jpy, gbp, again]) AS rate_text FROM d)
+SELECT day AS observation_date, 'EUR' AS base_currency, ord, currency_code, rate_text, CAST(rate_text AS DECIMAL(18,6)) AS rate FROM r WHERE rate_text IS NOT NULL""",
+    "rate_digests": f"""SELECT day AS observation_date, sha256('{{"base_currency":"EUR","observation_date":"' || CAST(day AS VARCHAR) || '","provider_id":"B\\u00e4nk \\"A\\" \\ud83d\\udcb6","rates":[["GBP","' || gbp || '"],' || coalesce('["GBP","' || again || '"],', '') || '["JPY","' || jpy || '"],["USD","' || usd || '"]]}}') AS digest FROM ({RATE_DAYS})""",
     "page_extraction": """SELECT p_partkey AS page_id, 0 AS listing_ord, 'JSON_LD' AS extraction_method, ' ' || p_name || ' ' AS product_title, 'MZ' || p_partkey AS mpn_text, '1055.850' AS price_text, 'USD' AS currency_text, NULL AS availability_text FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 1, 'JSON_LD', ' ' || p_name || ' ', 'MZ' || p_partkey, '7', NULL, 'InStock' FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, 0, 'META', p_name, NULL, '12.50', NULL, NULL FROM part WHERE p_partkey % 3 = 1""",

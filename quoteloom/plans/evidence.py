@@ -64,7 +64,7 @@ FROM labels
 """
 LOG = "SELECT user_id AS run_id, event_id, event_type, ts, CASE WHEN event_id % 5 = 0 THEN '' ELSE ' https://h.example/' || CAST(event_id % 40 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END END AS url FROM events"
 REVIEWS = "SELECT user_id AS candidate_id, event_id, CASE event_id % 7 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reject' WHEN 2 THEN 'undo' WHEN 3 THEN 'remove' WHEN 4 THEN 'confirm' WHEN 5 THEN 'reject' ELSE 'undo' END AS action FROM events"
-ATTEMPTS = "SELECT CAST(floor(event_id / 2) AS BIGINT) AS case_id, CASE WHEN event_id % 2 = 0 THEN 'PRIMARY' ELSE 'FALLBACK' END AS role, CASE user_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'TIMEOUT' ELSE 'INVALID_OUTPUT' END AS outcome FROM events"
+ATTEMPTS = "SELECT CAST(floor(event_id / 2) AS BIGINT) AS case_id, CASE WHEN event_id % 2 = 0 THEN 'PRIMARY' ELSE 'FALLBACK' END AS role, CASE user_id % 8 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'INVALID_REQUEST_CONFIGURATION' WHEN 3 THEN 'SCHEMA_INVALID' WHEN 4 THEN 'SUCCESS' WHEN 5 THEN 'MODEL_IDENTITY_MISMATCH' WHEN 6 THEN 'SERVER_ERROR' ELSE 'HTTP_ERROR' END AS outcome FROM events"
 MISSES = "SELECT a.p_partkey AS part, 'MZ' || CAST(a.p_partkey AS STRING) AS one, 'MZ' || CAST(b.p_partkey AS STRING) AS two FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey"
 ASKED = "SELECT o_orderkey AS request_id, CAST(o_orderdate AS DATE) AS asked_on FROM orders"
 OBSERVED = "SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(o_orderdate AS DATE) AS last_proven_on, CAST(o_orderdate AS DATE) AS observed_on FROM events JOIN orders ON event_id = o_orderkey WHERE event_id % 50 = 0"
@@ -213,7 +213,7 @@ SELECT case_id, first, second, CASE WHEN a.first IS NULL THEN 'ONLY_SECOND' WHEN
   SELECT e.candidate_id, e.event_id, e.n, e.action, r.state_before, r.outcome, r.state_after FROM walk w JOIN e ON e.candidate_id = w.candidate_id AND e.n = w.n + 1 JOIN rule r ON r.state_before = w.state_after AND r.action = e.action
 ) SELECT candidate_id, event_id, action, state_before, outcome, state_after FROM walk""",
     "routed_attempts": f"""WITH w AS (SELECT case_id, max(outcome) FILTER (role = 'PRIMARY') AS "primary", max(outcome) FILTER (role = 'FALLBACK') AS fallback FROM ({ATTEMPTS}) GROUP BY case_id)
-SELECT *, CASE WHEN "primary" = 'SUCCESS' THEN 'PRIMARY' WHEN "primary" = 'TIMEOUT' AND fallback = 'SUCCESS' THEN 'FALLBACK' ELSE 'NONE' END AS answered_by FROM w""",
+SELECT *, CASE WHEN "primary" = 'SUCCESS' THEN 'PRIMARY' WHEN "primary" NOT IN ('SERVER_ERROR', 'INVALID_REQUEST_CONFIGURATION') AND fallback = 'SUCCESS' THEN 'FALLBACK' ELSE 'NONE' END AS answered_by FROM w""",
     "near_misses": f"""SELECT part, two, CASE WHEN length(one) <> length(two) AND (starts_with(one, two) OR starts_with(two, one)) THEN 'TRUNCATION' WHEN length(one) = length(two) AND hamming(one, two) = 1 THEN 'SUBSTITUTION' END AS shape FROM ({MISSES})""",
     "alias_families": "SELECT p_partkey, 'M' || p_partkey || ',M' || p_partkey || 'R,M' || p_partkey || 'T' AS family FROM part",
     "latest_rates": f"""WITH q AS ({ASKED}), o AS (SELECT last_proven_on, max(struct_pack(observed_on, p := last_proven_on, id := observation_id)) AS s FROM ({OBSERVED}) GROUP BY 1), j AS (SELECT q.*, o.s FROM q ASOF LEFT JOIN o ON q.asked_on >= o.last_proven_on)

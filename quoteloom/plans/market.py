@@ -8,26 +8,36 @@ from quoteloom.operators.normalize import normalize_listings, only
 from quoteloom.sources.adapters import LISTINGS, RATES, listings, rates
 
 _CODES = "USD|EUR|GBP|JPY|CAD|AUD|CHF|CNY|INR|MXN|BRL|SEK|NOK|DKK|NZD|SGD|HKD|KRW|ZAR"
-_GRAMMAR = f"(?i)^(?:([$€£¥])|({_CODES})\\s+)?\\s*(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)\\s*(?:([$€£¥])|\\s+({_CODES}))?$"
-_PART = lambda k: f"nullif(regexp_extract(trim(price_text), '{_GRAMMAR}', {k}), '')"
+_CODE_LIST = ", ".join(f"'{c}'" for c in _CODES.split("|"))
+_SIGNS = "('$', '€', '£', '¥')"
+_MONEY = lambda x: f"CASE {x} WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '$' THEN NULL WHEN '¥' THEN NULL ELSE {x} END"
 _KEY = lambda x: f"CASE WHEN regexp_matches(trim({x}), '^[\\s\\-_/.]*$') THEN '' ELSE upper(regexp_replace(trim({x}), '\\s+', '-', 'g')) END"  # noqa: E731  # the view's text is ASCII
 
 LISTING_SQL = f"WITH listing AS ({LISTINGS})"
-NORM_SQL = f"""{LISTING_SQL}, parts AS MATERIALIZED (
-  SELECT *, {_PART(1)} AS g1, {_PART(2)} AS g2, {_PART(3)} AS g3, {_PART(4)} AS g4, {_PART(5)} AS g5 FROM listing
+NORM_SQL = f"""{LISTING_SQL}, fronted AS (
+  SELECT *, trim(price_text) AS bare, CASE WHEN left(trim(price_text), 1) IN {_SIGNS} THEN left(trim(price_text), 1) WHEN upper(left(trim(price_text), 3)) IN ({_CODE_LIST}) AND substr(trim(price_text), 4, 1) = ' ' THEN upper(left(trim(price_text), 3)) END AS front FROM listing
+), backed AS (
+  SELECT *, trim(substr(bare, 1 + length(coalesce(front, '')))) AS body FROM fronted
+), ended AS (
+  SELECT *, CASE WHEN right(body, 1) IN {_SIGNS} THEN right(body, 1) WHEN upper(right(body, 3)) IN ({_CODE_LIST}) AND left(right(body, 4), 1) = ' ' THEN upper(right(body, 3)) END AS back FROM backed
+), parts AS MATERIALIZED (
+  SELECT *, trim(left(body, length(body) - length(coalesce(back, '')))) AS core, string_split(split_part(core, '.', 1), ',') AS threes FROM ended
+), counted AS MATERIALIZED (
+  SELECT *, TRY_CAST(replace(core, ',', '') AS DECIMAL(38,10)) IS NOT NULL AND translate(core, '0123456789,.', '') = '' AND NOT core LIKE '%.' AND NOT core LIKE '.%' AND NOT core LIKE '%.%,%'
+    AND (len(threes) = 1 OR (length(threes[1]) BETWEEN 1 AND 3 AND len(list_filter(threes[2:], lambda t: length(t) <> 3)) = 0)) AS fits FROM parts
 ), priced AS MATERIALIZED (
-  SELECT *, (g1 IS NOT NULL OR g2 IS NOT NULL) AND (g4 IS NOT NULL OR g5 IS NOT NULL) AS wrapped,
+  SELECT *, fits AND front IS NOT NULL AND back IS NOT NULL AS wrapped,
     CASE WHEN trim(currency_text) = '€' THEN 'EUR' WHEN trim(currency_text) = '£' THEN 'GBP'
          WHEN regexp_full_match(upper(trim(currency_text)), '{_CODES}') THEN upper(trim(currency_text)) END AS stated,
     lower(regexp_replace(trim(availability_text), '^(https?://)?schema\\.org/', '')) AS av,
     lower(regexp_replace(trim(condition_text), '^(https?://)?schema\\.org/', '')) AS co
-  FROM parts
+  FROM counted
 ), read AS MATERIALIZED (
-  SELECT *, CASE WHEN g3 IS NOT NULL AND NOT wrapped THEN CAST(replace(g3, ',', '') AS DECIMAL(38,10)) END AS price_amount,
-    CASE WHEN g3 IS NOT NULL AND NOT wrapped THEN coalesce(upper(g2), upper(g5), CASE coalesce(g1, g4) WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' END) END AS embedded,
-    CASE WHEN price_text IS NULL OR (g3 IS NOT NULL AND NOT wrapped) THEN NULL
+  SELECT *, CASE WHEN fits AND NOT wrapped THEN CAST(replace(core, ',', '') AS DECIMAL(38,10)) END AS price_amount,
+    CASE WHEN fits AND NOT wrapped THEN coalesce({_MONEY('front')}, {_MONEY('back')}) END AS embedded,
+    CASE WHEN price_text IS NULL OR (fits AND NOT wrapped) THEN NULL
          WHEN wrapped OR regexp_matches(lower(price_text), 'from |as low as|starting at|save|% off|off%|/mo|/yr|/wk|per month|per year|per week|a month|a year| to ')
-           OR len(regexp_extract_all(price_text, '\\d[\\d,]*(\\.\\d+)?')) >= 2 THEN 'AMBIGUOUS_PRICE' ELSE 'INVALID_PRICE' END AS price_issue,
+           OR len(list_filter(regexp_split_to_array(replace(price_text, ',', ''), '[^0-9.]+'), lambda t: t <> '')) >= 2 THEN 'AMBIGUOUS_PRICE' ELSE 'INVALID_PRICE' END AS price_issue,
     CASE WHEN av = 'instock' THEN 'IN_STOCK' WHEN av = 'out of stock' THEN 'OUT_OF_STOCK' WHEN av = 'preorder' THEN 'PREORDER' WHEN av = 'limitedavailability' THEN 'LIMITED' ELSE 'UNKNOWN' END AS availability,
     CASE WHEN co = 'newcondition' THEN 'NEW' WHEN co = 'used' THEN 'USED' WHEN co = 'refurbished' THEN 'REFURBISHED' ELSE 'UNKNOWN' END AS condition
   FROM priced
@@ -102,10 +112,20 @@ def reviewed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets and exclusions hold every assessment once: rows in, bucketed and excluded by run."""
-    inside = aggregate.exclusion_reason(F.col("decision") == "ACCEPTED").isNull()
-    rows = assessed(spark, sf_dir).withColumn("inside", inside).groupBy("run_id")
-    return rows.agg(F.count("*").alias("assessments"), F.count_if("inside").alias("bucketed"), F.count_if(~F.col("inside")).alias("excluded"))
+    """Buckets and exclusions hold every assessment once: rows in, rows of the buckets, and rows of the
+    exclusions of each run, each counted where it comes out."""
+    rows = assessed(spark, sf_dir)
+    counts = {
+        "assessments": rows.groupBy("run_id").agg(F.count("*").alias("n")),
+        "bucketed": aggregate.buckets(rows).groupBy("run_id").agg(F.sum("listings").alias("n")),
+        "excluded": aggregate.exclusions(rows).groupBy("run_id").agg(F.count("*").alias("n")),
+    }
+    every = None
+    for name, found in counts.items():
+        part = found.select("run_id", F.lit(name).alias("what"), "n")
+        every = part if every is None else every.unionByName(part)
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).alias(name)
+    return every.groupBy("run_id").agg(*map(of, counts))
 
 
 def usd_values(spark: SparkSession, sf_dir: str) -> DataFrame:

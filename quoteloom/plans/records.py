@@ -34,7 +34,7 @@ SOURCE = "SELECT 'd' || CAST(p_size AS STRING) AS policy_id, 'PN ' || CAST(p_par
 SOUGHT = "SELECT DISTINCT 'd' || CAST(p_size AS STRING) AS policy_id, 'pn-' || CAST(p_partkey % 900 AS STRING) AS requested_mpn FROM part"
 EVIDENCE = """
 SELECT p_partkey, p_partkey % 3 <> 0 AS titled, CASE p_partkey % 4 WHEN 0 THEN array() WHEN 1 THEN array('CAPACITY') WHEN 2 THEN array('CAPACITY', 'CAPACITY') ELSE array('CAPACITY', 'INTERFACE') END AS dimensions,
-  CASE p_partkey % 5 WHEN 0 THEN array('MANUFACTURER_PRODUCT_CONTEXT') WHEN 1 THEN array('CUSTOMER_RETRIEVAL_RELATION') ELSE array() END AS provenances FROM part
+  CASE p_partkey % 5 WHEN 0 THEN array('MANUFACTURER_PRODUCT_CONTEXT') WHEN 1 THEN array('CUSTOMER_RETRIEVAL_RELATION') ELSE array() END AS provenances, p_size % 7 = 0 AND p_partkey % 4 <> 0 AS from_context FROM part
 """
 CORPUS = """
 SELECT doc_id AS case_id, 'run' || CAST(doc_id % 20 AS STRING) AS run_id, CASE doc_id % 6 WHEN 4 THEN 'AMBIGUOUS' WHEN 5 THEN 'CONTRACT_NEGATIVE' ELSE 'AUTHORITATIVE' END AS case_class, 'U' || CAST(doc_id % 5 AS STRING) AS substate,
@@ -46,7 +46,7 @@ SELECT doc_id AS case_id, 'run' || CAST(doc_id % 20 AS STRING) AS run_id, CASE d
 FROM labels
 """
 PROVEN = """
-SELECT 'f' || CAST(event_id % 50 AS STRING) AS feed_id, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS observed_on, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS proven_on, DATE '2024-01-28' AS asked_on,
+SELECT event_id AS observation_id, 'f' || CAST(event_id % 50 AS STRING) AS feed_id, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS observed_on, DATE '2024-01-01' + CAST(event_id % 27 AS INT) AS proven_on, DATE '2024-01-28' AS asked_on,
   CASE event_id % 3 WHEN 0 THEN array('USD') ELSE array('GBP', 'JPY', 'USD') END AS codes
 FROM events WHERE event_id % 41 = 0
 """
@@ -126,7 +126,7 @@ def projected_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, EVIDENCE)
-    return rows.select("p_partkey", authority.evidence_quality(F.col("titled"), F.col("dimensions"), F.col("provenances")).alias("quality"))
+    return rows.select("p_partkey", authority.evidence_quality(F.col("titled"), F.col("dimensions"), F.col("provenances"), F.col("from_context")).alias("quality"))
 
 
 def resolution_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ UNION ALL SELECT run_id, 'coverage', coverage, 0.5 FROM metric UNION ALL SELECT
 ) SELECT product_id, array_to_string(list_filter(['capacity', 'sequential_read', 'storage_protocol'], lambda k: NOT list_contains(coalesce(list(definition_key) FILTER (good), []), k)), ',') AS missing,
   count(*) FILTER (good AND definition_key IN ('capacity', 'sequential_read', 'storage_protocol')) = 3 AS complete FROM has GROUP BY product_id""",
     "reusable_rates": f"""WITH p AS ({PROVEN.replace('array(', 'list_value(')}) SELECT feed_id, observed_on, CASE WHEN proven_on < DATE '2024-01-26' THEN 'STALE' WHEN NOT list_contains(codes, 'GBP') THEN 'COVERAGE_GAP' ELSE 'REUSABLE' END AS outcome
-FROM p QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY observed_on DESC, proven_on DESC, list_contains(codes, 'GBP')) = 1""",
+FROM p QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY observed_on DESC, proven_on DESC, observation_id DESC) = 1""",
     "catalog_records": """SELECT p_partkey AS document_id, 0 AS row, 'M' || p_partkey AS part_number, p_name AS part_name, p_partkey % 5 IN (0, 4) AS is_drive FROM part
 UNION ALL SELECT p_partkey, 4, 'N' || p_partkey, '', false FROM part""",
     "packaging_aliases": f"""WITH a AS ({ASKED}), n AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN ['R', 'T'] WHEN 1 THEN ['', 'T'] WHEN 2 THEN ['', 'R'] WHEN 3 THEN ['R', 'T'] END AS ends FROM a)
@@ -271,7 +271,9 @@ FROM ({SOUGHT}) q LEFT JOIN s ON s.policy_id = q.policy_id AND s.k = upper(q.req
     "quote_sections": f"{_SECTIONS} SELECT * FROM quoted",
     "public_sections": f"{_SECTIONS} SELECT run_id, section, count(*) AS rows FROM quoted WHERE section_ord > 0 GROUP BY run_id, section",
     "projected_rates": "SELECT 'EUR' AS base_currency, * FROM (VALUES ('USD', CAST(1.0825 AS DECIMAL(12,6))), ('GBP', CAST(0.85613 AS DECIMAL(12,6)))) AS t(currency_code, rate)",
-    "evidence_quality": """SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 3 THEN 'STRONG' WHEN p_partkey % 3 <> 0 OR p_partkey % 5 = 0 OR p_partkey % 4 <> 0 THEN 'LIMITED' ELSE 'WEAK' END AS quality FROM part""",
+    "evidence_quality": f"""WITH e AS ({EVIDENCE.replace('array(', 'list_value(')})
+SELECT p_partkey, CASE WHEN from_context AND NOT list_has_any(provenances, ['MANUFACTURER_PRODUCT_CONTEXT', 'MANUFACTURER_RELATION_AUTHORITY']) THEN 'UNSUPPORTED'
+  WHEN titled AND len(dimensions) >= 2 AND len(list_distinct(dimensions)) >= 2 THEN 'STRONG' WHEN titled OR len(dimensions) > 0 OR list_has_any(provenances, ['MANUFACTURER_PRODUCT_CONTEXT', 'MANUFACTURER_RELATION_AUTHORITY']) THEN 'LIMITED' ELSE 'WEAK' END AS quality FROM e""",
     "resolution_bounds": f"""{_STATE_SQL} SELECT substate, signal, CASE WHEN substate = 'U1_TITLE_MPN' THEN CASE WHEN listing_ord % 2 = 0 THEN 'DESCRIPTION' ELSE 'PART_NUMBER' END
   WHEN starts_with(substate, 'U5') THEN CASE WHEN url_ord % 13 = 0 THEN 'PART_NUMBER' ELSE 'NONE' END WHEN starts_with(substate, 'V_') OR signal = 'SKU_EQUALS_TARGET' THEN 'PART_NUMBER'
   WHEN substate = 'U3_PARTIAL_BOUNDARY' THEN 'FAMILY_DESCRIPTION' WHEN signal = 'SKU_NOT_TARGET' OR substate = 'U4_NO_MPN' THEN 'DESCRIPTION' ELSE 'NONE' END AS bound, count(*) AS listings FROM state GROUP BY ALL""",

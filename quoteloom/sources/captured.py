@@ -39,14 +39,14 @@ def search_results(payloads: DataFrame) -> DataFrame:
 
 
 def rate_document(documents: DataFrame) -> DataFrame:
-    """observation_date, base_currency (EUR), currency_code and rate_text, rate of each rate in
-    central-bank XML (``body``). The first dated cube counts; rates must be positive numbers and
+    """observation_date, base_currency (EUR), ord (from 0), currency_code and rate_text, rate of each rate
+    in central-bank XML (``body``). The first dated cube counts; rates must be positive numbers and
     there must be some, else the read fails."""
     at = lambda what: F.expr(f"xpath(body, \"(//*[local-name()='Cube'][@time])[1]/*[local-name()='Cube']/@{what}\")")
     day = F.expr("xpath_string(body, \"(//*[local-name()='Cube'][@time])[1]/@time\")")
     rows = documents.select(F.to_date(F.nullif(day, F.lit(""))).alias("observation_date"), F.arrays_zip(at("currency").alias("currency_code"), at("rate").alias("rate_text")).alias("_rates"))
     rows = rows.withColumn("_rates", F.when(F.size("_rates") == 0, F.raise_error(F.lit("rate document without rates"))).otherwise(F.col("_rates")))
-    rows = rows.select("observation_date", F.lit("EUR").alias("base_currency"), F.inline("_rates")).where(F.col("currency_code").rlike("^[A-Z]{3}$"))
+    rows = rows.select("observation_date", F.lit("EUR").alias("base_currency"), F.posexplode("_rates").alias("ord", "_r")).select("observation_date", "base_currency", "ord", "_r.*").where(F.col("currency_code").rlike("^[A-Z]{3}$"))
     rate = F.col("rate_text").try_cast("decimal(18,6)")
     return rows.withColumn("rate", F.when(rate > 0, rate).otherwise(F.raise_error(F.concat(F.lit("rate is not a positive number: "), F.col("rate_text"))).cast("decimal(18,6)")))
 

@@ -131,3 +131,60 @@ def test_review_actions(spark):
             want[c, k] = (before, outcome, state)
     got = logs.review_events(spark.createDataFrame(rows, "c int, k int, action string"), ["c"], ["k"]).collect()
     assert {(r.c, r.k): (r.state_before, r.outcome, r.state_after) for r in got} == want
+
+
+def test_prices_with_other_blanks_and_several_points(spark):
+    cases = {"EUR 12": ("EUR", 12), "$ 5": (None, 5), "12 €": ("EUR", 12), "5 USD": ("USD", 5), "1.234.567 €": "AMBIGUOUS_PRICE", "USD12": "INVALID_PRICE", "1,23": "INVALID_PRICE", "7": (None, 7), "€ 7 EUR": "AMBIGUOUS_PRICE"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.p for r in price.with_price(rows, "t", "p").collect()}
+    for text, want in cases.items():
+        p = got[text]
+        assert (p.issue if isinstance(want, str) else (p.currency, p.amount)) == want, text
+
+
+def test_spec_readings(spark):
+    from quoteloom.functions.specs import normalize
+
+    cases = {
+        ("capacity", "7.68 TB"): 7.68, ("capacity", "960gb"): 0.96, ("capacity", "1,920 GB"): 1.92, ("capacity", "1,92 TB"): "UNRECOGNIZED_FORMAT", ("capacity", "-1 TB"): "OUT_OF_RANGE_OR_NON_POSITIVE", ("capacity", "1 - 2 TB"): "AMBIGUOUS_VALUE",
+        ("capacity", "5 T B"): "UNRECOGNIZED_FORMAT", ("capacity", "4 TiB"): "UNSUPPORTED_UNIT", ("sequential_read", "6.8 gb/s"): 6800, ("sequential_write", "500 MB/s"): 500, ("random_read_iops", "1,000 K  IOPS"): 1000000, ("random_write_iops", "1.1M IOPS"): 1100000,
+        ("random_write_iops", "90KIOPS"): 90000, ("random_read_iops", "90 k IOPS"): "UNRECOGNIZED_FORMAT", ("random_read_iops", "90000"): "UNRECOGNIZED_FORMAT", ("endurance_dwpd", "1.3"): 1.3, ("endurance_dwpd", "3 DWPD"): 3, ("endurance_dwpd", "0"): "OUT_OF_RANGE_OR_NON_POSITIVE",
+        ("sequential_read", ""): "MISSING_OR_EMPTY_VALUE", ("capacity", "up to 8 TB"): "AMBIGUOUS_VALUE", ("capacity", "8"): "UNRECOGNIZED_FORMAT",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases], "definition_key string, raw_value string")
+    for r in normalize(rows).collect():
+        want = cases[r.definition_key, r.raw_value]
+        assert (r.issue or float(r.value_dec)) == want, r
+
+
+def test_packaging_phrases():
+    from quoteloom.operators.extract import cues
+
+    cases = {
+        "10-unit factory  pack": [("TRAY_OR_FACTORY_PACK", 10, None)], "4 unit bundle": [("BUNDLE", None, "BUNDLE_WITHOUT_CONTENTS")], "OEM tray of 20.": [("TRAY_OR_FACTORY_PACK", 20, None)], "pack of 2TB drives": [("PACK_QUANTITY", None, "CAPACITY_ATTACHED_QUANTITY")],
+        "pack of 05": [("PACK_QUANTITY", None, "NON_CANONICAL_QUANTITY")], "pack of 2.5": [("PACK_QUANTITY", None, "NON_CANONICAL_QUANTITY")], "5 - pack": [("PACK_QUANTITY", 5, None)], "007-pack": [("PACK_QUANTITY", None, "NON_CANONICAL_QUANTITY")], "2.5 pack": [("PACK_QUANTITY", None, "PACK_WITHOUT_COUNT")],
+        "bundle (a + b)": [("BUNDLE", None, None)], "a bundle": [("BUNDLE", None, "BUNDLE_WITHOUT_CONTENTS")], "1 unit": [("SINGLE_UNIT", None, None)], "single-unit tray": [("SINGLE_UNIT", None, None), ("TRAY_OR_FACTORY_PACK", None, None)], "4packs, unpack, tray_1": [], "": [],
+    }
+    for text, want in cases.items():
+        assert [(c["kind"], c["quantity"], c["reason"]) for c in cues(text)] == want, text
+
+
+def test_fallbacks(spark):
+    from quoteloom.operators import logs
+
+    rows = [(k, role, o) for k, (one, two) in enumerate([("SUCCESS", "SUCCESS"), ("DNS_ERROR", "SUCCESS"), ("SERVER_ERROR", "SUCCESS"), ("SCHEMA_INVALID", "TIMEOUT"), ("INVALID_RESPONSE", "SUCCESS")]) for role, o in (("PRIMARY", one), ("FALLBACK", two))]
+    got = {r.case_id: r.answered_by for r in logs.routed(spark.createDataFrame(rows, "case_id long, role string, outcome string")).collect()}
+    assert got == {0: "PRIMARY", 1: "FALLBACK", 2: "NONE", 3: "NONE", 4: "FALLBACK"}
+
+
+def test_newest_observation_however_rows_lie(spark):
+    from datetime import date
+
+    from quoteloom.operators.rates import reusable
+
+    day = date(2024, 1, 26)
+    rows = [(k, "f", day, day, day, ["USD", "GBP"] if k % 2 else ["USD"]) for k in range(40)]
+    schema = "observation_id long, feed_id string, observed_on date, proven_on date, asked_on date, codes array<string>"
+    for n in (1, 5):
+        got = reusable(spark.createDataFrame(rows, schema).repartition(n), ["GBP"]).collect()
+        assert [(r.observation_id, r.outcome) for r in got] == [(39, "REUSABLE")]
