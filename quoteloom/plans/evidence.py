@@ -71,7 +71,7 @@ OBSERVED = "SELECT CAST(event_id AS BIGINT) AS observation_id, CAST(o_orderdate
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(view(spark, sf_dir, OBSERVATIONS))
+    return normalize(view(spark, sf_dir, OBSERVATIONS).repartition("product_id"))  # as the resolutions need it
 
 
 def spec_values(spark: SparkSession, sf_dir: str) -> DataFrame:
