@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import authority, evidence, market, records, vendors
+from quoteloom.plans import authority, evidence, market, records, support, vendors
 
-PLANS = (market, evidence, authority, records, vendors)
+PLANS = (market, evidence, authority, records, vendors, support)
