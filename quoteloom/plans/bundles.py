@@ -63,11 +63,12 @@ def _composition_sql(text: str, name: str) -> str:
 
 def _items_sql(clause: str) -> str:
     """Sorted "quantity item" texts, or null if any entry is of another form."""
-    parts = f"list_transform(string_split(replace(replace(replace({clause}, ' + ', '|'), ' & ', '|'), ' and ', '|'), '|'), lambda e: CASE WHEN regexp_matches(e, '^\\d+[x ] ?[A-Za-z]') THEN regexp_extract(e, '^\\d+') || ' ' || regexp_replace(e, '^\\d+[x ] ?', '') ELSE '1 ' || e END)"
-    return f"CASE WHEN {clause} IS NOT NULL AND regexp_full_match({clause}, '[0-9A-Za-z +&._-]+') THEN list_sort(list_transform({parts}, lambda e: lower(e))) END"
+    parts = f"regexp_split_to_array({clause}, ' *([+&,]|\\band\\b) *')"
+    read = f"list_transform({parts}, lambda e: CASE WHEN regexp_matches(e, '^\\d+[x ]') THEN regexp_extract(e, '^\\d+') || ' ' || regexp_replace(e, '^\\d+[x ] ?', '') ELSE '1 ' || e END)"
+    odd = f"list_filter({parts}, lambda e: NOT regexp_full_match(e, '[0-9A-Za-z]([0-9A-Za-z ._-]*[0-9A-Za-z])?'))"
+    return f"CASE WHEN {clause} IS NOT NULL AND len({odd}) = 0 THEN list_sort(list_transform({read}, lambda e: lower(e))) END"
 
 
-# entries by plain replacement of the separators that these texts use
 _JUDGED = f"""WITH texts AS ({TEXTS}), {_composition_sql("published", "own")}, {_composition_sql("wanted", "other")}, paired AS (
   SELECT texts.*, own.clause, own.state, own.statement, other.clause AS wanted_clause, other.state AS wanted_state, {_items_sql("own.clause")} AS items, {_items_sql("other.clause")} AS wanted_items
   FROM texts JOIN own USING (p_partkey) JOIN other USING (p_partkey)
