@@ -31,3 +31,11 @@ def lookup(key: Column, values: dict[str, str]) -> Column:
     """The value of ``key``, or null."""
     pairs = [F.lit(x) for pair in values.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def whole_json(text: Column) -> Column:
+    """``text`` as a variant if all of it is one JSON value, else null. The parser itself stops behind
+    the first value, so it is given the text as the first of two; the second is a hash of the text."""
+    end = F.xxhash64(text)
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), end.cast("string"), F.lit("]"))), "$", "array<variant>")
+    return F.when((F.size(both) == 2) & (F.try_variant_get(both[1], "$", "long") == end), both[0])

@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import authority, bundles, evidence, market, records, support, vendors
+from quoteloom.plans import authority, bundles, evidence, market, records, responses, support, vendors
 
-PLANS = (market, evidence, authority, records, vendors, support, bundles)
+PLANS = (market, evidence, authority, records, vendors, support, bundles, responses)

@@ -52,7 +52,7 @@ def _composition_sql(text: str, name: str) -> str:
   SELECT p_partkey, CASE WHEN head = '' THEN whole ELSE trim(substr(whole, length(head) + 1)) END AS rest, head FROM {name}_cut
 ), {name}_clause AS (
   SELECT p_partkey, head <> '' AND starts_with(rest, '(') AND NOT ends_with(rest, ')') AS cut_off,
-    nullif(CASE WHEN head = '' THEN rest WHEN starts_with(rest, '(') THEN trim(rtrim(substr(rest, 2), ')')) ELSE trim(substr(rest, 2)) END, '') AS c FROM {name}_inner
+    nullif(CASE WHEN head = '' THEN rest WHEN starts_with(rest, '(') THEN trim(CASE WHEN ends_with(rest, ')') THEN rest[2:-2] ELSE substr(rest, 2) END) ELSE trim(substr(rest, 2)) END, '') AS c FROM {name}_inner
 ), {name}_said AS (
   SELECT *, CASE WHEN ends_with(c, ', complete list') THEN ', complete list' WHEN ends_with(c, '; full contents') THEN '; full contents' END AS s FROM {name}_clause
 ), {name} AS (

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import collapsed, lookup, strip
+from quoteloom.functions.text import collapsed, lookup, strip, whole_json
 
 # The variable, what must stand behind it, and the letters that an escape stands for.
 VARIABLE, CALL = "supportSpecsData", ("=", "JSON.parse('")
@@ -93,7 +93,7 @@ def records(pages: DataFrame, *keys: str) -> DataFrame:
     pages = pages.select(*keys, "html")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keys).schema)
     read = pages.mapInArrow(_payloads, f"{schema}, found array<struct<script:int,block:int,text:string>>").select(*keys, F.inline("found"))
-    listed = F.try_variant_get(F.try_parse_json("text"), "$", "array<variant>")
+    listed = F.try_variant_get(whole_json(F.col("text")), "$", "array<variant>")
     rows = read.select(*keys, "script", "block", F.posexplode(listed).alias("record", "value"))
     return rows.select("*", text(F.col("value"), "skuNumber").alias("sku")).where("sku is not null")
 

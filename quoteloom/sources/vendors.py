@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import SPACE, blank_to_null, strip
+from quoteloom.functions.text import SPACE, blank_to_null, strip, whole_json
 
 MOST_BYTES = 1_048_576
 MOST_DEPTH = 32
@@ -289,7 +289,7 @@ def _read(answers: DataFrame) -> DataFrame:
     """run_id, body (text; null where it cannot be read) and json (a variant, where it is JSON)."""
     raw = F.col("body").cast("binary")
     body = F.when(F.octet_length(raw) <= MOST_BYTES, F.try_validate_utf8(raw.cast("string")))
-    return answers.select("run_id", body.alias("body")).withColumn("json", F.try_parse_json("body"))
+    return answers.select("run_id", body.alias("body")).withColumn("json", whole_json(F.col("body")))
 
 
 def offers(answers: DataFrame) -> DataFrame:

@@ -142,3 +142,9 @@ def test_lookups(spark):
     raw = spark.createDataFrame([(1, b"CDW Product: {Not Found}\xff")], "run_id long, body binary")
     assert vendors.lookups(raw).first().lookup_status == "FAILED"
     assert [r["source_name"] for r in asked(spark, [json.dumps([{"a": 1}])])[0]] == ["Unknown"]
+
+
+def test_json_is_one_value_to_its_end(spark):
+    texts = ["{}", " [1] ", "1", '"x"', "null", "{}{}", "{} x", "{}]", "1,2", "", " ", '{},["a"', '{},5]', "{", "[1]]", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vendors.whole_json(F.col("t")).isNotNull().alias("whole"))
+    assert [r.t for r in rows.collect() if r.whole] == texts[:5]
