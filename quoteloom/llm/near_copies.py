@@ -15,10 +15,11 @@ verified on the whole shingle sets, by 32 bits of hash for each shingle:
 Under a MinHash key of up to CROWD texts, all pairs are tried. Under a larger one every text is first
 tried with one text of the key, drawn anew for each key, so a group of near copies becomes few
 components by few pairs; then the texts outside the largest component of the key are compared with
-all of the key by their minima, and pairs in different components that agree on CLOSE of them are
-tried too (fewer are agreed on with a probability of 1e-7 at 0.8). For that step a key is dealt in
-blocks of ``BLOCK`` texts against chunks of as many, so no task holds more, however many texts a key
-has; its time is quadratic where a large key holds unlike texts.
+all of the key by their minima, and pairs in different components that agree on CLOSE of them (fewer are
+agreed on with a probability of 1e-7 at 0.8) are verified where they stand, until the components they are
+in are one. For that step a key is dealt in blocks of ``BLOCK`` texts against chunks of as many, each with
+its minima and set, so no task holds more, however many texts a key has, and what comes out are links
+between components, not pairs; its time is quadratic where a large key holds unlike texts.
 
 Edge cases: null, empty and blank texts have no shingles and are copies of each other. Repeated rows
 are copies. Only doc_id and text are read; ``one_of_each`` keeps all columns, of any name and type.
@@ -43,7 +44,7 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 25, 5
 CROWD = 16
-BLOCK = 8192
+BLOCK = 4096
 CLOSE = 75  # of BANDS * ROWS minima
 SEED = 42
 
@@ -116,48 +117,59 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _are_alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= LEAST * max(len(a), len(b)) - 1e-9 else 0
+    return both >= LEAST * (len(a) + len(b) - both) - 1e-9
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            good.append(both >= LEAST * (len(a) + len(b) - both) - 1e-9)
+        good = [_are_alike(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
         yield batch.select(["one", "two"]).filter(pa.array(good, pa.bool_()))
 
 
 def _between(key, probes: pa.Table, others: pa.Table) -> pa.Table:
-    """Pairs of a probe and another text, in different components, that agree on CLOSE minima."""
-    found = [np.zeros((2, 0), np.int64)]
+    """Verified links of a probe and another text that join components which are not joined yet."""
+    found: list[tuple[int, int]] = []
     if len(probes) and len(others):
         digest, root = (probes.column(c).to_numpy() for c in ("digest", "root"))
         digests, roots = (others.column(c).to_numpy() for c in ("digest", "root"))
         mine, theirs = (np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for t in (probes, others))
-        for at in range(0, len(digest), 256):
-            some = slice(at, at + 256)
+        sets = lambda t, k: np.frombuffer(t.column("shingles")[k].as_py(), np.uint32)
+        names, at = np.unique(np.concatenate([root, roots]), return_inverse=True)
+        now = np.arange(len(names))  # the component that each one is part of by now
+        one, two = at[: len(root)], at[len(root) :]
+        for start in range(0, len(digest), 256):
+            some = slice(start, start + 256)
             agree = np.zeros((len(digest[some]), len(digests)), np.uint8)
             for c in range(BANDS * ROWS):
                 agree += mine[some, c][:, None] == theirs[:, c]
-            i, j = np.nonzero((agree >= CLOSE) & (root[some][:, None] != roots))
-            found.append(np.stack([digest[some][i], digests[j]]))
-    a, b = np.concatenate(found, axis=1)
-    return pa.table({"one": np.minimum(a, b), "two": np.maximum(a, b)})
-
-
-def _across(placed: DataFrame, minima: DataFrame) -> DataFrame:
-    """Candidates (one, two) among texts of one key that are in different components; ``placed``: key,
-    digest and root of each text of a key that holds several components."""
+            i, j = np.nonzero((agree >= CLOSE) & (now[one[some]][:, None] != now[two]))
+            for k in np.argsort(-agree[i, j].astype(np.int16), kind="stable"):
+                a, b = start + i[k], j[k]
+                if now[one[a]] != now[two[b]] and _are_alike(sets(probes, a), sets(others, b)):
+                    now[now == now[two[b]]] = now[one[a]]
+                    found.append((int(digest[a]), int(digests[b])))
+    return pa.table({"one": pa.array([min(f) for f in found], pa.int64()), "two": pa.array([max(f) for f in found], pa.int64())})
+
+
+def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (one, two) among texts of one key that are in different components, enough to join those that
+    belong together; ``placed``: key, digest and root of each text of a key that holds several components;
+    ``texts``: digest, minima and shingles."""
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
     parts = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     main = main.select("key", "main", parts(F.col("total")).alias("blocks"), parts(F.col("total") - F.col("most")).alias("chunks"))
     # a hot key's rows are many, its row of ``main`` is one: a skewed join, which AQE splits
-    rows = written(placed.join(main, "key").join(minima, "digest"))
+    rows = placed.join(main, "key").join(texts, "digest")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("digest", F.lit(n)), F.col(n)).cast("int")
-    probes = rows.where("root != main").select("key", dealt("chunks").alias("chunk"), spread("blocks").alias("block"), "digest", "root", "minima")
-    others = rows.select("key", dealt("blocks").alias("block"), spread("chunks").alias("chunk"), "digest", "root", "minima")
+    held = ["digest", "root", "minima", "shingles"]
+    probes = rows.where("root != main").select("key", dealt("chunks").alias("chunk"), spread("blocks").alias("block"), *held)
+    others = rows.select("key", dealt("blocks").alias("block"), spread("chunks").alias("chunk"), *held)
     at = ["key", "block", "chunk"]
+    probes = probes.select(*(F.col(c).alias(c) for c in [*at, *held]))  # columns of its own, apart from those of ``others``
     return probes.groupBy(*at).cogroup(others.groupBy(*at)).applyInArrow(_between, "one long, two long")
 
 
@@ -205,8 +217,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     split = written(placed.join(split, "key", "left_semi"))
     if not split.isEmpty():
-        minima = marks.join(split.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("minima").alias("minima"))
-        links = links.unionByName(tried(_across(split, minima)))
+        asked = written(split.select("digest").distinct())
+        minima = marks.join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("minima").alias("minima"))
+        shingled = docs.select("text").mapInArrow(_sets, SETS).join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        links = written(links.unionByName(_across(split, written(minima.join(shingled, "digest")))))
         tree = written(components(links))
     named = firsts.join(tree, firsts["digest"] == tree["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

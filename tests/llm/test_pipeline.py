@@ -132,3 +132,28 @@ def test_stages_leave_only_their_last_tables(spark, tmp_path):
     lazy = second(spark, docs, SF)
     lazy = third(spark, lazy, SF)
     assert lazy.count() == spark.read.parquet(f"{tmp_path}/near").count()
+
+
+def test_links_across_components_in_blocks(spark, monkeypatch):
+    """However a crowded key is dealt, the components are those of all pairs."""
+    from quoteloom.llm import near_copies
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(90):  # a drift: neighbours are near copies, the ends are not
+        base = ["v%d" % rng.randrange(10**6) if i == (7 * k) % 120 else w for i, w in enumerate(base)]
+        texts.append(list(base))
+    known = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(known[a] & known[b]) >= 0.8 * len(known[a] | known[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {frozenset(k for k, r in enumerate(root) if r == s) for s in set(root)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    for block in (4096, 7):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "CROWD", 2)
+        got = near_copies.near_copies(docs).collect()
+        assert {frozenset(r.doc_id for r in got if r.component_id == c) for c in {r.component_id for r in got}} == want
