@@ -21,9 +21,9 @@ def exclusion_reason(eligible: Column) -> Column:
 
 
 def median(amounts: Column) -> Column:
-    """Exact median of an array of decimals."""
+    """Exact median of an array of decimals, null for none."""
     ordered, n = F.array_sort(amounts), F.size(amounts)
-    upper, lower = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int")), F.element_at(ordered, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int"))
+    upper, lower = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int")), F.try_element_at(ordered, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int"))
     return ((upper.cast("decimal(30,8)") + lower.cast("decimal(30,8)")) / F.lit(2).cast("decimal(1,0)")).cast("decimal(38,9)")
 
 
@@ -43,8 +43,14 @@ def buckets(rows: DataFrame, eligible: Column | None = None, origin: Column | No
         F.count_if(inside & (F.col("_origin") == "DETERMINISTIC")).alias("deterministic_count"),
         F.count_if(inside & (F.col("_origin") == "HUMAN_CONFIRMED")).alias("human_confirmed_count"),
     )
-    found = found.where("listings > 0").withColumn("median", median(F.col("_amounts"))).drop("_amounts")
+    return summarized(found.where("listings > 0"))
+
+
+def summarized(found: DataFrame) -> DataFrame:
+    """Adds median, range_low, range_high and confidence to buckets with listings, low, high and their
+    _amounts, which go."""
     many = F.col("listings") >= 3
+    found = found.withColumn("median", median(F.col("_amounts"))).drop("_amounts")
     return found.withColumns({"range_low": F.when(many, F.col("low")), "range_high": F.when(many, F.col("high")), "confidence": F.when(many, "MEDIUM").otherwise("LOW")})
 
 
