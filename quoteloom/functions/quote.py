@@ -60,3 +60,48 @@ def public_ipv4(address: Column) -> Column:
     closed = closed | ((a == 100) & b.between(64, 127)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     good = address.rlike("^\\d{1,3}(\\.\\d{1,3}){3}$") & F.forall(parts, lambda x: x.between(0, 255))
     return F.when(good, ~closed)
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _with_groups(address: Column, then) -> Column:
+    """``then`` of the eight numbers of an IPv6 address, or null for other text."""
+    last = F.regexp_extract(address, "[0-9.]+$", 0)
+    number = lambda k: F.split(last, "\\.")[k].try_cast("int")
+    good = last.rlike("^(\\d|[1-9]\\d|1\\d\\d|2[0-4]\\d|25[0-5])(\\.(\\d|[1-9]\\d|1\\d\\d|2[0-4]\\d|25[0-5])){3}$")
+    four = F.concat(F.lower(F.hex(number(0) * 256 + number(1))), F.lit(":"), F.lower(F.hex(number(2) * 256 + number(3))))
+    text = F.when(~F.contains(last, F.lit(".")), address).when(good, F.concat(F.left(address, F.length(address) - F.length(last)), four))
+    listed = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def filled(halves: Column) -> Column:
+        front, back = listed(halves[0]), F.coalesce(listed(F.try_element_at(halves, F.lit(2))), F.array().cast("array<string>"))
+        missing = 8 - F.size(front) - F.size(back)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        return F.when(F.size(halves) == 1, front).when((F.size(halves) == 2) & (missing >= 1), F.concat(front, zeros, back))
+
+    fine = lambda whole: F.when((F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9A-Fa-f]{1,4}$")), F.transform(whole, lambda x: F.conv(x, 16, 10).cast("int")))
+    return _let(F.split(text, "::", -1), lambda halves: _let(filled(halves), lambda whole: _let(fine(whole), then)))
+
+
+def public_address(address: Column) -> Column:
+    """Whether an address, IPv4 or IPv6, is publicly routable; null for other text.
+
+    An IPv6 address that is another notation of an IPv4 one (mapped, 6to4) is what that one is. Of the rest
+    2000::/3 is routable but for what is set aside in it, and so is fec0::/10, which no list of the special
+    ones names any more.
+    """
+
+    def public6(g: Column) -> Column:
+        zero = lambda a, b: F.forall(F.slice(g, a + 1, b - a), lambda x: x == 0)
+        mapped, wrapped = zero(0, 5) & (g[5] == 0xFFFF), g[0] == 0x2002
+        one, two = F.when(mapped, g[6]).when(wrapped, g[1]), F.when(mapped, g[7]).when(wrapped, g[2])
+        four = F.concat_ws(".", F.shiftright(one, 8), one % 256, F.shiftright(two, 8), two % 256)
+        service = (g[1] == 3) | g[1].between(0x20, 0x3F) | ((g[1] == 4) & (g[2] == 0x112)) | ((g[1] == 1) & zero(2, 7) & g[7].isin(1, 2))
+        aside = ((g[0] == 0x2001) & ((g[1] == 0xDB8) | ((g[1] < 0x200) & ~service))) | ((g[0] == 0x3FFF) & (g[1] < 0x1000))
+        native = (g[0].between(0x2000, 0x3FFF) & ~aside) | g[0].between(0xFEC0, 0xFEFF)
+        return F.when(g.isNotNull(), F.when(mapped | wrapped, _let(four, public_ipv4)).otherwise(native))
+
+    return F.when(F.contains(address, F.lit(":")), _with_groups(address, public6)).otherwise(public_ipv4(address))

@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from quoteloom.plans import authority, bundles, evidence, market, payloads, records, responses, support, vendors
+from quoteloom.plans import authority, bundles, evidence, market, payloads, published, records, responses, support, vendors
 
-PLANS = (market, evidence, authority, records, vendors, support, bundles, responses, payloads)
+PLANS = (market, evidence, authority, records, vendors, support, bundles, responses, payloads, published)

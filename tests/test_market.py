@@ -188,3 +188,15 @@ def test_newest_observation_however_rows_lie(spark):
     for n in (1, 5):
         got = reusable(spark.createDataFrame(rows, schema).repartition(n), ["GBP"]).collect()
         assert [(r.observation_id, r.outcome) for r in got] == [(39, "REUSABLE")]
+
+
+def test_public_addresses(spark):
+    from quoteloom.functions.quote import public_address
+
+    cases = {
+        "8.8.8.8": True, "10.0.0.1": False, "2606:4700::1111": True, "::1": False, "::": False, "::ffff:127.0.0.1": False, "::FFFF:8.8.8.8": True, "::ffff:808:808": True, "2002:7f00:1::": False, "2002:808:808::1": True, "2001:db8::1": False, "2001:db9::1": True,
+        "2001::1": False, "2001:1::1": True, "2001:1::3": False, "2001:3::1": True, "2001:4:112::1": True, "2001:4:113::1": False, "2001:20::1": True, "2001:30::1": True, "2001:40::1": False, "3fff:fff::1": False, "3fff:1000::1": True, "fe80::1": False, "fc00::1": False, "fd12::1": False,
+        "fec0::1": True, "ff02::1": False, "64:ff9b::808:808": False, "100::1": False, "4000::1": False, "1:2:3:4:5:6:7": None, "2606::1::2": None, "2606:1:2:3:4:5:6:7:8": None, "2606:::1": None, "2606::g": None, "::ffff:300.1.1.1": None, "2606:1:2:3:4:5:6:7": True, "::2606:1:2:3:4:5:6:7": None, "x": None, "": None,
+    }
+    rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", public_address(F.col("a")).alias("p"))
+    assert {r.a: r.p for r in rows.collect()} == cases
