@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quoteloom.functions import commerce, fx, quote
 from quoteloom.operators.normalize import only
@@ -48,3 +49,20 @@ def required_currencies(found: DataFrame, vendor: DataFrame | None = None) -> Da
     used = used.unionByName(vendor.select("currency_code")) if vendor is not None else used
     other = only(used.distinct(), F.col("currency_code") != "USD")
     return other.unionByName(other.limit(1).select(F.lit("USD").alias("currency_code")))
+
+
+def with_links(rows: DataFrame, listings: DataFrame) -> DataFrame:
+    """``rows`` (run_id, ord, source) with link: the address of the listing (``listings``: run_id, ord,
+    source_url) that has the same place in its run. A run's two lists are laid side by side only if they are
+    equally long, and a pair counts only if the listing's host is the row's source and its address is safe to
+    show; otherwise there is no link."""
+
+    def placed(table: DataFrame, *kept: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("run_id").orderBy("ord")).alias("_place")
+        return table.select("run_id", *kept, place, F.count("*").over(Window.partitionBy("run_id")).alias("_many"))
+
+    found = placed(listings, "source_url")
+    joined = placed(rows, "ord", "source").join(found, ["run_id", "_place", "_many"], "left")
+    url = F.col("source_url")
+    same = (quote.source_label(url) == F.col("source")) & quote.safe_link(url)
+    return joined.select("run_id", "ord", "source", F.when(same, url).alias("link"))

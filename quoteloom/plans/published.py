@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoteloom.functions import quote
+from quoteloom.operators import quotes
 from quoteloom.sinks import evidence
 from quoteloom.sources.adapters import view
 
@@ -55,7 +56,18 @@ def routable_addresses6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", quote.public_address(F.when(F.col("event_id") % 2 == 0, full).otherwise(short)).alias("public"))
 
 
-QUERIES = {f.__name__: f for f in (checked_steps, published_steps, routable_addresses6)}
+QUOTED = "SELECT o_custkey AS run_id, o_orderkey AS ord, 'h' || CAST(o_orderkey % 5 AS STRING) || '.example' AS source FROM orders"
+LISTED = """
+SELECT o_custkey AS run_id, o_orderkey AS ord, CASE o_orderkey % 7 WHEN 0 THEN 'ftp://h' || CAST(o_orderkey % 5 AS STRING) || '.example/x' WHEN 1 THEN 'https://other.example/' WHEN 2 THEN NULL ELSE 'https://H' || CAST(o_orderkey % 5 AS STRING) || '.example/' || CAST(o_orderkey AS STRING) END AS source_url
+FROM orders WHERE NOT (o_custkey % 6 = 0 AND o_orderkey % 3 = 0)
+"""
+
+
+def linked_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.with_links(view(spark, sf_dir, QUOTED), view(spark, sf_dir, LISTED))
+
+
+QUERIES = {f.__name__: f for f in (checked_steps, published_steps, routable_addresses6, linked_quotes)}
 
 _ALLOWED = ", ".join(f"('{s}', '{o}', '{d or ''}')" for (s, o), details in evidence.ALLOWED.items() for d in details)
 _CHECKED = f"""WITH allowed(stage, outcome, detail) AS (VALUES {_ALLOWED}), step AS ({STEPS}), checked AS (
@@ -68,4 +80,6 @@ ORACLES = {
     # an IPv4 address as one number; 6to4 carries it in the second and third group, a mapped one in the last two
     "routable_addresses6": f"""WITH g AS ({ADDRESSES}), n AS (SELECT *, CASE WHEN a = 8194 THEN b * 65536 + c WHEN a = 0 AND b = 0 AND c = 0 AND f = 65535 THEN g * 65536 + h END AS x FROM g)
 SELECT event_id, CASE WHEN x IS NOT NULL THEN NOT {_FOUR} ELSE a BETWEEN 8192 AND 16383 AND NOT (a = 8193 AND (b = 3512 OR (b < 512 AND NOT (b = 3 OR (b BETWEEN 32 AND 63) OR (b = 4 AND c = 274) OR (b = 1 AND c = 0 AND f = 0 AND g = 0 AND h IN (1, 2)))))) AND NOT (a = 16383 AND b < 4096) END AS public FROM n""",
+    "linked_quotes": f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM ({QUOTED})), l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM ({LISTED}))
+SELECT q.run_id, q.ord, source, CASE WHEN lower(regexp_extract(source_url, '^https://([^/]+)', 1)) = source THEN source_url END AS link FROM q LEFT JOIN l USING (run_id, k, n)""",
 }

@@ -200,3 +200,12 @@ def test_public_addresses(spark):
     }
     rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", public_address(F.col("a")).alias("p"))
     assert {r.a: r.p for r in rows.collect()} == cases
+
+
+def test_links_by_place(spark):
+    from quoteloom.operators.quotes import with_links
+
+    rows = [(1, 10, "a.example"), (1, 20, "b.example"), (2, 1, "a.example"), (3, 1, "a.example"), (3, 2, "a.example"), (4, 1, "a.example")]
+    found = [(1, 3, "https://A.example/x"), (1, 5, "https://a.example/y"), (2, 1, "https://a.example/"), (2, 2, "https://a.example/"), (3, 1, "javascript:alert(1)"), (3, 2, None), (5, 1, "https://a.example/")]
+    got = with_links(spark.createDataFrame(rows, "run_id long, ord long, source string"), spark.createDataFrame(found, "run_id long, ord long, source_url string")).collect()
+    assert {(r.run_id, r.ord): r.link for r in got} == {(1, 10): "https://A.example/x", (1, 20): None, (2, 1): None, (3, 1): None, (3, 2): None, (4, 1): None}
