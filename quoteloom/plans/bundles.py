@@ -20,7 +20,7 @@ FROM part
 
 
 def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bundles.composition(view(spark, sf_dir, TEXTS), "published", "composition")
+    rows = bundles.composition(view(spark, sf_dir, TEXTS, part="p_partkey"), "published", "composition")
     return bundles.composition(rows, "wanted", "target_composition").withColumn("unit_kind", F.lit("BUNDLE"))
 
 

@@ -142,7 +142,7 @@ def routed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, MISSES).select("part", "two", pn.near_miss(F.col("one"), F.col("two")).alias("shape"))
+    return view(spark, sf_dir, MISSES, part="p_partkey").select("part", "two", pn.near_miss(F.col("one"), F.col("two")).alias("shape"))
 
 
 def alias_families(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ FROM part
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, PAGES)
+    return view(spark, sf_dir, PAGES, part="p_partkey")
 
 
 def support_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ COLUMNS = ("run_id", "source_name", "outcome", "explicit_mpn", "price", "currenc
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.concat(F.lit('{"Ingram":'), "ingram", F.lit(',"CDW":'), "cdw", F.lit(',"Synnex EU":'), "synnex", F.lit(',"asked":1}'))
-    return view(spark, sf_dir, SECTIONS).select("run_id", parts.alias("body"))
+    return view(spark, sf_dir, SECTIONS, part="p_partkey").select("run_id", parts.alias("body"))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     opened = F.when(F.col("run_id") % 2 == 1, "<p>").otherwise(" ")
     lines = [x for name, column in (("Ingram", "ingram"), ("CDW", "cdw"), ("Synnex EU", "synnex")) for x in (opened, F.lit(f"{name} Product: "), literal(F.col(column)), F.lit("\nAcme Product: {1}\r\n"))]
-    return view(spark, sf_dir, SECTIONS).select("run_id", F.concat(*lines).alias("body"))
+    return view(spark, sf_dir, SECTIONS, part="p_partkey").select("run_id", F.concat(*lines).alias("body"))
 
 
 def vendor_json_offers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions.text import SPACE, blank_to_null, strip, whole_json
+from quoteloom.operators.normalize import only
 
 MOST_BYTES = 1_048_576
 MOST_DEPTH = 32
@@ -296,12 +297,12 @@ def offers(answers: DataFrame) -> DataFrame:
     """run_id, ord, source_name, outcome, explicit_mpn, price, currency_code, availability, quantity,
     price_basis and note_kind of each vendor's section of answers (run_id, body)."""
     read = _read(answers)
-    plain = sections(read.where("json is null and body is not null"))
+    plain = sections(only(read, F.expr("json is null and body is not null")))
     absent = F.when(F.col("text").rlike(f"^{SPACE}*\\{{{SPACE}*Not{SPACE}+Found{SPACE}*\\}}"), "NOT_FOUND")
     starts = F.ltrim(F.col("text")).startswith("{") | strip(F.col("text")).startswith("{")
     spelled = F.pandas_udf(_literals, "string")(F.when(absent.isNull() & starts, strip(F.col("text"))))
     plain = plain.withColumn("outcome", absent).withColumn("section", F.try_parse_json(spelled)).select("run_id", "ord", "source_name", "section", "outcome")
-    told = json_sections(read.where("json is not null").select("run_id", F.col("json").alias("body"))).withColumn("outcome", F.lit(None).cast("string"))
+    told = json_sections(only(read, F.col("json").isNotNull()).select("run_id", F.col("json").alias("body"))).withColumn("outcome", F.lit(None).cast("string"))
     return mapped(plain.unionByName(told))
 
 
