@@ -15,7 +15,7 @@ def assessed(found: DataFrame, targets: DataFrame) -> DataFrame:
     """Each candidate of ``support.candidates`` for each target of its page (``targets``: page_id,
     target_mpn) with its key and disposition: TARGET_SELF if it is the target, NO_KEY if nothing of its
     number can be compared, else CANDIDATE."""
-    rows = found.join(targets.select("page_id", "target_mpn").distinct(), "page_id").withColumn("mpn_key", pn.key(F.col("mpn")))
+    rows = found.hint("merge").join(targets.select("page_id", "target_mpn").distinct(), "page_id").withColumn("mpn_key", pn.key(F.col("mpn")))
     same = pn.compare(F.col("target_mpn"), F.col("mpn")).isin("EXACT", "NORMALIZED_EXACT")
     return rows.withColumn("disposition", F.when(F.col("mpn_key") == "", "NO_KEY").when(same, "TARGET_SELF").otherwise("CANDIDATE"))
 
@@ -37,7 +37,7 @@ def researched(pages: DataFrame, products: DataFrame, authority: str = "AUTHORIT
     found = specs.resolve(normalize(rows.withColumn("source_authority", F.lit(authority))))
     every = products.select("product_id").distinct().select("product_id", F.explode(F.array(*map(F.lit, KEYS))).alias("definition_key"))
     state, usable = F.coalesce("state", F.lit("UNKNOWN")).alias("state"), F.coalesce("usable", F.lit(0)).alias("usable")
-    return every.join(found, ["product_id", "definition_key"], "left").select("product_id", "definition_key", usable, state, "value_kind", "value_text", "value_dec")
+    return every.hint("merge").join(found, ["product_id", "definition_key"], "left").select("product_id", "definition_key", usable, state, "value_kind", "value_text", "value_dec")
 
 
 def compared(pages: DataFrame, targets: DataFrame, labels: dict[str, str] = support.LABELS) -> DataFrame:

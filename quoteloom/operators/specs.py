@@ -59,7 +59,7 @@ def similarity(resolutions: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("target_id").alias("product_id")), F.struct(F.lit("c").alias("side"), F.col("candidate_id").alias("product_id"))))
     asked = pairs.select("target_id", "candidate_id").distinct().select("target_id", "candidate_id", sides.alias("s")).select("target_id", "candidate_id", "s.*")
     side = lambda name: F.max(F.when(F.col("side") == name, F.col("value")))
-    fields = asked.join(values, "product_id", "left").groupBy("target_id", "candidate_id", "definition_key").agg(side("t").alias("t"), side("c").alias("c"))
+    fields = asked.hint("merge").join(values, "product_id", "left").groupBy("target_id", "candidate_id", "definition_key").agg(side("t").alias("t"), side("c").alias("c"))
     fields = fields.select("target_id", "candidate_id", *(F.col(f"{p}.value_{k}").alias(f"{p}_{k}") for p in "tc" for k in ("kind", "text", "dec")))
     found = field_similarity(fields).groupBy("target_id", "candidate_id").agg(F.count("field_similarity").alias("scored"), F.sum(F.round("field_similarity", 9).cast("decimal(12,9)")).alias("total"))
     total = F.coalesce(F.col("total").cast("double"), F.lit(0.0))

@@ -117,7 +117,8 @@ def candidates(found: DataFrame, *keys: str) -> DataFrame:
 def specifications(found: DataFrame, products: DataFrame, *keys: str, labels: dict[str, str] = LABELS) -> DataFrame:
     """``keys``, product_id, definition_key, raw_value and raw_reference of the labelled features of the
     records that are exactly one of ``products`` (product_id, mpn). Values stay as they are."""
-    rows = found.join(products.select("product_id", "mpn"), F.col("sku") == F.col("mpn"))
+    # records come out of texts, whose size Spark takes for that of the file: neither side is to be broadcast
+    rows = found.hint("merge").join(products.select("product_id", "mpn"), F.col("sku") == F.col("mpn"))
     listed = F.try_variant_get("value", "$.features", "array<variant>")
     rows = rows.select(*keys, "product_id", reference().alias("place"), F.posexplode(listed).alias("n", "feature"))
     label, value = F.lower(collapsed(text(F.col("feature"), "title"))), text(F.col("feature"), "value")

@@ -34,3 +34,8 @@ def test_answers_are_parsed_after_they_are_dealt(spark):
     for k in places:  # what stands below an exchange, up to the file
         below = next(j for j in range(k, len(lines)) if "Scan parquet" in lines[j])
         assert not any("json" in line.lower() for line in lines[k + 1 : below])
+
+
+@pytest.mark.parametrize("name", ["support_specs", "comparable_candidates", "researched_specs", "comparable_similarity"])
+def test_records_are_never_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan_of(support.QUERIES[name](spark, SF))
