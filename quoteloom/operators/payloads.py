@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.operators import aggregate, match
+from quoteloom.operators.normalize import only
 
 VERSION = 1
 OBSERVED = ("availability_text", "brand_text", "condition_text", "currency_text", "extraction_method", "mpn_text", "price_text", "product_title", "seller_text", "sku_text", "source_url")
@@ -33,9 +34,11 @@ WORDS = {
 }
 
 
-def encoded(rows: DataFrame) -> DataFrame:
-    """run_id, schema_version, payload and its SHA-256 of each run of assessed ``rows``."""
-    rows = match.indexed(rows, "run_id", *ORDER).withColumn("assessment_index", F.col("assessment_index").cast("bigint"))
+def encoded(rows: DataFrame, *told: str) -> DataFrame:
+    """run_id, schema_version, payload and its SHA-256 of each run of assessed ``rows``; columns ``told``
+    are kept, and tell runs of one name apart."""
+    run = ["run_id", *told]
+    rows = match.indexed(rows, run, *ORDER).withColumn("assessment_index", F.col("assessment_index").cast("bigint"))
     text = lambda n: F.col(n).cast("string").alias(n)
     listing = F.struct("availability", "condition", "currency_code", "issues", F.struct(*(text(n) for n in OBSERVED)).alias("observation"), text("price_amount"), "seller_name")
     place = F.array(F.col("url_ord").cast("bigint"), F.col("listing_ord").cast("bigint"))
@@ -43,14 +46,14 @@ def encoded(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("reason", aggregate.exclusion_reason(F.col("decision") == "ACCEPTED"))
     # first what would be one bucket, with its rows, then the run: each row is computed once and carried once
     entry = F.struct("assessment_index", assessment.alias("assessment"), "reason")
-    parts = rows.groupBy("run_id", "currency_code", "condition", F.col("reason").isNull().alias("inside")).agg(
+    parts = rows.groupBy(*run, "currency_code", "condition", F.col("reason").isNull().alias("inside")).agg(
         F.array_sort(F.collect_list(entry)).alias("entries"), F.min(F.struct("description", "requested_mpn")).alias("request"),
         F.count("*").alias("listings"), F.min("price_amount").alias("low"), F.max("price_amount").alias("high"), F.collect_list("price_amount").alias("_amounts"),
     )
     parts = aggregate.summarized(parts).withColumn("assessment_indexes", F.transform("entries", lambda e: e["assessment_index"]))
     amounts = {"high": "high", "low": "low", "market_range_high": "range_high", "market_range_low": "range_low", "median": "median"}
     bucket = F.struct("assessment_indexes", "condition", "confidence", F.col("listings").cast("bigint").alias("count"), "currency_code", *(F.col(c).cast("string").alias(n) for n, c in amounts.items()))
-    runs = parts.groupBy("run_id").agg(
+    runs = parts.groupBy(*run).agg(
         F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"), F.min("request").alias("request"), F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct(F.col("assessment_indexes")[0].alias("first"), bucket.alias("bucket"))))).alias("found")
     )
     left = F.filter("entries", lambda e: e["reason"].isNotNull())
@@ -62,7 +65,7 @@ def encoded(rows: DataFrame) -> DataFrame:
         "request",
         F.when(n == 0, "UNKNOWN").when(n == 1, "VERIFIED").otherwise("AMBIGUOUS").alias("verification_status"),
     )
-    runs = runs.select("run_id", F.lit(VERSION).alias("schema_version"), F.to_json(body, PLAIN).alias("payload"))
+    runs = runs.select(*run, F.lit(VERSION).alias("schema_version"), F.to_json(body, PLAIN).alias("payload"))
     return runs.withColumn("sha256", F.sha2("payload", 256))
 
 
@@ -90,24 +93,36 @@ def _decoded(payloads: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).drop("_again")
 
 
-def decoded(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The assessed rows of payloads that are whole, and run_id with the problem of the others."""
-    rows = _decoded(payloads)
-    good = rows.where("problem is null").select("run_id", F.col("body.request").alias("request"), F.posexplode("body.assessments").alias("assessment_index", "a"))
+def _rows(opened: DataFrame, *told: str) -> DataFrame:
+    """The assessed rows, and ``told``, of run_id, request and assessments a, one a row."""
     listing = "a.normalized_listing"
-    good = good.select(
-        "run_id", "request.*", F.col("a.place")[0].alias("url_ord"), F.col("a.place")[1].alias("listing_ord"), *(F.col(f"{listing}.observation.{n}").alias(n) for n in OBSERVED),
+    return opened.select(
+        "run_id", *told, "request.*", F.col("a.place")[0].alias("url_ord"), F.col("a.place")[1].alias("listing_ord"), *(F.col(f"{listing}.observation.{n}").alias(n) for n in OBSERVED),
         F.col(f"{listing}.price_amount").cast(aggregate.AMOUNT).alias("price_amount"), *(F.col(f"{listing}.{n}").alias(n) for n in ("currency_code", "availability", "condition", "seller_name", "issues")),
         *(F.col(f"a.{n}").alias(n) for n in ("evidence_source", "match_type", "decision", "rejection_reason")),
     )
-    return good, rows.where("problem is not null").select("run_id", "problem")
+
+
+def decoded(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The assessed rows of payloads that are whole, and run_id with the problem of the others."""
+    # a plain filter on the problem would read a payload anew at each place that its rules name it
+    rows = _decoded(payloads)
+    good, bad = only(rows, F.col("problem").isNull()), only(rows, F.col("problem").isNotNull())
+    return _rows(good.select("run_id", F.col("body.request").alias("request"), F.explode("body.assessments").alias("a"))), bad.select("run_id", "problem")
 
 
 def replayed(payloads: DataFrame) -> DataFrame:
     """run_id and outcome of each payload: REPLAYED where its assessments give all of it again, NOT_DERIVED
-    where they give something else, or what is wrong with it."""
-    good, bad = decoded(payloads)
-    again = encoded(good).select("run_id", F.col("sha256").alias("again"))
-    told = payloads.select("run_id", "sha256").join(again, "run_id")
-    told = told.select("run_id", F.when(F.col("again") == F.col("sha256"), "REPLAYED").otherwise("NOT_DERIVED").alias("outcome"))
-    return told.unionByName(bad.withColumnRenamed("problem", "outcome"))
+    where they give something else, or what is wrong with it.
+
+    All payloads take one way, numbered so that each stays one: a broken one, or one without assessments,
+    goes along as a single empty row whose outcome is known.
+    """
+    body = F.col("body")
+    nothing = (F.size(body["buckets"]) == 0) & (F.size(body["exclusions"]) == 0) & (body["verification_status"] == "UNKNOWN")
+    none = F.when(F.size(body["assessments"]) == 0, F.when(nothing, "REPLAYED").otherwise("NOT_DERIVED"))
+    rows = _decoded(payloads).select("run_id", F.col("sha256").alias("claimed"), F.coalesce("problem", none).alias("known"), "body").withColumn("number", F.monotonically_increasing_id())
+    told = ("number", "claimed", "known")
+    opened = rows.select("run_id", *told, body["request"].alias("request"), F.explode_outer(F.when(F.col("known").isNull(), body["assessments"])).alias("a"))
+    again = encoded(_rows(opened, *told), *told)
+    return again.select("run_id", F.coalesce("known", F.when(F.col("sha256") == F.col("claimed"), "REPLAYED").otherwise("NOT_DERIVED")).alias("outcome"))

@@ -75,3 +75,21 @@ def test_changed_payloads(spark, written, change, want):
 @pytest.mark.parametrize("change", [lambda t: t.replace(":", ": ", 1), lambda t: "x" + t, lambda t: t[:-1], lambda t: t.replace("{", '{"verification_status":"UNKNOWN",', 1), lambda t: t.replace('{"assessments"', '{"Assessments"')])
 def test_other_spellings(spark, written, change):
     assert outcome(spark, written, change) == "NOT_CANONICAL"
+
+
+def test_payloads_are_read_once(spark):
+    """A filter that holds the reading of a payload repeats it for each rule; a replay takes one pass."""
+    good, bad = payloads.decoded(payloads.encoded(assessed(spark, SF)))
+    for found in (good, bad):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("from_json" in line for line in plan.splitlines() if "Filter" in line)
+    again = payloads.replayed(payloads.encoded(assessed(spark, SF)))
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # one listing view: two tables
+
+
+def test_every_payload_has_an_outcome(spark, written):
+    row = written[0].orderBy("run_id").first()
+    empty = '{"assessments":[],"buckets":[],"exclusions":[],"request":{"description":null,"requested_mpn":null},"verification_status":"UNKNOWN"}'
+    bodies = [row.payload, row.payload, row.payload + " ", empty, empty.replace("UNKNOWN", "VERIFIED")]
+    rows = spark.createDataFrame([(row.run_id, 1, b) for b in bodies], "run_id string, schema_version int, payload string").withColumn("sha256", F.sha2("payload", 256))
+    assert sorted(r.outcome for r in payloads.replayed(rows).collect()) == ["NOT_CANONICAL", "NOT_DERIVED", "REPLAYED", "REPLAYED", "REPLAYED"]
