@@ -209,3 +209,18 @@ def test_links_by_place(spark):
     found = [(1, 3, "https://A.example/x"), (1, 5, "https://a.example/y"), (2, 1, "https://a.example/"), (2, 2, "https://a.example/"), (3, 1, "javascript:alert(1)"), (3, 2, None), (5, 1, "https://a.example/")]
     got = with_links(spark.createDataFrame(rows, "run_id long, ord long, source string"), spark.createDataFrame(found, "run_id long, ord long, source_url string")).collect()
     assert {(r.run_id, r.ord): r.link for r in got} == {(1, 10): "https://A.example/x", (1, 20): None, (2, 1): None, (3, 1): None, (3, 2): None, (4, 1): None}
+
+
+def test_site_local_addresses_are_not_routable_in_the_query(spark, tmp_path):
+    from quoteloom.plans.published import routable_addresses6
+
+    rows = [(4, 704), (12, 767), (20, 703), (28, 768), (8, 100)]  # fec0::, feff::, febf::, ff00:: and 2064::
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.public for r in routable_addresses6(spark, str(tmp_path)).collect()} == {4: False, 12: False, 20: False, 28: False, 8: True}
+
+
+def test_partition_law_takes_one_pass(spark):
+    from quoteloom.plans.market import partition_law
+
+    plan = partition_law(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # one listing view: two tables
