@@ -39,3 +39,10 @@ def test_answers_are_parsed_after_they_are_dealt(spark):
 @pytest.mark.parametrize("name", ["support_specs", "comparable_candidates", "researched_specs", "comparable_similarity"])
 def test_records_are_never_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan_of(support.QUERIES[name](spark, SF))
+
+
+def test_listings_are_dealt_evenly(spark):
+    from quoteloom.plans import market
+
+    assert "REPARTITION_BY_NUM" in plan_of(market.quote_rows(spark, SF))
+    assert "REPARTITION_BY_COL" not in plan_of(market.quote_rows(spark, SF))
