@@ -39,52 +39,56 @@ ENTITIES = {"&quot;": '"', "&#xA;": "\n", "&#xD;": "\r"}
 NAMES = {"True": "true", "true": "true", "False": "false", "false": "false", "None": "null", "null": "null"}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "'": "'", '"': '"', "\\": "\\"}
 
-BREAKS = "\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
-HEADING = f"(?<![^{BREAKS}])[\\p{{IsWhite_Space}}\\x1f&&[^{BREAKS}]]*(<p>)?(" + "|".join(HEADINGS) + f"):(?={SPACE}|\\z)"
-TOKEN = re.compile(
-    r"""(?P<blank>\s+)|(?P<mark>[{}\[\],:])|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))|(?P<name>[A-Za-z0-9_]+)""",
-    re.DOTALL,
-)
+BREAKS = "\\r\\n?|[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"  # all but \n itself
+# a section's first line, and the section with the lines up to the next one's; both of text whose only break is \n
+HEADING = "[\\p{IsWhite_Space}\\x1f&&[^\\n]]*(<p>)?(" + "|".join(HEADINGS) + f"):(?={SPACE}|\\z)"
+SECTION = f"(?dm)^{HEADING}[^\\n]*+(?:\\n(?!{HEADING})[^\\n]*+)*+\\n?"
+TOKEN = re.compile(r"""\s*(?:(?P<mark>[{}\[\],:])|(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))|(?P<name>[A-Za-z0-9_]+))""", re.DOTALL)
 ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.DOTALL)
 
 
+_quoted = json.JSONEncoder().encode
+
+
 def _spelled(kind: str, token: str) -> str:
     """A token as JSON; KeyError for a name or an escape that there is not."""
-    if kind == "number":
-        return format(Decimal(token), "f")
-    if kind == "name":
-        return NAMES[token]
     if kind == "text":
-        return json.dumps(ESCAPE.sub(lambda e: chr(int(e[1], 16)) if e[1] else ESCAPES[e[2]], token[1:-1]))
-    return token
+        bare = token[1:-1]
+        return _quoted(ESCAPE.sub(lambda e: chr(int(e[1], 16)) if e[1] else ESCAPES[e[2]], bare) if "\\" in bare else bare)
+    return format(Decimal(token), "f") if kind == "number" else NAMES[token]
 
 
 def literal_json(text: str) -> str | None:
     """The literal that ``text`` begins with, as JSON, or null where it is not made of tokens that make
     one, is too deep, or holds too much. Order of tokens is left to the reader of the JSON."""
     out, entries, place = [], [], 0
-    while found := TOKEN.match(text, place):
+    for found in TOKEN.finditer(text):
+        if found.start() != place:
+            return None
         kind, place = found.lastgroup, found.end()
-        if kind == "blank":
-            continue
-        if found[0] in ("}", "]") and out and out[-1] == ",":  # one comma may follow the last entry
-            out.pop()
-            entries[-1] -= 1
-            if out[-1] in ("{", "[", ",", ":"):
+        token = found[kind]
+        if kind != "mark":
+            try:
+                out.append(_spelled(kind, token))
+            except KeyError:
                 return None
-        try:
-            out.append(_spelled(kind, found[0]))
-        except KeyError:
-            return None
-        if found[0] in ("{", "["):
-            entries.append(1)
-        elif found[0] == ",":
-            entries[-1:] = [n + 1 for n in entries[-1:]]
-        elif found[0] in ("}", "]"):
+        elif token in "}]":
+            if out and out[-1] == ",":  # one comma may follow the last entry
+                out.pop()
+                entries[-1] -= 1
+                if out[-1] in ("{", "[", ",", ":"):
+                    return None
+            out.append(token)
             if not entries or entries.pop() > MOST_ENTRIES:
                 return None
-        if len(entries) > MOST_DEPTH:
-            return None
+        else:
+            out.append(token)
+            if token in "{[":
+                entries.append(1)
+                if len(entries) > MOST_DEPTH:
+                    return None
+            elif token == "," and entries:
+                entries[-1] += 1
         if not entries:
             return " ".join(out)
     return None
@@ -97,21 +101,22 @@ def _literals(texts: pd.Series) -> pd.Series:
 def sections(bodies: DataFrame) -> DataFrame:
     """run_id, source_name and text (of its value, entities of paragraphs decoded) of each vendor's
     first section of text bodies (run_id, body)."""
-    whole = f"(?s){HEADING}(.*?)(?={HEADING}|\\z)"
-    part = lambda k: F.regexp_extract_all("body", F.lit(whole), F.lit(k))
-    rows = bodies.select("run_id", F.posexplode(F.arrays_zip(part(1).alias("p"), part(2).alias("heading"), part(3).alias("text"))).alias("ord", "s"))
+    found = F.regexp_extract_all(F.regexp_replace("body", BREAKS, "\n"), F.lit(SECTION), F.lit(0))
+    rows = bodies.select("run_id", F.posexplode(found).alias("ord", "s"))
+    head = lambda k: F.regexp_extract("s", f"^{HEADING}", k)
+    rows = rows.select("run_id", "ord", "s", head(1).alias("p"), head(2).alias("heading"), F.length(head(0)).alias("begin"))
     names = F.create_map(*(F.lit(x) for pair in HEADINGS.items() for x in pair))
-    text = decoded = F.regexp_replace("s.text", f"\\r\\n|[{BREAKS}]", "\n")
+    text = decoded = F.substr("s", F.col("begin") + 1)
     for entity, meant in ENTITIES.items():
         decoded = F.replace(decoded, F.lit(entity), F.lit(meant))
-    rows = rows.select("run_id", "ord", names[F.col("s.heading")].alias("source_name"), F.when(F.col("s.p") != "", decoded).otherwise(text).alias("text"))
+    rows = rows.select("run_id", "ord", names[F.col("heading")].alias("source_name"), F.when(F.col("p") != "", decoded).otherwise(text).alias("text"))
     first = F.min_by("text", "ord").alias("text")
     return rows.groupBy("run_id", "source_name").agg(first, F.min("ord").alias("ord"))
 
 
 def _kind(value: Column) -> Column:
     """The kind of a variant by its first word, ABSENT for none."""
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("ABSENT"))
+    return F.coalesce(F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1), F.lit("ABSENT"))
 
 
 def _given(value: Column) -> Column:

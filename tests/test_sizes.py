@@ -46,3 +46,28 @@ def test_listings_are_dealt_evenly(spark):
 
     assert "REPARTITION_BY_NUM" in plan_of(market.quote_rows(spark, SF))
     assert "REPARTITION_BY_COL" not in plan_of(market.quote_rows(spark, SF))
+
+
+def test_texts_are_split_into_sections_by_one_pattern(spark):
+    assert plan_of(vendors.vendor_text_offers(spark, SF)).count("regexp_extract_all(") == 1
+
+
+def test_text_that_begins_like_no_json_is_not_parsed(spark):
+    from pyspark.sql import functions as F
+
+    from quoteloom.functions.text import whole_json
+
+    texts = ["{}", " \n[1]", "-1", '"x"', "true", "null", "<p>x", " Ingram Product: {}", "", "\x0b1", "x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", whole_json(F.col("t")).isNotNull().alias("whole"))
+    assert [r.t for r in rows.collect() if r.whole] == texts[:6]
+    assert "parseJson(concat([, CASE WHEN" in plan_of(rows)  # null but for texts that may be JSON
+
+
+def test_sections_of_many_short_lines(spark):
+    """Every kind of line break, and more lines than a pattern may nest."""
+    from quoteloom.sources import vendors as source
+
+    bodies = ["x\r\nCDW Product: a\r\n\r\nb  <p>Ingram Product: c\x85d\n", "CDW Product: x" + "\r\n" * 300000 + "Ingram Product: y"]
+    rows = source.sections(spark.createDataFrame(list(enumerate(bodies)), "run_id long, body string"))
+    got = {(r.run_id, r.source_name): r.text for r in rows.collect()}
+    assert got == {(0, "CDW"): " a\n\nb\n", (0, "Ingram"): " c\nd\n", (1, "CDW"): " x" + "\n" * 300000, (1, "Ingram"): " y"}
