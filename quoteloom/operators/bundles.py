@@ -7,10 +7,13 @@ or the same multiset of counted things; they differ for certain only if both can
 character. All of it is columns; a clause is split once, and its entries are read side by side.
 """
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoteloom.functions.text import SPACE, collapsed, strip
+from quoteloom.functions.text import SPACE, collapsed, once, strip
 from quoteloom.operators import authority
 
 # Words that a list is not complete, and statements that it is.
@@ -35,9 +38,8 @@ def _is_open(clause: Column) -> Column:
     marked = F.lit(False)
     for mark in OPEN_MARKS:
         marked = marked | F.contains(clause, F.lit(mark))
-    for run in (*OPEN_WORDS, *OPEN_RUNS):
-        marked = marked | F.contains(line, F.lit(f" {run} "))
-    return marked
+    said = lambda text: functools.reduce(operator.or_, (F.contains(text, F.lit(f" {run} ")) for run in (*OPEN_WORDS, *OPEN_RUNS)))
+    return marked | once(line, said)
 
 
 def _dangles(clause: Column) -> Column:
@@ -92,24 +94,25 @@ def united(compositions: Column) -> Column:
     return F.when(F.size(compositions) > 0, F.struct(first["clause"].alias("clause"), state.alias("state"), statement.alias("statement")))
 
 
-def _entry(part: Column) -> Column:
-    """The quantity and the thing of one entry; a null thing where it cannot be read."""
-    digits = F.regexp_extract(part, "^[0-9]+", 0)
-    rest = F.substr(part, F.length(digits) + 1)
-    times, blank = F.left(rest, F.lit(1)).isin("x", "×"), F.left(rest, F.lit(1)).isin(" ", "\t")
-    counted = (digits != "") & (times | blank)
-    thing = F.when(counted, F.ltrim(F.when(times, F.substr(rest, F.lit(2))).otherwise(rest), F.lit(" \t"))).otherwise(part)
+def _entry(read: Column) -> Column:
+    """The quantity and the thing of one entry (digits of its count, if it has one, and thing); a null thing where it cannot be read."""
+    digits, thing = read["digits"], read["thing"]
     plain = (F.translate(F.lower(thing), "abcdefghijklmnopqrstuvwxyz0123456789 .-_", "") == "") & (F.btrim(thing, F.lit(" .-_")) == thing) & (thing != "")
-    number = F.when(counted, digits.try_cast("int")).otherwise(1)
-    fine = plain & (~counted | (~digits.startswith("0") & (number <= MOST_UNITS)))
-    return F.struct(number.alias("quantity"), F.when(fine, F.lower(collapsed(thing))).alias("item"))
+    number = F.when(digits != "", digits.try_cast("int")).otherwise(1)
+    fine = plain & ((digits == "") | (~digits.startswith("0") & (number <= MOST_UNITS)))
+    return F.struct(number.alias("quantity"), F.when(fine, F.regexp_replace(F.lower(thing), " {2,}", " ")).alias("item"))
 
 
 def items(clause: Column) -> Column:
-    """The sorted multiset of (quantity, item) that a clause lists, or null if any of it cannot be read."""
+    """The sorted multiset of (quantity, item) that a clause lists, or null if any of it cannot be read.
+
+    Each step is a pass over the entries, so that what the next one uses several times is worked out once."""
     parts = F.split(strip(clause), f"(?i){SPACE}*([+,&]|\\band\\b){SPACE}*")
-    entries = F.transform(parts, _entry)
-    return F.when(F.forall(entries, lambda e: e["item"].isNotNull()), F.array_sort(entries)).cast(ITEMS)
+    counted = F.transform(parts, lambda p: F.struct(p.alias("part"), F.regexp_extract(p, "^([0-9]+)[x× \t]", 1).alias("digits")))
+    # behind the digits stands one mark or blank, then perhaps more blanks
+    thing = lambda e: F.when(e["digits"] == "", e["part"]).otherwise(F.ltrim(F.substr(e["part"], F.length(e["digits"]) + 2), F.lit(" \t")))
+    read = F.transform(counted, lambda e: F.struct(e["digits"].alias("digits"), thing(e).alias("thing")))
+    return once(F.transform(read, _entry), lambda es: F.when(F.forall(es, lambda e: e["item"].isNotNull()), F.sort_array(es))).cast(ITEMS)
 
 
 def relation(rows: DataFrame, one: str, two: str, name: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_sections_of_many_short_lines(spark):
     rows = source.sections(spark.createDataFrame(list(enumerate(bodies)), "run_id long, body string"))
     got = {(r.run_id, r.source_name): r.text for r in rows.collect()}
     assert got == {(0, "CDW"): " a\n\nb\n", (0, "Ingram"): " c\nd\n", (1, "CDW"): " x" + "\n" * 300000, (1, "Ingram"): " y"}
+
+
+def test_an_entry_of_a_clause_is_read_once(spark):
+    """Functions of arrays share nothing between their uses, so what is used often must be a step of its own."""
+    from pyspark.sql import functions as F
+
+    from quoteloom.operators import bundles as operator
+
+    rows = spark.createDataFrame([("2x Drive + 007 bag + cable",), ("12 Cable &  a  b, 1x",), (" 3\tBig   box ",), ("99999999999x a",), (None,)], "t string").select(operator.items(F.col("t")).alias("i"), operator._is_open(F.col("t")).alias("o"))
+    got = [r.i and [tuple(e) for e in r.i] for r in rows.collect()]
+    assert got == [None, None, [(3, "big box")], None, None]
+    plan = plan_of(rows)
+    assert plan.count("regexp_extract(") == 1 and plan.count("forall(") == 1 and plan.count("array_join(") == 1
