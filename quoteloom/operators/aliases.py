@@ -4,16 +4,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteloom.functions import part_number as pn
+from quoteloom.functions.text import once
 
-ESTABLISHED = ("EXACT", "NORMALIZED_EXACT")
 # Words of a description that name a memory module, so no drive.
 MODULE_WORDS = ["DDR2", "DDR3", "DDR4", "DDR5", "DIMM", "DRAM", "LPCAMM", "LPCAMM2", "RDIMM", "SODIMM", "UDIMM"]
 # Wording of compatibility rather than identity.
 COMPATIBLE = ["compatible", "replacement", "interchangeable", "drop-in"]
 
 
+def _same(one: Column, two: Column) -> Column:
+    """Whether two keys are one part's; nothing has none."""
+    return F.coalesce((one == two) & (one != ""), F.lit(False))
+
+
 def established(one: Column, two: Column) -> Column:
-    return pn.compare(one, two).isin(*ESTABLISHED)
+    """Whether two part numbers compare as exact, be it normalized: equal texts have equal keys."""
+    return _same(pn.key(one), pn.key(two))
 
 
 def _token(words: list[str]) -> str:
@@ -34,14 +40,19 @@ def aliases(requested: Column, base: Column) -> Column:
     """The other packaging forms of a catalog's base part number, in the order base, R, T; null unless
     the request is exactly one of the forms and comes to the base without its own final letter."""
     family = F.array(base, F.concat(base, F.lit("R")), F.concat(base, F.lit("T")))
-    own = F.filter(family, lambda m: established(requested, m))
-    consistent = (F.size(own) == 1) & established(pn.alias_base(requested), base)
-    return F.when(consistent, F.filter(family, lambda m: ~established(requested, m)))
+    marked = once(pn.key(requested), lambda asked: F.transform(family, lambda m: F.struct(m.alias("name"), _same(asked, pn.key(m)).alias("own"))))
+    fits = established(pn.alias_base(requested), base)
+
+    def others(members: Column) -> Column:
+        return F.when(F.size(F.filter(members, lambda m: m["own"])) == 1, F.transform(F.filter(members, lambda m: ~m["own"]), lambda m: m["name"]))
+
+    return F.when(fits, once(marked, others))
 
 
 def reference(names: Column, published: Column) -> Column:
     """The first of the aliases that a published part number is, or null."""
-    return F.when(F.coalesce(published != "", F.lit(False)), F.try_element_at(F.filter(names, lambda a: established(published, a)), F.lit(1)))
+    found = once(pn.key(published), lambda asked: F.filter(names, lambda a: _same(asked, pn.key(a))))
+    return F.when(F.coalesce(published != "", F.lit(False)), F.try_element_at(found, F.lit(1)))
 
 
 def source_outcome(observations: DataFrame, requests: DataFrame) -> DataFrame:

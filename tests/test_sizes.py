@@ -84,3 +84,15 @@ def test_an_entry_of_a_clause_is_read_once(spark):
     assert got == [None, None, [(3, "big box")], None, None]
     plan = plan_of(rows)
     assert plan.count("regexp_extract(") == 1 and plan.count("forall(") == 1 and plan.count("array_join(") == 1
+
+
+def test_keys_of_aliases_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from quoteloom.operators import aliases as operator
+
+    rows = spark.createDataFrame([("m1 ", "M1", "m1r"), ("M1T", "M1", " m1"), ("M1X", "M1", "M1"), (None, "M1", "M1"), ("M1", None, "M1"), ("M1", "M1", None), ("", "", "")], "q string, b string, p string")
+    names = rows.withColumn("n", operator.aliases(F.col("q"), F.col("b")))
+    got = [(r.n, r.r) for r in names.withColumn("r", operator.reference(F.col("n"), F.col("p"))).collect()]
+    assert got == [(["M1R", "M1T"], "M1R"), (["M1", "M1R"], "M1"), (None, None), (None, None), (None, None), (["M1R", "M1T"], None), (None, None)]
+    assert plan_of(names).count("translate(") <= 12  # two for each of the keys of request, form, and (twice) both bases
