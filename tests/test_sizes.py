@@ -96,3 +96,13 @@ def test_keys_of_aliases_are_made_once(spark):
     got = [(r.n, r.r) for r in names.withColumn("r", operator.reference(F.col("n"), F.col("p"))).collect()]
     assert got == [(["M1R", "M1T"], "M1R"), (["M1", "M1R"], "M1"), (None, None), (None, None), (None, None), (["M1R", "M1T"], None), (None, None)]
     assert plan_of(names).count("translate(") <= 12  # two for each of the keys of request, form, and (twice) both bases
+
+
+def test_each_spelling_of_a_specification_is_read_once(spark):
+    from quoteloom.functions.specs import normalize, spelled_once
+
+    values = [("capacity", "3.84 TB"), ("capacity", "3,840 GB"), ("capacity", None), (None, "1 TB"), (None, None), ("endurance_dwpd", ""), ("sequential_read", "3.84 TB"), ("storage_protocol", "NVMe"), ("other", "x"), ("capacity", "3.84 tb")]
+    rows = spark.createDataFrame([(k % 3, key, raw) for k in range(4) for key, raw in values], "product_id int, definition_key string, raw_value string")
+    one, two = (f(rows).select("product_id", "definition_key", "raw_value", "value_kind", "value_text", "value_dec", "issue") for f in (normalize, spelled_once))
+    assert one.count() == two.count() == 40 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert "HashAggregate(keys=[_key" in plan_of(records.united_specs(spark, SF))
