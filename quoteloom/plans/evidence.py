@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quoteloom.functions import part_number as pn
 from quoteloom.functions.specs import normalize
 from quoteloom.operators import evaluation, logs, specs
+from quoteloom.operators.pairs import pairs
 from quoteloom.operators.rates import asof_latest
 from quoteloom.sources.adapters import view
 
@@ -142,7 +143,12 @@ def routed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, MISSES, part="p_partkey").select("part", "two", pn.near_miss(F.col("one"), F.col("two")).alias("shape"))
+    """All pairs of parts of one size and brand; their number grows with the square of the parts."""
+    rows = view(spark, sf_dir, "SELECT p_size, p_brand, p_partkey AS part, 'MZ' || CAST(p_partkey AS STRING) AS mpn FROM part")
+    outline = pn.outline(F.col("mpn"))
+    met = pairs(rows.withColumns(outline), ["p_size", "p_brand"], ["part"], F.col("one_part") != F.col("two_part"))
+    shape = pn.near_miss(F.col("one_mpn"), F.col("two_mpn"), *({k: F.col(f"{side}_{k}") for k in outline} for side in ("one", "two")))
+    return met.select(F.col("one_part").alias("part"), F.col("two_mpn").alias("two"), shape.alias("shape"))
 
 
 def alias_families(spark: SparkSession, sf_dir: str) -> DataFrame:

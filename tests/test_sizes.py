@@ -106,3 +106,56 @@ def test_each_spelling_of_a_specification_is_read_once(spark):
     one, two = (f(rows).select("product_id", "definition_key", "raw_value", "value_kind", "value_text", "value_dec", "issue") for f in (normalize, spelled_once))
     assert one.count() == two.count() == 40 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
     assert "HashAggregate(keys=[_key" in plan_of(records.united_specs(spark, SF))
+
+
+def parts_of_groups():
+    """Groups of many, few and one, numbers of a part in two groups, twice in one, and nulls."""
+    rows = [(k, "B1" if k % 3 else "B2", 1 + k % 2) for k in range(1, 60)] + [(100 * k, "B3", 7) for k in range(1, 13)]
+    return rows + [(5, "B3", 7), (5, "B3", 7), (500, "B1", 2), (12345, "B9", 1), (123456, "B9", 1), (9, None, 1), (8, None, 1), (7, "B3", None), (None, "B3", 7), (None, "B3", 7)]
+
+
+def test_every_pair_of_a_group_is_met_once_by_blocks(spark, monkeypatch, tmp_path):
+    """Whatever the size of a block, the rows are those of the SQL, and no key holds more than a block of a side."""
+    import duckdb
+
+    from quoteloom.operators import pairs as operator
+
+    rows = spark.createDataFrame(parts_of_groups(), "p_partkey bigint, p_brand string, p_size int")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(connection.execute(f"SELECT part, two, shape FROM ({evidence.ORACLES['near_misses']})").fetchall(), key=repr)
+    assert {shape for _, _, shape in want} == {None, "TRUNCATION", "SUBSTITUTION"}
+    for block in (1, 4, 1000):
+        monkeypatch.setattr(operator, "BLOCK", block)
+        got = evidence.near_misses(spark, str(tmp_path))
+        assert sorted(map(tuple, got.select("part", "two", "shape").collect()), key=repr) == want
+    monkeypatch.setattr(operator, "BLOCK", 4)
+    cut = operator.blocks(rows, ["p_brand", "p_size"], ["p_partkey"]).groupBy("p_brand", "p_size", "_own", "_other").count().collect()
+    assert max(r["count"] for r in cut) == 4 and min(r["count"] for r in cut) >= 1
+    assert len({(r["_own"], r["_other"]) for r in cut if r["p_brand"] == "B3"}) == 16  # sixteen rows, four blocks
+
+
+def test_pairs_are_compared_in_generated_code_and_joined_in_blocks(spark):
+    plan = plan_of(evidence.near_misses(spark, SF))
+    assert "zip_with" not in plan and "aggregate(" not in plan  # functions of arrays are interpreted, for each pair
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "row_number()" in plan
+
+
+def test_near_miss_by_outlines_is_that_by_characters(spark):
+    from pyspark.sql import functions as F
+
+    from quoteloom.functions import part_number as pn
+
+    texts = ["", "A", "B", "AB", "AC", "CB", "ABC", "BCA", "CAB", "ABCD", "ABXD", "AXXD", "\U0001f600B", "\U0001f601B", "\U0001f600C", "äB", "ä", "A" * 70, "A" * 69 + "B", "B" + "A" * 69, None]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "one string, two string")
+    got = rows.select("one", "two", pn.near_miss(F.col("one"), F.col("two")).alias("shape")).collect()
+
+    def shape(a, b):
+        if not a or not b or a == b:
+            return None
+        if a.startswith(b) or b.startswith(a):
+            return "TRUNCATION"
+        return "SUBSTITUTION" if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1 else None
+
+    assert {(r.one, r.two): r.shape for r in got} == {(a, b): shape(a, b) for a in texts for b in texts}
