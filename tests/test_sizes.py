@@ -149,7 +149,8 @@ def test_near_miss_by_outlines_is_that_by_characters(spark):
 
     texts = ["", "A", "B", "AB", "AC", "CB", "ABC", "BCA", "CAB", "ABCD", "ABXD", "AXXD", "\U0001f600B", "\U0001f601B", "\U0001f600C", "äB", "ä", "A" * 70, "A" * 69 + "B", "B" + "A" * 69, None]
     rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "one string, two string")
-    got = rows.select("one", "two", pn.near_miss(F.col("one"), F.col("two")).alias("shape")).collect()
+    one, two = F.col("one"), F.col("two")
+    got = rows.select("one", "two", pn.near_miss(one, two).alias("plain"), pn.near_miss(one, two, pn.outline(one), pn.outline(two)).alias("shape")).collect()
 
     def shape(a, b):
         if not a or not b or a == b:
@@ -158,4 +159,5 @@ def test_near_miss_by_outlines_is_that_by_characters(spark):
             return "TRUNCATION"
         return "SUBSTITUTION" if len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1 else None
 
-    assert {(r.one, r.two): r.shape for r in got} == {(a, b): shape(a, b) for a in texts for b in texts}
+    want = {(a, b): shape(a, b) for a in texts for b in texts}
+    assert {(r.one, r.two): r.shape for r in got} == {(r.one, r.two): r.plain for r in got} == want
